@@ -76,16 +76,34 @@ def sums_before(
     return joined.select(*df.columns, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums])
 
 
+TEXT_SAMPLE_PER_SLICE = 32
+
+
+def add_text_slices(df: DataFrame, text: str, parts: int, name: str = SLICE) -> DataFrame:
+    """Slices for a text order: borders come from a hash-ordered sample of a fixed number of values."""
+    sample = df.select(text).filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(TEXT_SAMPLE_PER_SLICE * parts)
+    values = sorted({r[0] for r in sample.collect()}, key=lambda v: v.encode())
+    borders = sorted({values[len(values) * i // parts] for i in range(1, parts)}, key=lambda v: v.encode()) if values else []
+    if not borders:
+        return df.withColumn(name, F.lit(0))
+    literals = F.array(*[F.lit(b) for b in borders])
+    return df.withColumn(name, F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(literals, lambda b: b <= F.col(text)))))
+
+
 def value_scan(
     counts: DataFrame, by: list[str], value: str, sums: dict[str, Column], stored: bool = False
 ) -> DataFrame:
-    """``sums_before`` over a table that holds each ``(by, value)`` once, ordered by ``value``.
+    """``sums_before`` over a table that holds each ``(by, value)`` once, ordered by ``value`` (number or text).
 
     The table is stored first unless it already is, because three passes read it.
     """
     table = counts if stored else materialize(counts)
-    splits = split_points(table, F.col(value), slice_count(table))
-    return sums_before(add_slices(table, F.col(value), splits), by, [value], sums).drop(SLICE)
+    parts = slice_count(table)
+    if table.schema[value].dataType.typeName() == "string":
+        sliced = add_text_slices(table, value, parts)
+    else:
+        sliced = add_slices(table, F.col(value), split_points(table, F.col(value), parts))
+    return sums_before(sliced, by, [value], sums).drop(SLICE)
 
 
 HOT_ROWS = 2_000_000

@@ -29,9 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return fresh
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it back."""
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a frame that reads it back.
+
+    ``partition_by`` names a text column of few values; a filter on it then prunes files, and the planner sees the
+    size of the part that is left.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

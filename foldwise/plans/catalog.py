@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
-from foldwise.plans import scans_and_rows  # noqa: F401
+from foldwise.plans import keys_and_groups, reference_sample, scans_and_rows, selection  # noqa: F401
 from foldwise.plans.cases import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
