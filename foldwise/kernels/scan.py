@@ -110,18 +110,19 @@ HOT_ROWS = 2_000_000
 
 
 def slice_hot_groups(
-    df: DataFrame, by: list[str], lead: Column, limit: int | None = None
+    df: DataFrame, by: list[str], lead: Column, limit: int | None = None, source: DataFrame | None = None
 ) -> tuple[DataFrame, bool]:
     """Give every row a slice number: 0 in ordinary groups, order-preserving slices in groups above ``limit`` rows.
 
-    Returns the frame and whether any group was cut.
+    Returns the frame and whether any group was cut. ``source`` is a cheaper frame with the same keys and order.
     """
     limit = HOT_ROWS if limit is None else limit
-    hot = materialize(df.groupBy(*by).count().filter(F.col("count") > limit).select(*by, F.lit(1).alias("_hot")))
+    source = df if source is None else source
+    hot = materialize(source.groupBy(*by).count().filter(F.col("count") > limit).select(*by, F.lit(1).alias("_hot")))
     if hot.isEmpty():
         return df.withColumn(SLICE, F.lit(0)), False
     flagged = join_on(df, hot, by)
-    splits = split_points(flagged.filter(F.col("_hot") == 1), lead, max(2, slice_count(df)))
+    splits = split_points(join_on(source, hot, by, "left_semi"), lead, max(2, slice_count(df)))
     cut = add_slices(flagged, F.when(F.col("_hot") == 1, lead.cast("double")).otherwise(F.lit(-math.inf)), splits)
     return cut.drop("_hot"), True
 

@@ -1,6 +1,13 @@
 """Loads every module that registers queries."""
 
-from foldwise.plans import keys_and_groups, reference_sample, scans_and_rows, selection  # noqa: F401
+from foldwise.plans import (  # noqa: F401
+    keys_and_groups,
+    label_encodings,
+    ordered_and_metrics,
+    reference_sample,
+    scans_and_rows,
+    selection,
+)
 from foldwise.plans.cases import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
