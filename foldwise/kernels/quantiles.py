@@ -30,23 +30,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float], by: list
     keys = [*by, "_column"]
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = join_on(value_scan(counts, keys, "_value", {"_before": F.col("_n")}, stored=True), sizes, keys)
-    picks = []
-    for c in columns:
-        here = F.col("_column") == c
-        for q in sorted(set(qs)):
-            position = F.lit(float(q)) * (F.col("_size") - 1)
-            for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-                covered = here & (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
-                picks.append(F.max(F.when(covered, F.col("_value"))).alias(f"{quantile_name(c, q)}_{side}"))
-            picks.append(F.max(F.when(here, position - F.floor(position))).alias(f"{quantile_name(c, q)}_part"))
-    wide = ranked.groupBy(*by).agg(*picks)
-    out = []
-    for c in columns:
-        for q in sorted(set(qs)):
-            name = quantile_name(c, q)
-            lo, hi, part = F.col(f"{name}_lo"), F.col(f"{name}_hi"), F.col(f"{name}_part")
-            out.append((lo + (hi - lo) * part).alias(name))
-    return materialize(wide.select(*by, *out))
+    wanted = F.array(*[F.lit(float(q)) for q in sorted(set(qs))])
+    position = lambda q: q * (F.col("_size") - 1)
+    covers = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    touched = F.filter(wanted, lambda q: covers(F.floor(position(q))) | covers(F.ceil(position(q))))
+    hits = ranked.withColumn("_q", F.explode(touched)).withColumn("_at", position(F.col("_q")))
+    ends = hits.groupBy(*keys, "_q", "_at").agg(
+        F.max(F.when(covers(F.floor("_at")), F.col("_value"))).alias("_lo"),
+        F.max(F.when(covers(F.ceil("_at")), F.col("_value"))).alias("_hi"),
+    )
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    entry = F.struct(F.concat_ws("|", "_column", F.col("_q").cast("string")), value)
+    table = ends.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_map"))
+    pick = lambda c, q: F.try_element_at("_map", F.concat_ws("|", F.lit(c), F.lit(float(q)).cast("string")))
+    return table.select(*by, *[pick(c, q).alias(quantile_name(c, q)) for c in columns for q in sorted(set(qs))])
 
 
 def quantile_values(df: DataFrame, column: str, qs: list[float]) -> list[float]:

@@ -90,14 +90,21 @@ def add_text_slices(df: DataFrame, text: str, parts: int, name: str = SLICE) ->
     return df.withColumn(name, F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(literals, lambda b: b <= F.col(text)))))
 
 
+SMALL_TABLE = 100_000
+
+
 def value_scan(
     counts: DataFrame, by: list[str], value: str, sums: dict[str, Column], stored: bool = False
 ) -> DataFrame:
     """``sums_before`` over a table that holds each ``(by, value)`` once, ordered by ``value`` (number or text).
 
-    The table is stored first unless it already is, because three passes read it.
+    The table is stored first unless it already is, because several passes read it. Its row count is then known from
+    the file footers; up to ``SMALL_TABLE`` rows one plain window does the scan.
     """
     table = counts if stored else materialize(counts)
+    if table.count() <= SMALL_TABLE:
+        earlier = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return table.select("*", *[F.coalesce(F.sum(e).over(earlier), F.lit(0)).alias(n) for n, e in sums.items()])
     parts = slice_count(table)
     if table.schema[value].dataType.typeName() == "string":
         sliced = add_text_slices(table, value, parts)
