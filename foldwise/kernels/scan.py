@@ -26,7 +26,7 @@ def split_points(df: DataFrame, lead: Column, parts: int) -> list[float]:
     if parts <= 1:
         return []
     probabilities = [i / parts for i in range(1, parts)]
-    found = df.select(lead.cast("double").alias("v")).approxQuantile("v", probabilities, 0.5 / parts)
+    found = df.select(lead.cast("double").alias("v")).approxQuantile("v", probabilities, 0.1 / parts)
     return sorted({v for v in found if v is not None and math.isfinite(v)})
 
 

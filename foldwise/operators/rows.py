@@ -14,6 +14,7 @@ from foldwise.functions.hashing import MODULUS, hash_slice, key_hash
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name
 from foldwise.kernels.scan import SLICE, join_on, row_numbers, slice_count
+from foldwise.kernels.store import materialize
 
 
 def hash_positions(df: DataFrame, id: str, seed: int, by: list[str] | None = None, name: str = "position") -> DataFrame:
@@ -40,9 +41,14 @@ def stratified_kfold(df: DataFrame, id: str, y: str, k: int, seed: int, name: st
     return placed.withColumn(name, F.pmod(F.col("_pos") - 1, F.lit(k)).cast("int")).drop("_pos")
 
 
+def class_sizes(df: DataFrame, y: str) -> DataFrame:
+    """Rows per class, stored: a join with it is then planned by its real size and never shuffles the rows by class."""
+    return materialize(df.groupBy(y).agg(F.count(F.lit(1)).alias("_n")))
+
+
 def stratified_split(df: DataFrame, id: str, y: str, frac: float, seed: int, name: str = "part") -> DataFrame:
     """'A' for the first ``floor(frac * n)`` rows of each class in hash order, 'R' for the rest."""
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = class_sizes(df, y)
     placed = join_on(hash_positions(df, id, seed, [y], "_pos"), sizes, [y])
     chosen = F.col("_pos") <= F.floor(F.lit(float(frac)) * F.col("_n"))
     return placed.withColumn(name, F.when(chosen, "A").otherwise("R")).drop("_pos", "_n")
@@ -115,7 +121,7 @@ def difficulty_weights(df: DataFrame, y: str, pred: str, low: float, high: float
 
 def class_weights(df: DataFrame, y: str, positive_factor: float | None = None) -> DataFrame:
     """``weight = n / (classes * n_class)``; with ``positive_factor`` also the cost ``neg / pos * factor`` of positives."""
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = class_sizes(df, y)
     totals = sizes.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
     out = attach_row(lookup(df, sizes, [y]), totals)
     out = out.withColumn("weight", F.col("_total") / (F.col("_classes") * F.col("_n")))
@@ -161,7 +167,7 @@ def draw(j: Column, n: Column, seed: int) -> Column:
 
 def undersample(df: DataFrame, id: str, y: str, fractions: dict, seed: int) -> DataFrame:
     """Per class the first ``max(floor(n * fraction), smallest class)`` rows in hash order; other classes stay whole."""
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = class_sizes(df, y)
     least = sizes.agg(F.min("_n").alias("_least"))
     fraction = F.lit(1.0)
     for level, f in fractions.items():
