@@ -64,16 +64,19 @@ def sums_before(
 ) -> DataFrame:
     """Add, per output name, the sum of an expression over the rows strictly before, inside ``by``.
 
-    ``df`` carries a slice column that is non-decreasing in ``order``.
+    ``df`` carries a slice column that is non-decreasing in ``order``. The sum of all earlier slices enters each slice
+    as one extra first row, so the rows are shuffled once and never joined.
     """
     cell = [*by, slice_col]
-    totals = df.groupBy(*cell).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    totals = df.groupBy(*cell).agg(*[F.sum(e).alias(f"_m_{n}") for n, e in sums.items()])
     earlier = W.partitionBy(*by).orderBy(slice_col).rowsBetween(W.unboundedPreceding, -1)
-    shift = totals.select(*cell, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums])
-    within = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = df.select("*", *[F.coalesce(F.sum(e).over(within), F.lit(0)).alias(n) for n, e in sums.items()])
-    joined = join_on(local, shift, cell)
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums])
+    heads = totals.select(*cell, F.lit(0).alias("_kind"), *[F.sum(f"_m_{n}").over(earlier).alias(f"_m_{n}") for n in sums])
+    rows = df.select("*", F.lit(1).alias("_kind"), *[e.alias(f"_m_{n}") for n, e in sums.items()])
+    within = W.partitionBy(*cell).orderBy("_kind", *order).rowsBetween(W.unboundedPreceding, -1)
+    scanned = rows.unionByName(heads, allowMissingColumns=True).select(
+        *df.columns, "_kind", *[F.coalesce(F.sum(f"_m_{n}").over(within), F.lit(0)).alias(n) for n in sums]
+    )
+    return scanned.filter(F.col("_kind") == 1).drop("_kind")
 
 
 TEXT_SAMPLE_PER_SLICE = 32

@@ -14,39 +14,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.kernels.lookup import attach_row
-from foldwise.kernels.scan import add_slices, split_points
+from foldwise.kernels.scan import add_slices, slice_count, split_points
 from foldwise.kernels.store import materialize
 from foldwise.operators.binning import count_at_or_below
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name, quantile_values
 
 SHIPPED_NUMBERS = 4_000_000
-BATCH_NUMBERS = 8_000_000
+BATCH_NUMBERS = 4_000_000
+QUERIES_AT_ONCE = 64
 QUERIES_PER_CELL = 50_000
 
 
+def _brute(queries: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and positions of the ``k`` nearest rows, compared with every row of ``refs``."""
+    d = np.zeros((len(queries), len(refs)))
+    for j in range(refs.shape[1]):
+        gap = queries[:, j, None] - refs[None, :, j]
+        d += gap * gap
+    if k < len(refs):
+        near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
+        limit = np.take_along_axis(d, near, axis=1).max(axis=1)
+        for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > k):
+            near[i] = np.sort(np.argsort(d[i], kind="stable")[:k])
+    else:
+        near = np.tile(np.arange(len(refs)), (len(queries), 1))
+    found = np.take_along_axis(d, near, axis=1)
+    order = np.argsort(found, axis=1, kind="stable")
+    return np.take_along_axis(found, order, axis=1), np.take_along_axis(near, order, axis=1)
+
+
 def nearest(queries: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and positions of the ``k`` nearest reference rows; equal distances go to the earlier row."""
+    """Squared distances and positions of the ``k`` nearest reference rows; equal distances go to the earlier row.
+
+    Queries are taken in order of the first column, a few at a time. Rows close in that column bound the k-th distance;
+    rows farther than the bound in that column alone are not looked at.
+    """
     k = min(k, len(refs))
-    step = max(1, BATCH_NUMBERS // max(1, len(refs)))
-    distances, positions = [], []
-    for at in range(0, len(queries), step):
-        part = queries[at : at + step]
-        d = np.zeros((len(part), len(refs)))
-        for j in range(refs.shape[1]):
-            gap = part[:, j, None] - refs[None, :, j]
-            d += gap * gap
-        if k < len(refs):
-            near = np.sort(np.argpartition(d, k - 1, axis=1)[:, :k], axis=1)
-            limit = np.take_along_axis(d, near, axis=1).max(axis=1)
-            for i in np.flatnonzero((d <= limit[:, None]).sum(axis=1) > k):
-                near[i] = np.sort(np.argsort(d[i], kind="stable")[:k])
-        else:
-            near = np.tile(np.arange(len(refs)), (len(part), 1))
-        found = np.take_along_axis(d, near, axis=1)
-        order = np.argsort(found, axis=1, kind="stable")
-        distances.append(np.take_along_axis(found, order, axis=1))
-        positions.append(np.take_along_axis(near, order, axis=1))
-    return np.concatenate(distances), np.concatenate(positions)
+    by_lead = np.argsort(refs[:, 0], kind="stable")
+    lead = refs[by_lead, 0]
+    distances, positions = np.empty((len(queries), k)), np.empty((len(queries), k), dtype="int64")
+    order = np.argsort(queries[:, 0], kind="stable")
+    at = 0
+    while at < len(order):
+        rows = order[at : at + QUERIES_AT_ONCE]
+        part = queries[rows]
+        a, b = np.searchsorted(lead, part[0, 0], "left"), np.searchsorted(lead, part[-1, 0], "right")
+        a, b = max(0, a - 2 * k), min(len(refs), b + 2 * k)
+        a = max(0, min(a, b - k))
+        b = min(len(refs), max(b, a + k))
+        rows = rows[: max(1, BATCH_NUMBERS // (b - a))]
+        part = queries[rows]
+        window = np.sort(by_lead[a:b])
+        d, near = _brute(part, refs[window], k)
+        reach = np.sqrt(d[:, -1]) * (1.0 + 1e-9) + 1e-12
+        a2 = min(a, np.searchsorted(lead, (part[:, 0] - reach).min(), "left"))
+        b2 = max(b, np.searchsorted(lead, (part[:, 0] + reach).max(), "right"))
+        if (a2, b2) != (a, b):
+            rows = rows[: max(1, BATCH_NUMBERS // (b2 - a2))]
+            window = np.sort(by_lead[a2:b2])
+            d, near = _brute(queries[rows], refs[window], k)
+        distances[rows], positions[rows] = d, window[near]
+        at += len(rows)
+    return distances, positions
 
 
 OUT = "id bigint, rank int, ref_id bigint, distance double, label double"
@@ -96,7 +125,7 @@ def _against_shipped(asked: DataFrame, known: DataFrame, names: list[str], k: in
         for pdf in batches:
             yield _result(pdf["_id"].to_numpy("int64"), pdf[names].to_numpy("float64"), ref_ids, refs, labels, k)
 
-    return asked.mapInPandas(search, OUT)
+    return asked.repartition(slice_count(asked), "_id").mapInPandas(search, OUT)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
