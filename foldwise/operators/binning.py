@@ -12,8 +12,8 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.scalar import clip, hinge
-from foldwise.kernels.lookup import attach_row
-from foldwise.kernels.quantiles import quantile_values
+from foldwise.kernels.lookup import attach_row, lookup
+from foldwise.kernels.quantiles import exact_quantiles, quantile_name, quantile_values
 from foldwise.kernels.scan import add_slices
 from foldwise.kernels.store import materialize
 
@@ -44,6 +44,21 @@ def quantile_bins(df: DataFrame, fit: DataFrame, column: str, k: int, name: str
     return count_at_or_below(probe, "_x", inner, name or f"{column}_q{k}").drop("_x")
 
 
+def fold_quantile_bins(df: DataFrame, column: str, k: int, fold: str, folds: int, name: str | None = None) -> DataFrame:
+    """Quantile codes whose edges come, for each fold, from the rows of the other folds; NULL stays NULL.
+
+    One job fits the edges of all folds: each row counts for the folds that may see it.
+    """
+    qs = [i / k for i in range(1, k)]
+    readers = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold)))
+    seen = df.select(readers.alias(fold), column)
+    fitted = exact_quantiles(seen, [column], qs, [fold])
+    edges = F.array_distinct(F.array(*[F.col(quantile_name(column, q)) for q in qs])).alias("_edges")
+    out = lookup(df, materialize(fitted.select(fold, edges)), [fold])
+    code = F.size(F.filter("_edges", lambda e: e <= F.col(column)))
+    return out.withColumn(name or f"{column}_fq{k}", F.when(F.col(column).isNotNull(), code)).drop("_edges")
+
+
 def qcut(df: DataFrame, column: str, q: int, name: str | None = None) -> DataFrame:
     """Quantile intervals closed on the right, duplicate edges dropped."""
     return count_below(df, column, quantile_edges(df, column, q)[1:-1], name or f"{column}_qcut{q}")

@@ -135,6 +135,37 @@ def gram(df: DataFrame, columns: list[str], y: str) -> tuple[np.ndarray, np.ndar
     return g, np.array([row[f"b{i}"] for i in range(k)], dtype="float64"), float(row["yy"])
 
 
+# The weight changes tried for each model in one sweep.
+WEIGHT_CHANGES = [0.01, -0.01, 0.05, -0.05, 0.1, -0.1]
+
+
+def hill_climb_rmse(df: DataFrame, y: str, preds: list[str], sweeps: int = 100) -> tuple[dict[str, float], float]:
+    """Non-negative weights with sum 1 that lower the RMSE by small changes, from equal weights.
+
+    The squared error of any blend follows from the cross products, so the rows are read once for the whole search.
+    """
+    row = df.agg(F.count(F.lit(1)).alias("n")).first()
+    g, b, yy = gram(df, preds, y)
+    error = lambda w: math.sqrt(max(w @ g @ w - 2.0 * (b @ w) + yy, 0.0) / row["n"])
+    weights = np.full(len(preds), 1.0 / len(preds))
+    best = error(weights)
+    for _ in range(sweeps):
+        improved = False
+        for i in range(len(preds)):
+            for change in WEIGHT_CHANGES:
+                trial = weights.copy()
+                trial[i] = max(trial[i] + change, 0.0)
+                if trial.sum() <= 0:
+                    continue
+                trial = trial / trial.sum()
+                reached = error(trial)
+                if reached < best - 1e-12:
+                    best, weights, improved = reached, trial, True
+        if not improved:
+            break
+    return dict(zip(preds, weights.tolist())), best
+
+
 def solve_nonnegative(g: np.ndarray, b: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
     """Minimiser of ``x'Gx/2 - b'x`` over ``x >= 0`` by coordinate descent on a small matrix."""
     x = np.zeros(len(b))

@@ -32,6 +32,13 @@ def _(t):
     return B.quantile_bins(df, df.filter("split = 'train'"), "v", 6).select("id", "v_q6")
 
 
+@case("fold_quantile_bins", with_base(f"""
+, r as (select unnest([0, 1, 2, 3, 4]) as fold), e as (select r.fold, list_distinct(quantile_cont(bal, [{', '.join(f'{i / 7!r}e0' for i in range(1, 7))}])) as edges from folded f join r on f.fold <> r.fold group by r.fold)
+select id, cast(len(list_filter(edges, lambda x: x <= bal)) as int) as bal_fq7 from folded join e using (fold)"""))
+def _(t):
+    return B.fold_quantile_bins(t.folded(), "bal", 7, "fold", 5).select("id", "bal_fq7")
+
+
 @case("qcut", with_base(f", {edges_sql('e', 'base', 'bal', 5)} select id, cast(len(list_filter(edges, lambda x: x < bal)) as int) as bal_qcut5 from base, e"))
 def _(t):
     return B.qcut(t.base(), "bal", 5).select("id", "bal_qcut5")

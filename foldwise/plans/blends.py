@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from foldwise.operators import blending as B
@@ -59,6 +61,12 @@ def _(t):
     return rounded(B.blend(t.scores(), list(weights), "mean", list(weights.values())).select("id", "blend"), [])
 
 
+@case("hill_climb_rmse_weights")
+def _(t):
+    weights, _ = B.hill_climb_rmse(t.scores(), "y", MODELS)
+    return rounded(B.blend(t.scores(), list(weights), "mean", list(weights.values())).select("id", "blend"), [])
+
+
 def mixed_sql(grid):
     z = f"select id, fold, y, {logit_sql('m2')} as a, {logit_sql('m3')} as b from scores"
     weights = ", ".join(f"{w!r}e0" for w in grid)
@@ -86,7 +94,14 @@ def _(t):
     return rounded(B.blend(t.scores(), list(w), "mean", list(w.values())).select("id", "blend"), [])
 
 
-@case("greedy_equal_weight_selection")
+SUBSETS = [s for n in (1, 2, 3) for s in combinations(MODELS, n)]
+
+
+@case("greedy_equal_weight_selection", with_base(", z as (select id, y, " + ", ".join(f"{logit_sql(m)} as z{m[1]}" for m in MODELS) + " from scores), sets as (" + " union all ".join(
+    f"select id, y, {list(s)!r} as legs, ({' + '.join('z' + m[1] for m in s)}) / {len(s)}.0e0 as pred from z" for s in SUBSETS) + ")" + auc_sql("sets", ["legs"]) + """,
+one as (select legs from au where len(legs) = 1 order by auc desc limit 1), two as (select au.legs from au, one where len(au.legs) = 2 and list_has_all(au.legs, one.legs) order by auc desc limit 1),
+three as (select au.legs from au, two where len(au.legs) = 3 and list_has_all(au.legs, two.legs) order by auc desc limit 1)
+select id, round(pred, 6) + 0.0e0 as blend from sets join three on sets.legs = three.legs"""))
 def _(t):
     legs = B.greedy_select(t.scores(), "y", MODELS, 3, 12)
     return rounded(B.blend(t.scores(), legs, "logit").select("id", "blend"), [])
@@ -99,6 +114,26 @@ def _(t):
     return rounded(table, [])
 
 
+def pair_weights_sql(name, source, by):
+    """Closed-form non-negative least squares on two logits, per group."""
+    keys = f"{by}, " if by else ""
+    return f""", {name}_g as (select {keys}sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as yb from {source} {'group by ' + by if by else ''}),
+{name}_w as (select {keys}(bb * ay - ab * yb) / (aa * bb - ab * ab) as u, (aa * yb - ab * ay) / (aa * bb - ab * ab) as v, ay / aa as ua, yb / bb as vb from {name}_g),
+{name}_x as (select {keys}greatest(case when v < 0 then ua else u end, 0) as u, greatest(case when u < 0 then vb else v end, 0) as v from {name}_w),
+{name} as (select {keys}case when u + v > 0 then u / (u + v) else 0.5e0 end as u, case when u + v > 0 then v / (u + v) else 0.5e0 end as v from {name}_x)"""
+
+
+@case("sealed_pair_scores", with_base(RANKED + f"""
+, z as (select s.id, s.fold, s.y, {logit_sql('s.m2')} as a, {logit_sql('s.m3')} as b, (rk.m2 + rk.m3) / 2.0e0 as r from scores s join rk using (id)), rd as (select z.*, q as reader from z, (select unnest([0, 1, 2, 3, 4]) as q) where q <> fold)""" +
+    pair_weights_sql("wf", "rd", "reader") + pair_weights_sql("wa", "z", "") + """
+, p as (select z.id, z.y, unnest(['equal_rank', 'mean_logit', 'nnls_logit', 'equal_rank', 'mean_logit', 'nnls_logit']) as combiner, unnest([1, 1, 1, 0, 0, 0]) as kind,
+ unnest([r, (a + b) / 2.0e0, a * wf.u + b * wf.v, r, (a + b) / 2.0e0, a * wa.u + b * wa.v]) as pred from z join wf on z.fold = wf.reader, wa)""" + auc_sql("p", ["combiner", "kind"]) + """
+select combiner, round(max(auc) filter (kind = 1), 6) as sealed, round(max(auc) filter (kind = 0), 6) as insample, round(max(auc) filter (kind = 1) - max(auc) filter (kind = 0), 6) * -1 + 0.0e0 as optimism from au group by combiner"""))
+def _(t):
+    _, table = B.sealed_score(t.scores(), "id", "y", ["m2", "m3"], "fold", 5, ["equal_rank", "mean_logit", "nnls_logit"])
+    return rounded(table, [])
+
+
 @case("sealed_winner")
 def _(t):
     kinds = ["equal_rank", "mean_logit", "nnls_logit"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldwise.operators import groups as G
 from foldwise.operators import metrics as Q
 from foldwise.operators import models as M
-from foldwise.plans.cases import RATING_STEPS, case, rounded
+from foldwise.plans.cases import RATING_STEPS, case, rounded, with_base
 
 FEATURES = ["price0", "price_missing", "bal", "urgent", "high", "building"]
 
@@ -98,7 +98,18 @@ def _(t):
     return rounded(M.ablate(frame(t.folded(3)), "id", "y", arms, "fold", 3, M.logistic(iterations=15)), [])
 
 
-@case("isotonic_calibration")
+@case("isotonic_calibration", with_base("""
+, rd as (select unnest([0, 1, 2, 3, 4]) as reader),
+pts as (select reader, m3 as x, sum(y) as s, count(*) as w from scores join rd on fold <> reader group by all),
+c as (select reader, x, row_number() over o as i, sum(s) over o as cs, sum(w) over o as cw, sum(s) over o - s as bs, sum(w) over o - w as bw from pts window o as (partition by reader order by x)),
+pairs as (select a.reader, a.i as j, b.i as k, (b.cs - a.bs) / cast(b.cw - a.bw as double) as v from c a join c b on a.reader = b.reader and a.i <= b.i),
+low as (select reader, j, k, min(v) over (partition by reader, j order by k rows between current row and unbounded following) as g from pairs),
+iso as (select reader, k as i, max(g) as v from low group by all), curve as (select c.reader, c.x, iso.v from c join iso on c.reader = iso.reader and c.i = iso.i),
+ends as (select reader, min(x) as x0, max(x) as x1 from curve group by reader),
+q as (select id, fold as reader, least(greatest(m3, x0), x1) as x from scores join ends on fold = reader),
+l as (select q.id, q.reader, q.x, lo.x as lx, lo.v as lv from q asof join curve lo on q.reader = lo.reader and q.x >= lo.x),
+h as (select l.*, hi.x as hx, hi.v as hv from l asof join curve hi on l.reader = hi.reader and l.x <= hi.x)
+select id, round(case when hx = lx then lv else lv + (hv - lv) * (x - lx) / (hx - lx) end, 6) as calibrated from h"""))
 def _(t):
     return rounded(M.isotonic(t.scores(), "m3", "y", "fold", 5).select("id", "calibrated"), [])
 

@@ -163,12 +163,12 @@ def _(t):
 
 
 @case("arithmetic_interactions", with_base("""
-select id, round(price * bal, 2) as price_bal, round(price - nat * bal, 6) as gap, round(price / (bal + 20000.0e0), 6) as price_per_bal,
+select id, round(price * bal, 5) as price_bal, round(price - nat * bal, 6) as gap, round(price / (bal + 20000.0e0), 6) as price_per_bal,
  round(price / (bal * bal + 1.0e0), 6) as price_per_bal2, case when price is null then null else round(ln(1 + greatest(price, 0.0e0)) - ln(1 + greatest(bal, 0.0e0)), 6) end as log_gap
 from base"""))
 def _(t):
     df = R.add_interactions(t.base(), {
-        "price_bal": F.round(R.product("price", "bal"), 2),
+        "price_bal": F.round(R.product("price", "bal"), 5),
         "gap": R.product_gap("price", "nat", "bal"),
         "price_per_bal": R.ratio("price", "bal", 20000.0),
         "price_per_bal2": R.ratio_square("price", "bal"),

@@ -178,6 +178,15 @@ def test_hill_climb_improves_on_the_best_model(t):
     assert rank_auc(pdf.y, sum(pdf[m] * w for m, w in weights.items())) == pytest.approx(path[-1][2], abs=1e-6)
 
 
+def test_rmse_hill_climb_reports_the_error_of_its_blend(t):
+    names = ["m0", "m1", "m2", "m3"]
+    weights, error = blending.hill_climb_rmse(t.scores(), "y", names)
+    pdf = t.scores().select("y", *names).toPandas()
+    rmse = lambda w: float(np.sqrt(((sum(pdf[m] * v for m, v in w.items()) - pdf.y) ** 2).mean()))
+    assert rmse(weights) == pytest.approx(error, abs=1e-9)
+    assert error < rmse(dict.fromkeys(names, 0.25)) and sum(weights.values()) == pytest.approx(1.0)
+
+
 def test_nnls_matches_least_squares_when_all_positive(t):
     w = blending.nnls_weights(t.scores(), "y", ["m1", "m2", "m3"])
     pdf = t.scores().select("y", "m1", "m2", "m3").toPandas()
