@@ -93,7 +93,7 @@ def add_text_slices(df: DataFrame, text: str, parts: int, name: str = SLICE) ->
     return df.withColumn(name, F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(literals, lambda b: b <= F.col(text)))))
 
 
-SMALL_TABLE = 100_000
+SMALL_TABLE = 500_000
 
 
 def value_scan(

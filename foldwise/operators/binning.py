@@ -37,9 +37,11 @@ def quantile_edges(fit: DataFrame, column: str, k: int) -> list[float]:
 
 def quantile_bins(df: DataFrame, fit: DataFrame, column: str, k: int, name: str | None = None) -> DataFrame:
     """Code 0..k-1: number of inner quantile edges of the fit rows at or below the value; NULL counts as the fit median."""
-    median = quantile_values(fit, column, [0.5])[0]
-    filled = fit.select(F.coalesce(F.col(column).cast("double"), F.lit(median)).alias(column))
-    inner = quantile_edges(filled, column, k)[1:-1]
+    median, *edges = quantile_values(fit, column, [0.5, *[i / k for i in range(k + 1)]])
+    if not fit.filter(F.col(column).isNull()).isEmpty():
+        filled = fit.select(F.coalesce(F.col(column).cast("double"), F.lit(median)).alias(column))
+        edges = quantile_edges(filled, column, k)
+    inner = sorted(set(edges))[1:-1]
     probe = df.withColumn("_x", F.coalesce(F.col(column).cast("double"), F.lit(median)))
     return count_at_or_below(probe, "_x", inner, name or f"{column}_q{k}").drop("_x")
 

@@ -122,73 +122,76 @@ AXES = """, st as (select avg(price) as mp, stddev_samp(price) as sp, avg(bal) a
 z as (select id, split, y, coalesce((price - mp) / (sp + 1e-9), 0) as u, coalesce((bal - mb) / (sb + 1e-9), 0) as v from base, st)"""
 
 
-def near_sql(k, queries="train", refs="orig", tag="nn", extra="", filter="true"):
-    return f""", {tag}_p as (select q.id, r.id as ref_id, r.y as label, sqrt((q.u - r.u) * (q.u - r.u) + (q.v - r.v) * (q.v - r.v)) as distance
- from z q, z r where q.split = '{queries}' and r.split = '{refs}' and {filter}),
-{tag}_r as (select *, row_number() over (partition by id order by distance, ref_id) as rank from {tag}_p), {tag} as (select * from {tag}_r where rank <= {k})"""
+def near_sql(k, queries, refs, tag="nn", filter="true"):
+    """The k nearest by one aggregate per row: the k smallest (distance, id, label) of all reference rows."""
+    entry = "struct_pack(distance := sqrt((q.u - r.u) * (q.u - r.u) + (q.v - r.v) * (q.v - r.v)), ref_id := r.id, label := r.y)"
+    return f""", {tag}_l as (select q.id, min({entry}, {k}) as best from (select * from z where {queries}) q, (select * from z where {refs}) r where {filter} group by q.id),
+{tag}_u as (select id, unnest(best) as e, generate_subscripts(best, 1) as rank from {tag}_l), {tag} as (select id, rank, e.distance as distance, e.ref_id as ref_id, e.label as label from {tag}_u)"""
 
 
-def axes(t, split=None):
-    return N.standardize(t.base(split), t.base("orig"), ["price", "bal"])
+POOL, ORIG = "split <> 'orig'", "split = 'orig'"
 
 
-NEIGHBOUR_SQL = with_base(AXES + near_sql(5, queries="test") + " select id, cast(rank as int) as rank, ref_id, round(distance, 6) as distance, cast(label as double) as label from nn")
+def axes(t, role):
+    rows = t.base("orig") if role == "orig" else t.base().filter("split <> 'orig'")
+    return N.standardize(rows, t.base("orig"), ["price", "bal"])
+
+
+NEIGHBOUR_SQL = with_base(AXES + near_sql(5, POOL, ORIG) + " select id, cast(rank as int) as rank, ref_id, round(distance, 6) as distance, cast(label as double) as label from nn")
 
 
 @case("nearest_neighbours", NEIGHBOUR_SQL)
 def _(t):
-    return rounded(N.knn_join(axes(t, "test"), axes(t, "orig"), ["price_z", "bal_z"], 5, label="y"), [])
+    return rounded(N.knn_join(axes(t, "pool"), axes(t, "orig"), ["price_z", "bal_z"], 5, label="y"), [])
 
 
 @case("nearest_neighbours_ranges", NEIGHBOUR_SQL)
 def _(t):
     """The same through ranges, as for a reference set too large to ship."""
-    return rounded(N.knn_join(axes(t, "test"), axes(t, "orig"), ["price_z", "bal_z"], 5, label="y", shipped=1200), [])
+    return rounded(N.knn_join(axes(t, "pool"), axes(t, "orig"), ["price_z", "bal_z"], 5, label="y", shipped=1200), [])
 
 
-@case("knn_label_mean", with_base(AXES + near_sql(15, queries="test") + """
+@case("knn_label_mean", with_base(AXES + near_sql(15, POOL, ORIG) + """
 , m as (select id, avg(label) as m from nn where distance > 1e-9 group by id)
-select t.id, round(coalesce(m, (select avg(y) from orig)), 6) as knn_mean from test t left join m using (id)"""))
+select t.id, round(coalesce(m, (select avg(y) from orig)), 6) as knn_mean from base t left join m using (id) where split <> 'orig'"""))
 def _(t):
-    return rounded(N.knn_label_mean(axes(t, "test"), axes(t, "orig"), ["price_z", "bal_z"], "y", 15).select("id", "knn_mean"), [])
+    return rounded(N.knn_label_mean(axes(t, "pool"), axes(t, "orig"), ["price_z", "bal_z"], "y", 15).select("id", "knn_mean"), [])
 
 
-@case("knn_weighted_vote", with_base(AXES + near_sql(10, queries="test") + """
+@case("knn_weighted_vote", with_base(AXES + near_sql(10, POOL, ORIG) + """
 select id, round(sum(label / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) as knn_vote from nn group by id"""))
 def _(t):
-    return rounded(N.knn_vote(axes(t, "test"), axes(t, "orig"), ["price_z", "bal_z"], "y", 10).select("id", "knn_vote"), [])
+    return rounded(N.knn_vote(axes(t, "pool"), axes(t, "orig"), ["price_z", "bal_z"], "y", 10).select("id", "knn_vote"), [])
 
 
-@case("class_neighbour_distance", with_base(AXES + near_sql(5, "test", "orig", "n0", filter="r.y = 0") + near_sql(5, "test", "orig", "n1", filter="r.y = 1") + """
+@case("class_neighbour_distance", with_base(AXES + near_sql(5, POOL, ORIG, "n0", "r.y = 0") + near_sql(5, POOL, ORIG, "n1", "r.y = 1") + """
 , a as (select id, avg(distance) as m, min(distance) as f from n0 group by id), b as (select id, avg(distance) as m, min(distance) as f from n1 group by id)
 select id, round(a.m, 6) as near_0_mean, round(a.f, 6) as near_0_first, round(b.m, 6) as near_1_mean, round(b.f, 6) as near_1_first,
  round(b.m / (a.m + 1e-6), 4) as near_ratio, round(a.m - b.m, 6) + 0.0e0 as near_gap from a join b using (id)"""))
 def _(t):
-    out = N.knn_class_distance(axes(t, "test"), axes(t, "orig"), ["price_z", "bal_z"], "y", 5)
+    out = N.knn_class_distance(axes(t, "pool"), axes(t, "orig"), ["price_z", "bal_z"], "y", 5)
     out = out.select("id", "near_0_mean", "near_0_first", "near_1_mean", "near_1_first", "near_ratio", "near_gap")
     return rounded(out.withColumn("near_ratio", F.round("near_ratio", 4)), ["near_ratio"])
 
 
-@case("knn_density_ratio", with_base(f"""
-, pool as (select * from test), md as (select median(price) as p, median(bal) as b from pool), st as (select avg(price) as mp, stddev_pop(price) as sp, avg(bal) as mb, stddev_pop(bal) as sb from pool),
-z as (select id, split, y, (coalesce(price, p) - mp) / sp as u, (coalesce(bal, b) - mb) / sb as v from base, md, st)""" + near_sql(15, "test", "test", "np") + near_sql(15, "test", "orig", "no") + near_sql(15, "orig", "test", "op") + near_sql(15, "orig", "orig", "oo") + """
-, pp as (select * from np union all select * from op), oo2 as (select * from no union all select * from oo),
-l as (select a.id, a.rank, ln((b.distance + 1e-6) / (a.distance + 1e-6)) as r from pp a join oo2 b on a.id = b.id and a.rank = b.rank where a.rank in (5, 15)),
+@case("knn_density_ratio", with_base("""
+, pool as (select * from base where split <> 'orig'), md as (select median(price) as p, median(bal) as b from pool), st as (select avg(price) as mp, stddev_pop(price) as sp, avg(bal) as mb, stddev_pop(bal) as sb from pool),
+z as (select id, split, y, (coalesce(price, p) - mp) / sp as u, (coalesce(bal, b) - mb) / sb as v from base, md, st)""" + near_sql(15, "true", POOL, "np") + near_sql(15, "true", ORIG, "no") + """,
+l as (select a.id, a.rank, ln((b.distance + 1e-6) / (a.distance + 1e-6)) as r from np a join no b on a.id = b.id and a.rank = b.rank where a.rank in (5, 15)),
 e as (select list_sort(list_distinct(quantile_cont(r, [0.25e0, 0.5e0, 0.75e0]))) as edges from l semi join pool on l.id = pool.id where rank = 15)
 select x.id, round(x.r, 6) as dens_k5, round(w.r, 6) as dens_k15, cast(len(list_filter(edges, lambda c: c <= w.r)) as int) as dens_bin from l x join l w on x.id = w.id and x.rank = 5 and w.rank = 15, e"""))
 def _(t):
-    both = t.base().filter("split <> 'train'")
-    out = N.knn_density_ratio(both, t.base("test"), t.base("orig"), ["price", "bal"], [5, 15], 4)
+    base = t.base()
+    out = N.knn_density_ratio(base, base.filter("split <> 'orig'"), t.base("orig"), ["price", "bal"], [5, 15], 4)
     return rounded(out.select("id", "dens_k5", "dens_k15", "dens_bin"), [])
 
 
 @case("embedding_neighbours", """
 with p as (select q.vec_id as id, r.vec_id as ref_id, r.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: (cast(q.embedding[i] as double) - r.embedding[i]) * (cast(q.embedding[i] as double) - r.embedding[i])))) as distance
- from embeddings q, embeddings r where q.vec_id % 2 = 0 and r.vec_id % 2 = 1),
+ from embeddings q, embeddings r),
 n as (select *, row_number() over (partition by id order by distance, ref_id) as rank from p)
-select id, cast(rank as int) as rank, ref_id, round(distance, 5) as distance, cast(label as double) as label from n where rank <= 3""")
+select id, cast(rank as int) as rank, ref_id, round(distance, 5) as distance, cast(label as double) as label from n where rank <= 4""")
 def _(t):
     e = t.table("embeddings")
     wide = e.select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
-    odd = F.col("id") % 2 == 1
-    return rounded(N.knn_join(wide.filter(~odd), wide.filter(odd), [f"e{i}" for i in range(64)], 3, label="label"), [], 5)
+    return rounded(N.knn_join(wide, wide, [f"e{i}" for i in range(64)], 4, label="label"), [], 5)
