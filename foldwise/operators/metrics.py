@@ -6,6 +6,7 @@ Scores are counted per distinct value first; ranks then come from one scan over
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -146,24 +147,36 @@ def bootstrap_auc_diff(df: DataFrame, id: str, y: str, a: str, b: str, reps: int
 
 
 WIDE_CORRELATION = 16
+PAIRS_PER_PASS = 100
 
 
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """``(a, b, r)`` for every pair ``a < b`` in list order; the Spearman form correlates average ranks."""
+    """``(a, b, r)`` for every pair ``a < b`` in list order, over the rows where both are set; the Spearman form
+    correlates average ranks.
+
+    Many columns without NULLs are correlated as one vector in a single pass; otherwise pairs go through aggregates,
+    ``PAIRS_PER_PASS`` at a time.
+    """
     work, names = df, {c: c for c in columns}
     if method == "spearman":
         work, names = pct_rank(df, columns, suffix="_rk"), {c: f"{c}_rk" for c in columns}
     pairs = list(combinations(columns, 2))
     if len(columns) > WIDE_CORRELATION:
-        dense = VectorAssembler(inputCols=[names[c] for c in columns], outputCol="_v", handleInvalid="skip").transform(work)
-        grid = Correlation.corr(dense.select("_v"), "_v").first()[0].toArray()
-        at = {c: i for i, c in enumerate(columns)}
-        rows = [(a, b, float(grid[at[a], at[b]])) for a, b in pairs]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    exprs = [F.corr(F.col(names[a]).cast("double"), F.col(names[b]).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    wide = work.agg(*exprs)
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.explode(F.array(*entries)).alias("_e")).select("_e.a", "_e.b", "_e.r")
+        work = materialize(work.select(*[F.col(names[c]).cast("double").alias(names[c]) for c in columns]))
+        counts = work.agg(F.count(F.lit(1)).alias("rows"), *[F.count(names[c]).alias(names[c]) for c in columns]).first()
+        if all(counts[names[c]] == counts["rows"] for c in columns):
+            dense = VectorAssembler(inputCols=[names[c] for c in columns], outputCol="_v").transform(work)
+            grid = Correlation.corr(dense.select("_v"), "_v").first()[0].toArray()
+            at = {c: i for i, c in enumerate(columns)}
+            rows = [(a, b, float(grid[at[a], at[b]])) for a, b in pairs]
+            return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[start : start + PAIRS_PER_PASS]
+        exprs = [F.corr(F.col(names[a]).cast("double"), F.col(names[b]).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)]
+        entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]
+        parts.append(work.agg(*exprs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.a", "_e.b", "_e.r"))
+    return reduce(lambda x, z: x.unionByName(z), parts)
 
 
 def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.scalar import normal_quantile
 from foldwise.kernels.lookup import attach_row
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name
+from foldwise.operators.metrics import corr_matrix
 from foldwise.operators.reference import _drop_parts, _ranked, rank_table
 
 
@@ -74,16 +73,13 @@ def quantile_normal(df: DataFrame, fit: DataFrame, columns: list[str], edge: flo
 
 
 def redundant_columns(df: DataFrame, columns: list[str]) -> list[str]:
-    """Constant columns, and of each pair with |r| = 1 the later one; two aggregate rows, whatever the table size."""
+    """Constant columns, and of each pair with |r| = 1 the later one."""
     ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
     constant = [c for c in columns if ends[f"lo_{c}"] == ends[f"hi_{c}"]]
     rest = [c for c in columns if c not in constant]
-    pairs = list(combinations(rest, 2))
-    if not pairs:
+    if len(rest) < 2:
         return constant
-    exprs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs]
-    found = df.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)]).first()
-    twins = {b for (a, b), r in zip(pairs, found) if r is not None and abs(abs(r) - 1.0) < 1e-12}
+    twins = {r["b"] for r in corr_matrix(df, rest).collect() if r["r"] is not None and abs(abs(r["r"]) - 1.0) < 1e-12}
     return constant + [c for c in rest if c in twins]
 
 

@@ -187,6 +187,21 @@ def test_rmse_hill_climb_reports_the_error_of_its_blend(t):
     assert error < rmse(dict.fromkeys(names, 0.25)) and sum(weights.values()) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("holes", [False, True])
+def test_wide_correlation(spark, holes):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(300, 18)), columns=[f"c{i}" for i in range(18)])
+    pdf["c1"] += pdf["c0"]
+    df = spark.createDataFrame(pdf)
+    if holes:
+        df = df.withColumn("c3", F.when(F.col("c2") > 1.0, None).otherwise(F.col("c3")))
+        pdf.loc[pdf.c2 > 1.0, "c3"] = np.nan
+    expected = pdf.corr()
+    found = metrics.corr_matrix(df, list(pdf.columns)).collect()
+    assert len(found) == 18 * 17 // 2
+    assert all(r.r == pytest.approx(expected.loc[r.a, r.b], abs=1e-9) for r in found)
+
+
 def test_nnls_matches_least_squares_when_all_positive(t):
     w = blending.nnls_weights(t.scores(), "y", ["m1", "m2", "m3"])
     pdf = t.scores().select("y", "m1", "m2", "m3").toPandas()
