@@ -212,7 +212,6 @@ def cross_fitted_blend(
     Returns the rows with ``blend`` and the table ``(fold, weight, auc)``; ties take the smaller weight.
     """
     work = materialize(df.select(fold, y, to_logit(a).alias("_a"), to_logit(b).alias("_b")))
-    counts = []
     mixed = [F.struct(F.lit(i).alias("candidate"), (F.col("_a") * F.lit(1.0 - w) + F.col("_b") * F.lit(w)).alias("pred")) for i, w in enumerate(grid)]
     long = work.select(fold, y, F.explode(F.array(*mixed)).alias("_e")).select(fold, y, "_e.candidate", "_e.pred")
     own = class_counts(long, y, [fold, "candidate"])
