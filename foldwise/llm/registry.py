@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import simhash, superkmers, token_files
+from foldwise.llm import licences, mixing, pii, posting_lists, simhash, superkmers, tiling, token_files, toxicity, url_templates
 from foldwise.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +23,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", ["doc_id", "text"]).toDF("entry_id", "body")
 
 
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = documents(spark, sf_dir)
+    found = pii.find_pii(records, pii.fit_on(records))
+    joined = lambda c: F.array_join(
+        F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("entry_id").alias("doc_id"), *[number(k) for k in pii.KINDS],
+        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), radius=4, blocks=6, width=4)
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -33,6 +47,84 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entry_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Target weights of the mix: whole numbers per node of the domain-language-source tree; sources weigh alike.
+MIX_WEIGHTS = [
+    ("web", 5), ("books", 3), ("code", 2),
+    *[(f"{d}/{l}", w) for d in ("web", "books", "code") for l, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 1))],
+]
+
+
+def pool_of(docs: DataFrame) -> DataFrame:
+    """Documents as a pool: a domain by source number, language, source and words."""
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")) % 3
+    domain = F.when(number == 1, "books").when(number == 2, "code").otherwise("web")
+    return docs.select(
+        F.col("doc_id").alias("entry_id"), domain.alias("domain"), "lang", "source", mixing.words_in(F.col("text")).alias("n_tokens")
+    )
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    weights = spark.createDataFrame(MIX_WEIGHTS, "node string, weight bigint")
+    drawn = mixing.mix(
+        pool_of(docs), weights, share=(1, 2), max_epochs=2, seed=7, levels=("domain", "lang", "source")
+    )
+    return drawn.withColumnRenamed("entry_id", "doc_id")
+
+
+def _mix_sql() -> str:
+    rows = ", ".join(f"('{n}', {w})" for n, w in MIX_WEIGHTS)
+    fills, above = "", "(select '' as node, (select cast(sum(have) as bigint) // 2 from leaves) as budget)"
+    for k in range(3):
+        parent = "''" if k == 0 else f"p{k - 1}"
+        fills += f"""
+child{k} as (select {parent} as parent, p{k} as node, w{k} as weight, cast(sum(capacity) as hugeint) as capacity
+  from tree where capacity > 0 group by all),
+ranked{k} as (select c.*, cast(a.budget as hugeint) as given,
+    coalesce(sum(capacity) over (o rows between unbounded preceding and 1 preceding), 0) as used,
+    sum(weight) over (o rows between current row and unbounded following) as onward
+  from child{k} c join {above} a on c.parent = a.node
+  window o as (partition by c.parent order by capacity::double / weight::double, c.node)),
+full{k} as (select *, capacity * onward <= (given - used) * weight as is_full from ranked{k}),
+rest{k} as (select *, given - sum(case when is_full then capacity else 0 end) over (partition by parent) as rest,
+    sum(case when is_full then 0 else weight end) over (partition by parent) as open_weight,
+    sum(weight) over (partition by parent, is_full order by node rows unbounded preceding) as upto from full{k}),
+node{k} as (select node, cast(case when is_full then capacity
+    else (rest * upto) // open_weight - (rest * (upto - weight)) // open_weight end as bigint) as budget from rest{k}),"""
+        above = f"node{k}"
+    return rf"""
+with pool as (
+  select doc_id, case coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 3
+      when 1 then 'books' when 2 then 'code' else 'web' end as domain,
+    coalesce(lang, 'NULL') as lang, coalesce(source, 'NULL') as source,
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as n_tokens from documents),
+weights(node, weight) as (values {rows}),
+leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) as have from pool group by all),
+tree as (
+  select l.*, l.domain as p0, concat_ws('/', domain, lang) as p1, concat_ws('/', domain, lang, source) as p2,
+    coalesce(a.weight, 1) as w0, coalesce(b.weight, 1) as w1, coalesce(c.weight, 1) as w2, have * 2 as capacity
+  from leaves l left join weights a on a.node = l.domain left join weights b on b.node = concat_ws('/', domain, lang)
+    left join weights c on c.node = concat_ws('/', domain, lang, source)),{fills}
+budgets as (select t.domain, t.lang, t.source, t.have, n.budget from tree t join node2 n on t.p2 = n.node
+  where n.budget > 0 and have > 0),
+drawn as (select p.*, b.budget // b.have as epochs, b.budget % b.have as rest from pool p join budgets b using (domain, lang, source)),
+placed as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source
+    order by md5(concat_ws(':', '7', epochs, doc_id)), doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as before
+  from drawn)
+select doc_id, domain, lang, source, n_tokens, cast(epoch as int) as epoch, n_tokens as taken
+from (select *, unnest(range(0, epochs)) as epoch from placed)
+union all
+select doc_id, domain, lang, source, n_tokens, cast(epochs as int), cast(least(n_tokens, rest - before) as bigint)
+from placed where rest > before
+"""
+
+
+def op4_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark", ["item_id", "text"]).toDF("item_id", "body")
+    found = tiling.leaks(documents(spark, sf_dir), items, seed=5, shortest=3, threshold=0.8)
+    return found.withColumnRenamed("entry_id", "doc_id")
+
+
 OP5_SQL = r"""
 with split as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
@@ -60,9 +152,61 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entry_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.OrdinalModel:
+    """Fitted on a bounded sample of labelled documents: unmarked ones have grade 0, marked ones are spread over grades 1 to 3."""
+    sample = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", rows=toxicity.SAMPLE_ROWS)
+    return toxicity.fit_model(sample, levels=3)
+
+
+def op6_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    found = toxicity.severity(docs, toxicity_model(docs, labels.withColumn("toxic", (F.col("toxic") > 0).cast("int"))), "doc_id", "text")
+    return found.select(
+        F.col("entry_id").alias("doc_id"), F.col("severity").alias("expected_severity"), "grade", F.col("rejected").alias("toxic")
+    )
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(documents(spark, sf_dir))
+    distinct = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return found.select(
+        F.col("entry_id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+        distinct(F.col("phrase_labels")).alias("base_labels"),
+        distinct(F.concat("phrase_labels", "template_labels")).alias("labels"), "score",
+    )
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_templates.judge_links(table(spark, sf_dir, "pages", ["page_id", "url"]), RULES, "page_id", "url")
+    return found.select(F.col("entry_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]).toDF("id", "features")
+    found = posting_lists.nearest_rows(vectors, vectors.filter(F.col("id") % 100 == 0), k=10)
+    return found.select("query_id", "rank", F.col("entry_id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_duplicates, op5_substring_dedup, op7_token_files)}
+    found = (
+        op1_semi_markov_pii, op2_simhash_near_duplicates, op3_source_mix, op4_greedy_string_tiling, op5_substring_dedup,
+        op6_toxicity_severity, op7_token_files, op8_licence_scan, op9_url_templates, op10_posting_lists, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {
+        "op3_source_mix": _mix_sql(),
+        "op5_substring_dedup": OP5_SQL,
+        "op9_url_templates": url_templates.oracle(RULES, "pages", "page_id", "url"),
+    }
