@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.kernels.scan import join_on
 from foldwise.kernels.store import materialize
@@ -14,9 +14,9 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LEVELS = 3
 #: A segment is a literal branch if it has this share (1/20) of its parent's links, and more than one.
 LITERAL_SHARE = 20
-#: Labelled links that both a branch and its siblings need before they are compared.
+#: Labelled links that a branch needs before it is compared with its siblings.
 LEAST_LABELLED = 5
-#: Squared z value up to which a branch counts as similar to its siblings (95 %).
+#: Squared z value up to which two branches count as similar (95 %).
 SIMILAR = 3.84
 #: A template is rejected from this smoothed share of bad links on.
 REJECT_AT = 0.8
@@ -44,19 +44,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _branches(links: DataFrame) -> DataFrame:
-    """``(node, segment)`` of the literal branches that are kept at one level of the tree."""
+    """``(node, segment, step)`` of the literal branches of one level; ``step`` names the branch after merging.
+
+    A parent has at most ``LITERAL_SHARE`` of them, so the windows below are small. In order of their share of bad links,
+    neighbours that a two-proportion test does not tell apart become one branch; branches with few labels stay alone.
+    """
     child = links.filter(F.col("segment").isNotNull()).groupBy("node", "segment")
-    child = materialize(child.agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("bad")))
-    whole = child.groupBy("node").agg(
-        F.sum("n").alias("all_n"), F.sum("known").cast("double").alias("all_known"), F.sum("bad").cast("double").alias("all_bad")
+    child = materialize(
+        child.agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
+    whole = child.groupBy("node").agg(F.sum("n").alias("all_n"))
     literal = child.filter(F.col("n") > 1).join(whole, "node").filter(F.col("n") * LITERAL_SHARE >= F.col("all_n"))
-    n, bad = F.col("known").cast("double"), F.coalesce(F.col("bad"), F.lit(0)).cast("double")
-    total, all_bad = F.col("all_known"), F.coalesce(F.col("all_bad"), F.lit(0.0))
-    apart = bad * (total - n) - (all_bad - bad) * n
-    similar = apart * apart * total <= F.lit(SIMILAR) * n * (total - n) * all_bad * (total - all_bad)
-    comparable = (n >= LEAST_LABELLED) & (total - n >= LEAST_LABELLED)
-    return literal.filter(~(comparable & similar)).select("node", "segment")
+    literal = literal.select(
+        "node", "segment", (F.col("known") >= LEAST_LABELLED).alias("tested"), F.col("known").cast("double").alias("k"),
+        F.col("bad").cast("double").alias("b"),
+    )
+    order = W.partitionBy("node", "tested").orderBy(F.try_divide("b", "k"), "segment")
+    k, b, k0, b0 = F.col("k"), F.col("b"), F.lag("k").over(order), F.lag("b").over(order)
+    apart = b * k0 - b0 * k
+    similar = apart * apart * (k + k0) <= F.lit(SIMILAR) * k * k0 * (b + b0) * (k + k0 - b - b0)
+    literal = literal.withColumn("starts", F.when(F.col("tested") & similar, 0).otherwise(1))
+    group = F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    literal = literal.withColumn("group", group)
+    members = F.array_sort(F.collect_list("segment").over(W.partitionBy("node", "tested", "group")))
+    step = F.when(F.size(members) > 1, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).otherwise(F.col("segment"))
+    return literal.select("node", "segment", step.alias("step"))
 
 
 def judge_links(
@@ -67,8 +79,8 @@ def judge_links(
     ``links`` are the writeup links, ``entry_id`` and ``url``, or any rows with an id and a URL; ``rules`` are pairs of
     ``allow`` or ``block`` and a rule, a stated list that becomes one expression. The longest fitting rule decides. For every
     other link the template of its path does: below each host, a segment that holds little of its parent's links becomes
-    ``*``, and a literal branch whose labelled share of bad links is not told apart from its siblings' by a two-proportion
-    test is merged into ``*``. ``purity`` is the template's share of bad links, smoothed by one good and one bad link; from
+    ``*``, and literal branches whose labelled shares of bad links a two-proportion test does not tell apart become one, such
+    as ``{de,en}``. ``purity`` is the template's share of bad links, smoothed by one good and one bad link; from
     ``REJECT_AT`` on the verdict is ``block``, else ``allow``. Labels are the column ``label`` (1 bad, 0 good, NULL unknown), or
     else the rules' own decisions.
 
@@ -89,10 +101,9 @@ def judge_links(
     tree = materialize(base.withColumn("segments", segments).withColumn("node", F.col("host")))
     for level in range(LEVELS):
         at = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-        kept = _branches(at).withColumn("literal", F.lit(True))
-        placed = join_on(at, kept, ["node", "segment"])
-        step = F.when(F.col("literal"), F.col("segment")).otherwise(F.lit("*"))
-        node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", step))
+        placed = join_on(at, _branches(at), ["node", "segment"])
+        below = F.concat_ws("/", "node", F.coalesce("step", F.lit("*")))
+        node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(below)
         tree = materialize(placed.withColumn("node", node).select(*tree.columns))
     open_end = F.when(F.size("segments") > LEVELS, F.concat("node", F.lit("/**"))).otherwise(F.col("node"))
     tree = tree.withColumn("template", open_end)
@@ -117,15 +128,19 @@ def oracle(rules: list[tuple[str, str]], table: str, id: str, url: str) -> str:
 at{level} as (select *, segments[{level + 1}] as segment from tree{level}),
 child{level} as (select node, segment, count(*) as n, count(bad) as known, coalesce(sum(bad), 0) as bad
   from at{level} where segment is not null group by node, segment),
-whole{level} as (select node, sum(n) as all_n, cast(sum(known) as double) as t, cast(sum(bad) as double) as b
-  from child{level} group by node),
-kept{level} as (select c.node, c.segment, true as literal from (
-    select c.*, w.all_n, w.t, w.b, cast(c.known as double) as k, cast(c.bad as double) as kb
-    from child{level} c join whole{level} w on c.node = w.node) c
-  where n > 1 and n * {LITERAL_SHARE} >= all_n and not (k >= {LEAST_LABELLED} and t - k >= {LEAST_LABELLED}
-    and (kb * (t - k) - (b - kb) * k) * (kb * (t - k) - (b - kb) * k) * t <= {SIMILAR}e0 * k * (t - k) * b * (t - b))),
+literal{level} as (select node, segment, known >= {LEAST_LABELLED} as tested, known::double as k, bad::double as b
+  from (select *, sum(n) over (partition by node) as all_n from child{level}) where n > 1 and n * {LITERAL_SHARE} >= all_n),
+near{level} as (select *, lag(k) over o as k0, lag(b) over o as b0, case when k > 0 then b / k end as rate from literal{level}
+  window o as (partition by node, tested order by case when k > 0 then b / k end nulls first, segment)),
+starts{level} as (select *, case when tested and (b * k0 - b0 * k) * (b * k0 - b0 * k) * (k + k0)
+    <= {SIMILAR}e0 * k * k0 * (b + b0) * (k + k0 - b - b0) then 0 else 1 end as starts from near{level}),
+grouped{level} as (select *, sum(starts) over (partition by node, tested order by rate nulls first, segment rows unbounded preceding) as g
+  from starts{level}),
+kept{level} as (select node, segment, case when count(*) over p > 1
+    then '{{' || array_to_string(list_sort(list(segment) over p), ',') || '}}' else segment end as step
+  from grouped{level} window p as (partition by node, tested, g)),
 tree{level + 1} as (select a.* exclude (node, segment),
-    case when a.segment is null then a.node else concat(a.node, '/', case when k.literal then a.segment else '*' end) end as node
+    case when a.segment is null then a.node else concat(a.node, '/', coalesce(k.step, '*')) end as node
   from at{level} a left join kept{level} k on a.node = k.node and a.segment = k.segment),"""
     return rf"""
 with parts as (
