@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from foldwise.kernels.scan import join_on
-from foldwise.kernels.store import materialize
 from foldwise.llm.columns import id_type, pair
 
 #: Text bytes whose packed strings are compared in the mapper before they travel.
@@ -45,30 +44,41 @@ class Packer:
         self.window, self.mer, self.cache = window, mer, cache
         self.known: dict[bytes, int] = {}
 
-    def cut(self, text: bytes) -> list[tuple[int, int, int, bytes]]:
-        """``(bucket, first window, windows, packed words)`` in text order."""
-        words = text.split()
+    def buckets(self, words: list[bytes]) -> np.ndarray:
+        """The bucket of every window."""
         if len(words) < self.window:
-            return []
+            return np.zeros(0, np.uint64)
         known = self.known
         if len(known) > self.cache:
             known.clear()
-        missing = set(words).difference(known)
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in missing)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        buckets = minimisers(hashes, self.window, self.mer)
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
+        return minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), self.window, self.mer)
+
+    def cut(self, words: list[bytes], wanted: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        """``(bucket, first window, windows, packed words)`` in text order, of the wanted buckets."""
+        buckets = self.buckets(words).view(np.int64)
+        if not len(buckets):
+            return []
         starts = np.concatenate(([0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1))
         stops = np.append(starts[1:], len(buckets))
+        chosen = np.isin(buckets[starts], wanted)
+        starts, stops = starts[chosen], stops[chosen]
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         begins = np.concatenate(([0], ends[:-1] + 1))
         joined = b" ".join(words)
         spans = zip(
-            buckets[starts].view(np.int64).tolist(), starts.tolist(), (stops - starts).tolist(),
+            buckets[starts].tolist(), starts.tolist(), (stops - starts).tolist(),
             begins[starts].tolist(), ends[stops + self.window - 2].tolist(),
         )
         return [(bucket, first, n, joined[a:b]) for bucket, first, n, a, b in spans]
 
 
+def shared_runs(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs ordered by key: the first position of each run of equal keys, and whether a run holds two different rows."""
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return starts, np.minimum.reduceat(rows, starts) != np.maximum.reduceat(rows, starts)
+
+
 def _windows(packed: bytes, window: int) -> list[bytes]:
     words = packed.split(b" ")
     return [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
@@ -79,13 +89,12 @@ class Bucket:
 
     def __init__(self, window: int, limit: int):
         self.window, self.limit = window, limit
-        self.key = None
         self._clear(None)
 
     def _clear(self, key: object) -> None:
         self.key, self.packed, self.first, self.held, self.bytes, self.alone = key, None, None, [], 0, False
 
-    def add(self, key: int, packed: bytes, owner: object, text_key: int, first: int, n: int) -> Iterator[tuple]:
+    def add(self, key: int, packed: bytes, owner: object, row: int, first: int, n: int) -> Iterator[tuple]:
         """Rows arrive ordered by bucket, packed string and owner."""
         if key != self.key:
             yield from self.close()
@@ -94,34 +103,45 @@ class Bucket:
             self.packed, self.first = packed, owner
             self.bytes += len(packed)
         elif owner != self.first:
-            yield owner, text_key, first, first + n - 1 + self.window, None
+            yield owner, row, first, first + n - 1 + self.window, None
             return
         if not self.alone and self.bytes > self.limit:
-            for row in self.held:
-                yield from self._singly(*row)
+            for held in self.held:
+                yield from self._singly(*held)
             self.held, self.alone = [], True
         if self.alone:
-            yield from self._singly(packed, owner, text_key, first)
+            yield from self._singly(packed, owner, row, first)
         else:
-            self.held.append((packed, owner, text_key, first))
+            self.held.append((packed, owner, row, first))
 
-    def _singly(self, packed: bytes, owner: object, text_key: int, first: int) -> Iterator[tuple]:
+    def _singly(self, packed: bytes, owner: object, row: int, first: int) -> Iterator[tuple]:
         for i, w in enumerate(_windows(packed, self.window)):
-            yield owner, text_key, first + i, first + i + self.window, w
+            yield owner, row, first + i, first + i + self.window, w
 
     def close(self) -> Iterator[tuple]:
-        if len(self.held) > 1 and any(row[0] != self.held[0][0] for row in self.held):
-            rows = sorted(
-                (w, owner, text_key, first + i)
-                for packed, owner, text_key, first in self.held
-                for i, w in enumerate(_windows(packed, self.window))
-            )
-            seen, earliest = None, None
-            for w, owner, text_key, at in rows:
-                if w != seen:
-                    seen, earliest = w, owner
-                elif owner != earliest:
-                    yield owner, text_key, at, at + self.window, None
+        if len(self.held) < 2 or all(h[1] == self.held[0][1] for h in self.held):
+            return
+        windows = sorted(
+            (w, owner, row, first + i)
+            for packed, owner, row, first in self.held
+            for i, w in enumerate(_windows(packed, self.window))
+        )
+        seen, earliest, later = None, None, []
+        for w, owner, row, at in windows:
+            if w != seen:
+                seen, earliest = w, owner
+            elif owner != earliest:
+                later.append((owner, row, at))
+        later.sort()
+        start, last = 0, None
+        for owner, row, at in later:
+            if last != (owner, row, at - 1):
+                if last:
+                    yield *last[:2], start, last[2] + self.window, None
+                start = at
+            last = (owner, row, at)
+        if last:
+            yield *last[:2], start, last[2] + self.window, None
 
 
 def _frame(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -139,88 +159,150 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> It
     yield _frame(held, schema)
 
 
-def repeated_spans(
-    records: DataFrame, id: str = "entry_id", body: str = "body", window: int = 13, mer: int = 3,
-    bucket_bytes: int = BUCKET_BYTES,
-) -> DataFrame:
-    """``(entry_id, text_key, start, stop)``: word spans covered by a window that also starts in a record with a smaller id.
-
-    A mapper cuts each text into super-k-mers. Of equal packed strings it ships the one of the smallest id and reports the
-    others itself, so a passage held by a third of all records arrives once per mapper block. Buckets are the minimisers;
-    a task reads them one after another in order (bucket, string, id) and sorts the windows of the distinct strings, never
-    expanding copies. A bucket with more than ``bucket_bytes`` of distinct strings (a frequent word run) sends its windows
-    on singly, to be grouped by the whole window. ``text_key`` tells apart records that share an id; NULL ids and texts of
-    fewer words than a window give no spans.
+def _arrow(kind: DataFrame, *fields: tuple[str, pa.DataType]) -> pa.Schema:
+    return pa.schema([to_arrow_schema(kind.select("entry_id").schema).field(0), *[pa.field(n, t) for n, t in fields]])
+
+
+def shared_buckets(texts: DataFrame, window: int, mer: int) -> DataFrame:
+    """``(row, buckets array)``: of each row of ``(row, entry_id, body)`` the buckets that another row also has.
+
+    Only numbers travel. A mapper block settles what its own rows share and sends each bucket on once.
     """
-    if not 0 < mer <= window:
-        raise ValueError("mer must be between 1 and window")
-    source = pair(records, id, body).filter(F.col("entry_id").isNotNull() & F.col("body").isNotNull())
-    source = source.select("entry_id", F.xxhash64("body").alias("text_key"), F.col("body").cast("binary").alias("body"))
-    kind = id_type(source)
-    id_arrow = source.select("entry_id").schema
 
-    def arrow(*fields: tuple[str, pa.DataType]) -> pa.Schema:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(window, mer)
+
+        def block(found: list[np.ndarray], rows: list[int]) -> pa.RecordBatch:
+            keys = np.concatenate([*found, np.zeros(0, np.int64)])
+            owner = np.repeat(np.array(rows, np.int64), [len(f) for f in found])
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            if len(keys):
+                starts, shared = shared_runs(keys, owner)
+                every = np.repeat(shared, np.diff(np.append(starts, len(keys))))
+                settled = np.concatenate([np.ones(every.sum(), bool), np.zeros(len(starts), bool)])
+                keys = np.concatenate([keys[every], keys[starts]])
+                owner = np.concatenate([owner[every], owner[starts]])
+            else:
+                settled = np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owner), pa.array(settled)], ["bucket", "row", "settled"])
+
+        for batch in batches:
+            found, rows, size = [], [], 0
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                found.append(np.unique(packer.buckets(text.split())).view(np.int64))
+                rows.append(row)
+                size += len(text)
+                if size > LOCAL_BYTES:
+                    yield block(found, rows)
+                    found, rows, size = [], [], 0
+            yield block(found, rows)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        return pa.schema([to_arrow_schema(id_arrow).field(0), *[pa.field(n, t) for n, t in fields]])
+        def out(keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            if len(keys):
+                starts, shared = shared_runs(keys, rows)
+                every = np.repeat(shared, np.diff(np.append(starts, len(keys))))
+                keys, rows = keys[every], rows[every]
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(keys)], ["row", "bucket"])
 
-    sent = (("text_key", pa.int64()), ("bucket", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("packed", pa.binary()))
-    spans = (("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary()))
+        for batch in batches:
+            new_keys, new_rows, settled = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            settled = settled.astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(new_rows[settled]), pa.array(new_keys[settled])], ["row", "bucket"])
+            keys = np.concatenate([keys, new_keys[~settled]])
+            rows = np.concatenate([rows, new_rows[~settled]])
+            if len(keys):
+                open_from = int(np.searchsorted(keys, keys[-1]))
+                yield out(keys[:open_from], rows[:open_from])
+                keys, rows = keys[open_from:], rows[open_from:]
+        yield out(keys, rows)
+
+    spread_out = texts.mapInArrow(spread, "bucket bigint, row bigint, settled boolean")
+    met = spread_out.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "row bigint, bucket bigint")
+    return met.groupBy("row").agg(F.collect_set("bucket").alias("buckets"))
+
+
+def repeated_spans(texts: DataFrame, window: int = 13, mer: int = 5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``(row, entry_id, start, stop)``: word spans covered by a window that also starts in a record with a smaller id.
+
+    ``texts`` has ``(row, entry_id, body)``: a number that tells rows of one id apart, the id, and the text in UTF-8. A window can
+    only repeat inside a bucket that two rows share, so the super-k-mers of those buckets alone are packed and sent. Of
+    equal packed strings a mapper block sends the one of the smallest id and reports the others itself: a passage held by
+    a third of all records arrives once per block. A task reads its buckets one after another in order (bucket, string,
+    id), and sorts the windows of the distinct strings, never expanding copies. The windows of a bucket with more than
+    ``bucket_bytes`` of distinct strings (a frequent word run) are dealt out again, each by its whole text.
+    """
+    kind = id_type(texts)
+    sent = (("row", pa.int64()), ("bucket", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("packed", pa.binary()))
+    spans = (("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("piece", pa.binary()))
+    sent_schema, span_schema = _arrow(texts, *sent), _arrow(texts, *spans)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, schema = Packer(window, mer), arrow(*sent)
+        packer = Packer(window, mer)
 
         def rows(block: list[tuple]) -> Iterator[tuple]:
-            cuts = [(owner, key, packer.cut(text)) for owner, key, text in block]
             smallest: dict[bytes, object] = {}
-            for owner, _, cut in cuts:
+            for owner, _, cut in block:
                 for _, _, _, packed in cut:
                     if smallest.setdefault(packed, owner) > owner:
                         smallest[packed] = owner
-            for owner, key, cut in cuts:
+            for owner, row, cut in block:
                 for bucket, first, n, packed in cut:
-                    yield owner, key, bucket, first, n, packed if smallest[packed] == owner else None
+                    yield owner, row, bucket, first, n, packed if smallest[packed] == owner else None
 
         for batch in batches:
             block, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                block.append(row)
-                size += len(row[2])
+            for row, owner, text, buckets in zip(*(c.to_pylist() for c in batch.columns)):
+                block.append((owner, row, packer.cut(text.split(), np.array(buckets, np.int64))))
+                size += len(text)
                 if size > LOCAL_BYTES:
-                    yield from _batched(rows(block), schema)
+                    yield from _batched(rows(block), sent_schema)
                     block, size = [], 0
-            yield from _batched(rows(block), schema)
+            yield from _batched(rows(block), sent_schema)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(*spans)
-
         def rows() -> Iterator[tuple]:
             bucket = Bucket(window, bucket_bytes)
             for batch in batches:
-                owners, keys, buckets, firsts, counts, packs = (c.to_pylist() for c in batch.columns)
-                for owner, text_key, key, first, n, packed in zip(owners, keys, buckets, firsts, counts, packs):
+                for owner, row, key, first, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
                     if packed is None:
-                        yield owner, text_key, first, first + n - 1 + window, None
+                        yield owner, row, first, first + n - 1 + window, None
                     else:
-                        yield from bucket.add(key, packed, owner, text_key, first, n)
+                        yield from bucket.add(key, packed, owner, row, first, n)
             yield from bucket.close()
 
-        yield from _batched(rows(), schema)
+        yield from _batched(rows(), span_schema)
 
-    packed = source.mapInArrow(pack, f"entry_id {kind}, text_key bigint, bucket bigint, first int, n int, packed binary")
-    # What the mapper has settled needs no meeting place: it is dealt by record.
-    place = F.when(F.col("packed").isNull(), F.xxhash64("entry_id", "first")).otherwise(F.col("bucket"))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            seen, earliest = None, None
+            for batch in batches:
+                for owner, row, start, stop, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                    if piece is None:
+                        yield owner, row, start, stop
+                    elif piece != seen:
+                        seen, earliest = piece, owner
+                    elif owner != earliest:
+                        yield owner, row, start, stop
+
+        yield from _batched(rows(), pa.schema(list(span_schema)[:4]))
+
+    known = texts.join(shared_buckets(texts, window, mer), "row").select("row", "entry_id", "body", "buckets")
+    packed = known.mapInArrow(pack, f"entry_id {kind}, row bigint, bucket bigint, first int, n int, packed binary")
+    # What a mapper has settled needs no meeting place.
+    place = F.when(F.col("packed").isNull(), F.xxhash64("row", "first")).otherwise(F.col("bucket"))
     dealt = packed.withColumn("bucket", place).repartition("bucket").sortWithinPartitions("bucket", "packed", "entry_id")
-    found = materialize(dealt.mapInArrow(sort, f"entry_id {kind}, text_key bigint, start int, stop int, piece binary"))
-    single = found.filter(F.col("piece").isNotNull())
-    earliest = single.groupBy("piece").agg(F.min("entry_id").alias("earliest"))
-    later = single.join(earliest, "piece").filter(F.col("entry_id") > F.col("earliest"))
-    names = ["entry_id", "text_key", "start", "stop"]
-    return found.filter(F.col("piece").isNull()).select(*names).unionByName(later.select(*names))
+    found = dealt.mapInArrow(sort, f"entry_id {kind}, row bigint, start int, stop int, piece binary")
+    place = F.when(F.col("piece").isNull(), F.xxhash64("row", "start")).otherwise(F.xxhash64("piece"))
+    again = found.repartition(place).sortWithinPartitions("piece", "entry_id")
+    return again.mapInArrow(single, f"entry_id {kind}, row bigint, start int, stop int")
 
 
 def remove_repeats(
-    records: DataFrame, id: str = "entry_id", body: str = "body", window: int = 13, mer: int = 3,
+    records: DataFrame, id: str = "entry_id", body: str = "body", window: int = 13, mer: int = 5,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``(entry_id, n_words, n_removed, kept)``: each record's text without the words of ``repeated_spans``, the rest joined by
@@ -230,25 +312,28 @@ def remove_repeats(
     Windows are judged on the texts as given. A NULL text has no words and an empty ``kept``; repeated rows each get a row,
     and rows that share an id never remove from each other; a NULL id neither loses words nor counts as earlier.
     """
-    source = pair(records, id, body)
-    kind = id_type(source)
-    spans = repeated_spans(records, id, body, window, mer, bucket_bytes)
-    cuts = spans.groupBy("entry_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
-    keyed = source.withColumn("text_key", F.xxhash64("body"))
-    joined = join_on(keyed, cuts, ["entry_id", "text_key"]).select(
-        "entry_id", F.col("body").cast("binary").alias("body"), "cuts.start", "cuts.stop"
-    )
+    if not 0 < mer <= window:
+        raise ValueError("mer must be between 1 and window")
+    source = pair(records, id, body).filter(F.col("entry_id").isNotNull() & F.col("body").isNotNull())
+    texts = source.select(F.xxhash64("entry_id", "body").alias("row"), "entry_id", F.col("body").cast("binary").alias("body"))
+    kind = id_type(texts)
+    spans = repeated_spans(texts, window, mer, bucket_bytes)
+    cuts = spans.groupBy("row").agg(F.collect_set(F.struct("entry_id", "start", "stop")).alias("cuts"))
+    # The same exchange of the texts serves this join and the one inside repeated_spans.
+    joined = texts.join(cuts, "row", "left").select("entry_id", "body", "cuts.entry_id", "cuts.start", "cuts.stop")
+    joined = joined.toDF("entry_id", "body", "owners", "starts", "stops")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals, removed, kept = [], [], []
-            for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for id, text, owners, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or b"").split()
                 totals.append(len(words))
                 if starts:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, stops, -1)
+                    own = [o == id for o in owners]
+                    np.add.at(edge, np.array(starts)[own], 1)
+                    np.add.at(edge, np.array(stops)[own], -1)
                     words = [w for w, c in zip(words, np.cumsum(edge).tolist()) if not c]
                 removed.append(totals[-1] - len(words))
                 kept.append(b" ".join(words).decode())
@@ -257,4 +342,9 @@ def remove_repeats(
                 ["entry_id", "n_words", "n_removed", "kept"],
             )
 
-    return joined.mapInArrow(strip, f"entry_id {kind}, n_words bigint, n_removed bigint, kept string")
+    schema = f"entry_id {kind}, n_words bigint, n_removed bigint, kept string"
+    empty = pair(records, id, body).filter(F.col("entry_id").isNull() | F.col("body").isNull())
+    whole = empty.select("entry_id", F.col("body").cast("binary").alias("body"), *[
+        F.lit(None).cast(t).alias(n) for n, t in (("owners", f"array<{kind}>"), ("starts", "array<int>"), ("stops", "array<int>"))
+    ])
+    return joined.mapInArrow(strip, schema).unionByName(whole.mapInArrow(strip, schema))
