@@ -15,9 +15,17 @@ from foldwise.llm.columns import id_type, pair, quoted
 LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+#: Lengths in bytes of the word beginnings that are terms besides the words: inflected forms share them.
+BEGINNINGS = (4, 5)
+
+
 def terms_of(text: bytes | None) -> set[bytes]:
-    """The distinct words of a text: runs of letters, lower-cased in ASCII."""
-    return set((text or b"").translate(LETTERS).split())
+    """The distinct words of a text (runs of letters, lower-cased in ASCII) and, marked by ``^``, their beginnings."""
+    words = set((text or b"").translate(LETTERS).split())
+    terms = set(words)
+    for n in BEGINNINGS:
+        terms.update([b"^" + w[:n] for w in words if len(w) > n])
+    return terms
 
 
 @dataclass
@@ -31,6 +39,10 @@ class OrdinalModel:
         weights = self.weights
         return sum([weights[t] for t in sorted(weights.keys() & terms_of(text))])
 
+    def rejects(self, scores: np.ndarray, reject_at: float) -> np.ndarray:
+        """Whether P(grade > 0) reaches ``reject_at`` by evidence: a text without telling terms is never rejected."""
+        return (self.above(scores)[:, 0] >= reject_at) & (scores > 0)
+
     def above(self, scores: np.ndarray) -> np.ndarray:
         """Rows of P(grade > k) for each threshold k."""
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
@@ -96,13 +108,30 @@ def labelled_sample(
     return pair(records, id, body).join(F.broadcast(chosen), "entry_id")
 
 
+def telling_terms(bags: list[tuple[bytes, ...]], marked: np.ndarray, least: int, most: int) -> list[bytes]:
+    """The ``most`` terms, of at least ``least`` records each, whose presence depends most on the mark by the chi-square
+    statistic; in text order, ties to the earlier term."""
+    counts: dict[bytes, list[int]] = {}
+    for bag, mark in zip(bags, marked.tolist()):
+        for t in bag:
+            pair_of = counts.setdefault(t, [0, 0])
+            pair_of[mark] += 1
+    terms = sorted(t for t, (a, b) in counts.items() if a + b >= least)
+    good, bad = np.array([counts[t] for t in terms], float).reshape(-1, 2).T
+    n, n_bad = len(marked), float(marked.sum())
+    n_good = n - n_bad
+    seen = good + bad
+    worth = n * (bad * (n_good - good) - good * (n_bad - bad)) ** 2 / np.maximum(seen * (n - seen) * n_bad * n_good, 1e-9)
+    return sorted(terms[i] for i in np.argsort(-worth, kind="stable")[:most].tolist())
+
+
 def fit_model(
-    sample: DataFrame, levels: int = 1, min_records: int = 4, l2: float = 1e-3, steps: int = 300
+    sample: DataFrame, levels: int = 1, min_records: int = 4, max_terms: int = 300, l2: float = 5e-5, steps: int = 300
 ) -> OrdinalModel:
     """Fit on a bounded sample ``(entry_id, body, grade)`` with grades 0, 1, 2, ...
 
-    Tasks reduce each text to its distinct terms; the driver holds only those of the sample. Terms of fewer than
-    ``min_records`` sampled records are left out. If the labels are a bare 0/1 mark and ``levels`` exceeds 1, a first fit
+    Tasks reduce each text to its distinct terms; the driver holds only those of the sample. At most ``max_terms`` terms that
+    depend most on the mark (a grade above 0), each in at least ``min_records`` sampled records, are the features. If the labels are a bare 0/1 mark and ``levels`` exceeds 1, a first fit
     ranks the marked records and their mark is spread over ``levels`` grades of equal size, so that the thresholds order
     them by strength of evidence. An empty sample, or one without any grade above 0, gives a model without terms.
     """
@@ -115,14 +144,11 @@ def fit_model(
 
     rows = source.mapInArrow(terms, "terms array<binary>, grade int").collect()
     bags = sorted((tuple(bytes(t) for t in r["terms"]), max(0, r["grade"])) for r in rows)
-    counts: dict[bytes, int] = {}
-    for bag, _ in bags:
-        for t in bag:
-            counts[t] = counts.get(t, 0) + 1
-    order = {t: i for i, t in enumerate(sorted(t for t, n in counts.items() if n >= min_records))}
     grades = np.array([g for _, g in bags], np.int64)
     if not grades.any():
         return OrdinalModel({}, np.array([20.0]))
+    chosen = telling_terms([b for b, _ in bags], (grades > 0).astype(np.int64), min_records, max_terms)
+    order = {t: i for i, t in enumerate(chosen)}
     indexed = [[order[t] for t in bag if t in order] for bag, _ in bags]
     weights, thresholds = fit(indexed, grades, len(order), l2, steps)
     if levels > 1 and grades.max() == 1:
@@ -140,7 +166,7 @@ def severity(
     """``(entry_id, score, p_above array, severity, grade, rejected)``, one row per record.
 
     ``p_above[k]`` is P(grade > k); their sum ``severity`` is the expected grade; ``grade`` is the most probable one and
-    ``rejected`` says that P(grade > 0) reaches ``reject_at``. The reference's records carry no toxicity marks, so the operator
+    ``rejected`` says that P(grade > 0) reaches ``reject_at`` and the score is above 0. The reference's records carry no toxicity marks, so the operator
     is general: any rows with an id and a text. Whole texts are scored; NULL and empty texts have no terms and score 0.
     NULL ids and repeated rows each keep their row. The model's size is bounded by its sample.
     """
@@ -153,7 +179,7 @@ def severity(
             mass = np.hstack([np.ones((len(scores), 1)), above]) - np.hstack([above, np.zeros((len(scores), 1))])
             arrays = [
                 batch.column(0), pa.array(scores), pa.array(list(above), pa.list_(pa.float64())), pa.array(above.sum(axis=1)),
-                pa.array(mass.argmax(axis=1), pa.int32()), pa.array(above[:, 0] >= reject_at, pa.bool_()),
+                pa.array(mass.argmax(axis=1), pa.int32()), pa.array(model.rejects(scores, reject_at), pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["entry_id", "score", "p_above", "severity", "grade", "rejected"])
 
@@ -168,6 +194,6 @@ def keep_clean(records: DataFrame, model: OrdinalModel, body: str = "body", reje
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.array([model.score(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], float)
-            yield batch.filter(pa.array(model.above(scores)[:, 0] < reject_at, pa.bool_()))
+            yield batch.filter(pa.array(~model.rejects(scores, reject_at), pa.bool_()))
 
     return records.mapInArrow(run, records.schema)
