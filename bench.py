@@ -34,6 +34,11 @@ HEADLINE = [
     "delong_test",
     "bootstrap_auc_difference",
     "rank_mean_blend",
+    "nnls_combiner",
+    "hill_climb_rmse_weights",
+    "sealed_pair_scores",
+    "oof_prediction",
+    "stacking",
     "logit_mean_blend",
     "cross_fitted_blend",
     "encoding_scoreboard",
@@ -47,7 +52,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, 8, "foldwise-bench")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()
+    QUERIES["percent_rank"](spark, folder).write.format("noop").mode("overwrite").save()  # warm-up: compiles what all share
     seconds = {}
     for name in names:
         began = time.perf_counter()

@@ -36,6 +36,13 @@ def from_logit(z: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-as_column(z)))
 
 
+def safe_corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation (an aggregate) over the rows where both are set; NULL where a side does not vary."""
+    a, b = as_column(a).cast("double"), as_column(b).cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def hinge(x: Column | str, low: float, width: float | None) -> Column:
     """``clip(x - low, 0, width)``; an open end with ``width=None``."""
     return clip(as_column(x) - F.lit(float(low)), 0.0, width)

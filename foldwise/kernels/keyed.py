@@ -17,7 +17,7 @@ def keyed(df: DataFrame, columns: list[str], carry: list[str] | None = None, nul
     carry = carry or []
     texts = [F.col(c).cast("string").alias(f"k_{c}") for c in columns]
     long = df.select(*carry, *texts).unpivot(carry, [f"k_{c}" for c in columns], COLUMN, KEY)
-    long = long.withColumn(COLUMN, F.substring(COLUMN, 3, 1000))
+    long = long.withColumn(COLUMN, F.regexp_replace(COLUMN, "^k_", ""))
     return long if nulls else long.filter(F.col(KEY).isNotNull())
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return fresh
 
 
+SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def stored(spark: SparkSession) -> Iterator[None]:
+    """Scope of stored tables: those written inside are removed at its end, when the results have been written elsewhere.
+
+    One scope of a driver program is open at a time, or one inside another. Outside any scope tables stay until the folder is
+    cleared.
+    """
+    paths: list[str] = []
+    SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        SCOPES.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it back.
 
@@ -38,5 +61,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    for paths in SCOPES[-1:]:
+        paths.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

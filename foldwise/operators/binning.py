@@ -5,16 +5,14 @@ Edges are a short list of numbers (one per bin) fitted by a distributed job; row
 
 from __future__ import annotations
 
-import math
-import re
+from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.scalar import clip, hinge
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name, quantile_values
-from foldwise.kernels.scan import add_slices
+from foldwise.kernels.scan import add_slices, join_on, value_scan
 from foldwise.kernels.store import materialize
 
 
@@ -103,14 +101,36 @@ def ref_quantile_code(df: DataFrame, ref: DataFrame, column: str, k: int, name:
     return df.withColumn(name or f"{column}_ref{k}", code)
 
 
-def tree_edges(fit: DataFrame, column: str, y: str, max_leaves: int) -> list[float]:
-    """Thresholds of a one-feature decision tree; inner quantiles if it finds fewer than two."""
-    from foldwise.operators.models import X, assemble
+def best_split(leaves: DataFrame) -> tuple[float, float, int] | None:
+    """``(last value of the left part, gain, leaf)`` of the split of counted values ``(_leaf, _v, _n, _p)`` that lowers the Gini
+    impurity most; ties go to the smallest value."""
+    before = value_scan(leaves, ["_leaf"], "_v", {"_ln": F.col("_n"), "_lp": F.col("_p")})
+    whole = leaves.groupBy("_leaf").agg(F.sum("_n").alias("_tn"), F.sum("_p").alias("_tp"))
+    n, p = (F.col("_ln") + F.col("_n")).cast("double"), (F.col("_lp") + F.col("_p")).cast("double")
+    pure = lambda n, p: F.try_divide(p * p + (n - p) * (n - p), n)
+    total_n, total_p = F.col("_tn").cast("double"), F.col("_tp").cast("double")
+    gain = pure(n, p) + pure(total_n - n, total_p - p) - pure(total_n, total_p)
+    cuts = join_on(before, whole, ["_leaf"]).select("_v", gain.alias("_gain"), "_leaf").filter(F.col("_gain") > 1e-9)
+    top = cuts.orderBy(F.col("_gain").desc(), "_v").first()
+    return None if top is None else tuple(top)
+
 
-    rows = materialize(assemble(fit.filter(F.col(column).isNotNull()), [column], [y]))
-    tree = DecisionTreeClassifier(featuresCol=X, labelCol=y, maxDepth=max(1, math.ceil(math.log2(max_leaves))), maxBins=256, seed=1).fit(rows)
-    found = sorted({float(v) for v in re.findall(r"feature 0 <= ([-0-9.eE]+)", tree.toDebugString)})
-    return found if len(found) >= 2 else quantile_edges(fit, column, max_leaves)[1:-1]
+def tree_edges(fit: DataFrame, column: str, y: str, max_leaves: int) -> list[float]:
+    """At most ``max_leaves - 1`` thresholds of a one-feature tree for a 0/1 label, grown best leaf first by exact counts per
+    distinct value; a threshold is the middle of two neighbouring values. Inner quantiles if it finds fewer than two."""
+    rows = fit.filter(F.col(column).isNotNull() & F.col(y).isNotNull())
+    counts = materialize(rows.groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_p")))
+    lasts: list[float] = []
+    while len(lasts) + 1 < max_leaves:
+        leaf = reduce(lambda a, b: a + b, [(F.col("_v") > F.lit(e)).cast("int") for e in lasts], F.lit(0))
+        found = best_split(counts.withColumn("_leaf", leaf))
+        if found is None:
+            break
+        lasts.append(found[0])
+    if len(lasts) < 2:
+        return quantile_edges(fit, column, max_leaves)[1:-1]
+    following = counts.agg(*[F.min(F.when(F.col("_v") > e, F.col("_v"))).alias(f"e{i}") for i, e in enumerate(lasts)]).first()
+    return sorted((e + following[f"e{i}"]) / 2 for i, e in enumerate(lasts))
 
 
 def tree_bins(df: DataFrame, fit: DataFrame, column: str, y: str, max_leaves: int, name: str | None = None) -> DataFrame:
@@ -136,7 +156,8 @@ def ple(df: DataFrame, column: str, edges: list[float], scaled: bool = True) ->
 
 def _woe_rows(counts: DataFrame, totals: DataFrame) -> DataFrame:
     out = attach_row(counts, totals)
-    pos, neg = F.col("events") / F.col("_pos"), (F.col("n") - F.col("events")) / F.col("_neg")
+    pos = F.try_divide(F.col("events"), F.col("_pos"))
+    neg = F.try_divide(F.col("n") - F.col("events"), F.col("_neg"))
     woe = F.when((pos > 0) & (neg > 0), F.ln(neg / pos)).otherwise(F.lit(0.0))
     return out.withColumns({"woe": woe, "iv": (neg - pos) * woe}).drop("_pos", "_neg")
 
@@ -146,7 +167,7 @@ def _totals(df: DataFrame, y: str) -> DataFrame:
 
 
 def iv_table(df: DataFrame, column: str, y: str, bins: int) -> DataFrame:
-    """Rows, events, weight of evidence and information value per quantile bin."""
+    """Rows, events, weight of evidence and information value per quantile bin; with one class alone the value is NULL."""
     coded = quantile_bins(df, df, column, bins, "bin")
     counts = coded.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"))
     return _woe_rows(counts, _totals(df, y))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foldwise.functions.scalar import clip, to_logit
+from foldwise.functions.scalar import clip, safe_corr, to_logit
 from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name
@@ -25,8 +27,10 @@ from foldwise.operators.reference import rank_table
 
 
 def to_wide(archive: DataFrame, models: list[str], id: str = "id") -> DataFrame:
-    """One column per model from the long archive ``(model, id, pred)``."""
-    return archive.groupBy(id).pivot("model", models).agg(F.first("pred"))
+    """One column per model from the long archive ``(model, id, pred)``; a model that repeats an id stops the job."""
+    cells = archive.filter(F.col("model").isin(models)).groupBy("model", id).agg(F.first("pred").alias("pred"), F.count(F.lit(1)).alias("_n"))
+    once = F.when(F.col("_n") == 1, F.col("pred")).otherwise(F.raise_error(F.lit("a model repeats an id")))
+    return cells.select("model", id, once.alias("pred")).groupBy(id).pivot("model", models).agg(F.first("pred"))
 
 
 def weighted(columns: list[Column], weights: list[float] | None = None) -> Column:
@@ -56,15 +60,20 @@ def eligible(aucs: DataFrame, band: float) -> DataFrame:
 
 
 def merge_duplicates(df: DataFrame, y: str, preds: list[str], rho: float, min_models: int = 1) -> list[str]:
-    """Models left after dropping the weaker of every pair whose ranks correlate above ``rho``; all if too few would be left."""
+    """Models left after dropping the weaker of every pair whose ranks correlate above ``rho``; all if too few would be left.
+
+    Pairs are visited in list order; a pair with a model that is already gone is skipped, equal scores keep the first.
+    """
     solo = model_scores(df, y, preds)
-    near = {(r["a"], r["b"]): r["r"] for r in corr_matrix(df, preds, "spearman").collect()}
-    kept = list(preds)
-    for i, a in enumerate(preds):
-        for b in preds[i + 1 :]:
-            if a in kept and b in kept and near[(a, b)] is not None and near[(a, b)] > rho:
-                kept.remove(a if solo[a] < solo[b] else b)
-    return kept if len(kept) >= min_models else list(preds)
+    position = F.array_position(F.array(*[F.lit(p) for p in preds]), F.col("a")), F.array_position(F.array(*[F.lit(p) for p in preds]), F.col("b"))
+    close = corr_matrix(df, preds, "spearman").filter(F.col("r") > rho).orderBy(*position)
+    dropped: set[str] = set()
+    for row in close.select("a", "b").collect():
+        pair = {row["a"], row["b"]}
+        if not pair & dropped:
+            dropped.add(min(pair, key=lambda m: (solo[m], -preds.index(m))))
+    left = [p for p in preds if p not in dropped]
+    return left if len(left) >= min_models else list(preds)
 
 
 def model_scores(df: DataFrame, y: str, preds: list[str]) -> dict[str, float]:
@@ -88,9 +97,10 @@ BATCH = 200
 
 
 def hill_climb(
-    df: DataFrame, y: str, preds: list[str], step: float = 0.1, negative: bool = False, min_gain: float = 1e-6, rounds: int = 20
+    df: DataFrame, y: str, preds: list[str], step: float = 0.1, negative: bool = False, min_gain: float = 1e-6, rounds: int | None = None
 ) -> tuple[dict[str, float], list[tuple[str, float, float]]]:
-    """Weights found by adding, round by round, the (model, weight) that lifts the AUC most.
+    """Weights found by adding, round by round, the (model, weight) that lifts the AUC most, until the gain falls below
+    ``min_gain`` (or for at most ``rounds`` rounds, if given). ``negative`` also tries the weights from -1 on.
 
     Returns the weights (summing to 1) and the path ``[(model, weight, auc)]``. Each round is one job per ``BATCH`` candidates.
     """
@@ -101,8 +111,8 @@ def hill_climb(
     count = round(1.0 / step)
     grid = [i * step for i in range(1, count + 1)]
     if negative:
-        grid = [-i * step for i in range(1, count)] + grid
-    for _ in range(rounds):
+        grid = [-i * step for i in range(1, count + 1)] + grid
+    for _ in count_up() if rounds is None else range(rounds):
         total = sum(weights.values())
         trials = []
         for m in preds:
@@ -126,44 +136,59 @@ def hill_climb(
 
 
 def gram(df: DataFrame, columns: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Cross products of the columns with each other and with the label: a table of models squared, from one aggregate."""
-    sums = {f"g{i}_{j}": F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j}
-    sums |= {f"b{i}": F.sum(F.col(a) * F.col(y)) for i, a in enumerate(columns)}
-    row = df.agg(*[e.alias(n) for n, e in sums.items()], F.sum(F.col(y) * F.col(y)).alias("yy")).first()
-    k = len(columns)
-    g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype="float64")
-    return g, np.array([row[f"b{i}"] for i in range(k)], dtype="float64"), float(row["yy"])
+    """Cross products of the columns with each other and with the label: a table of models squared.
+
+    Every task multiplies its own batches; the small tables are added up by cell. A row with a NULL stops the job.
+    """
+    k = len(columns) + 1
+    values = df.select(F.array(*[F.col(c).cast("double") for c in [*columns, y]]).alias("_v"))
+
+    def multiply(batches):
+        total = np.zeros((k, k))
+        for batch in batches:
+            block = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, k)
+            if np.isnan(block).any():
+                raise ValueError("cross products need complete rows")
+            total += block.T @ block
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], ["_cell", "_s"])
+
+    cells = values.mapInArrow(multiply, "_cell bigint, _s double").groupBy("_cell").agg(F.sum("_s").alias("_s")).collect()
+    table = np.zeros(k * k)
+    for row in cells:
+        table[row["_cell"]] = row["_s"]
+    table = table.reshape(k, k)
+    return table[:-1, :-1], table[:-1, -1], float(table[-1, -1])
 
 
 # The weight changes tried for each model in one sweep.
 WEIGHT_CHANGES = [0.01, -0.01, 0.05, -0.05, 0.1, -0.1]
 
 
-def hill_climb_rmse(df: DataFrame, y: str, preds: list[str], sweeps: int = 100) -> tuple[dict[str, float], float]:
-    """Non-negative weights with sum 1 that lower the RMSE by small changes, from equal weights.
+def blend_errors(g: np.ndarray, b: np.ndarray, yy: float, n: int, trials: np.ndarray) -> np.ndarray:
+    """RMSE of every row of weights, from the cross products alone."""
+    quadratic = np.einsum("ti,ij,tj->t", trials, g, trials)
+    return np.sqrt(np.maximum(quadratic - 2.0 * trials @ b + yy, 0.0) / n)
 
-    The squared error of any blend follows from the cross products, so the rows are read once for the whole search.
+
+def hill_climb_rmse(df: DataFrame, y: str, preds: list[str]) -> tuple[dict[str, float], float]:
+    """Non-negative weights with sum 1 that lower the RMSE by small changes, from equal weights until none helps.
+
+    Each step scores every change of every model at once and takes the best. The squared error of any blend follows from the
+    cross products, so the rows are read once for the whole search.
     """
-    row = df.agg(F.count(F.lit(1)).alias("n")).first()
+    n, k = df.count(), len(preds)
     g, b, yy = gram(df, preds, y)
-    error = lambda w: math.sqrt(max(w @ g @ w - 2.0 * (b @ w) + yy, 0.0) / row["n"])
-    weights = np.full(len(preds), 1.0 / len(preds))
-    best = error(weights)
-    for _ in range(sweeps):
-        improved = False
-        for i in range(len(preds)):
-            for change in WEIGHT_CHANGES:
-                trial = weights.copy()
-                trial[i] = max(trial[i] + change, 0.0)
-                if trial.sum() <= 0:
-                    continue
-                trial = trial / trial.sum()
-                reached = error(trial)
-                if reached < best - 1e-12:
-                    best, weights, improved = reached, trial, True
-        if not improved:
-            break
-    return dict(zip(preds, weights.tolist())), best
+    changes = np.kron(np.eye(k), np.array(WEIGHT_CHANGES)[:, None])
+    weights = np.full(k, 1.0 / k)
+    best = float(blend_errors(g, b, yy, n, weights[None, :])[0])
+    while True:
+        trials = np.maximum(weights + changes, 0.0)
+        trials = trials[trials.sum(axis=1) > 0]
+        trials = trials / trials.sum(axis=1, keepdims=True)
+        errors = blend_errors(g, b, yy, n, trials)
+        if errors.min() >= best - 1e-12:
+            return dict(zip(preds, weights.tolist())), best
+        best, weights = float(errors.min()), trials[errors.argmin()]
 
 
 def solve_nonnegative(g: np.ndarray, b: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
@@ -188,8 +213,9 @@ def nnls_weights(df: DataFrame, y: str, preds: list[str], logits: bool = False)
     return dict(zip(preds, x.tolist()))
 
 
-def greedy_select(df: DataFrame, y: str, preds: list[str], steps: int, candidates: int) -> list[str]:
-    """Legs of an equal-weight logit mean: start with the best, then add the best of the strongest remaining candidates."""
+def greedy_select(df: DataFrame, y: str, preds: list[str], steps: int, candidates: int | None = None) -> list[str]:
+    """Legs of an equal-weight logit mean: start with the best, then add the best of the remaining models (of the
+    ``candidates`` strongest, if given)."""
     work = materialize(df.select(y, *[to_logit(p).alias(p) for p in preds]))
     solo = model_scores(work, y, preds)
     strong = sorted(preds, key=lambda m: -solo[m])
@@ -243,6 +269,21 @@ def tune_class_weights(df: DataFrame, y: str, probs: list[str], grid: list[list[
     return _candidate_recall(df, y, guesses)
 
 
+def drawn_weights(n: int, classes: int, low: float, high: float, seed: int) -> list[list[float]]:
+    """``n`` weight vectors drawn evenly from ``[low, high]``."""
+    return np.random.default_rng(seed).uniform(low, high, (n, classes)).tolist()
+
+
+def weighted_argmax(df: DataFrame, y: str, probs: list[str], grid: list[list[float]], test: DataFrame | None = None) -> tuple[list[float], DataFrame]:
+    """The weight vector of the best balanced accuracy (ties: the first), and the rows of ``test`` (or ``df``) with the class
+    ``guess`` that it gives."""
+    scores = tune_class_weights(df, y, probs, grid)
+    top = scores.orderBy(F.col("balanced_accuracy").desc(), "candidate").first()
+    best = grid[top["candidate"]]
+    rows = df if test is None else test
+    return best, rows.withColumn("guess", argmax_class([F.col(p) * F.lit(float(w)) for p, w in zip(probs, best)]))
+
+
 def tune_thresholds(df: DataFrame, y: str, low: str, high: str, grid: list[tuple[float, float]]) -> DataFrame:
     """Balanced accuracy of the rule: class 2 if ``high`` is at its threshold, else class 0 if ``low`` is at its, else 1."""
     guesses = [
@@ -303,16 +344,19 @@ def cell_blend(df: DataFrame, y: str, preds: list[str], cell: str, min_rows: int
     schema = "_cell string, " + ", ".join(f"_w{i} double" for i in range(k)) + ", _w0x double"
 
     def solve(batches):
+        upper = [f"g{i}_{j}" for i in range(k) for j in range(i, k)]
+        rows, columns = np.triu_indices(k)
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                n, s = row["n"], np.array([row[f"s{i}"] for i in range(k)])
-                g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                b = np.array([row[f"b{i}"] for i in range(k)])
-                centred = g - np.outer(s, s) / n + alpha * np.eye(k)
-                w = np.linalg.solve(centred, b - s * row["sy"] / n)
-                out.append([row["_cell"], *w.tolist(), float((row["sy"] - s @ w) / n)])
-            yield pd.DataFrame(out, columns=["_cell", *[f"_w{i}" for i in range(k)], "_w0x"])
+            n, total = pdf["n"].to_numpy()[:, None], pdf["sy"].to_numpy()[:, None]
+            s, b = (pdf[[f"{name}{i}" for i in range(k)]].to_numpy() for name in "sb")
+            g = np.zeros((len(pdf), k, k))
+            g[:, rows, columns] = g[:, columns, rows] = pdf[upper].to_numpy()
+            centred = g - s[:, :, None] * s[:, None, :] / n[:, :, None] + alpha * np.eye(k)
+            w = np.linalg.solve(centred, (b - s * total / n)[:, :, None])[:, :, 0]
+            constant = (total - (s * w).sum(axis=1, keepdims=True)) / n
+            out = pd.DataFrame(np.hstack([w, constant]), columns=[*[f"_w{i}" for i in range(k)], "_w0x"])
+            out.insert(0, "_cell", pdf["_cell"].to_numpy())
+            yield out
 
     weights = materialize(table.mapInPandas(solve, schema))
     out = lookup(df.withColumn("_cell", F.col(cell).cast("string")), weights, ["_cell"])
@@ -364,11 +408,13 @@ def quantile_match(df: DataFrame, pred: str, train: DataFrame, train_pred: str,
 
 
 def agreement_blend(df: DataFrame, preds: list[str], teacher: str) -> DataFrame:
-    """Weighted mean with weights proportional to each model's correlation with the teacher model (its own being 1)."""
-    ties = df.agg(*[(F.lit(1.0) if p == teacher else F.corr(p, teacher)).alias(f"_w_{p}") for p in preds])
+    """Weighted mean with weights proportional to each model's correlation with the teacher model (its own being 1); a model
+    that does not vary weighs 0."""
+    ties = df.agg(*[(F.lit(1.0) if p == teacher else safe_corr(p, teacher)).alias(f"_w_{p}") for p in preds])
     out = attach_row(df, ties)
-    total = reduce(lambda a, b: a + b, [F.col(f"_w_{p}") for p in preds])
-    value = reduce(lambda a, b: a + b, [F.col(p) * F.col(f"_w_{p}") for p in preds]) / total
+    weight = {p: F.coalesce(F.col(f"_w_{p}"), F.lit(0.0)) for p in preds}
+    total = reduce(lambda a, b: a + b, weight.values())
+    value = F.try_divide(reduce(lambda a, b: a + b, [F.col(p) * weight[p] for p in preds]), total)
     return out.withColumn("blend", value).drop(*[f"_w_{p}" for p in preds])
 
 
@@ -392,37 +438,43 @@ def rank_blend_scaled(df: DataFrame, preds: list[str], y: str, points: int = 100
 # fold-sealed combiners
 
 
-def fit_combiner(fit: DataFrame, y: str, preds: list[str], kind: str, steps: int = 3, candidates: int = 12) -> tuple[Column, list[str]]:
-    """Blend expression fitted on ``fit``, over percentile-rank columns ``<p>_rk`` and raw predictions, and its legs."""
-    logits = [to_logit(p) for p in preds]
-    if kind == "equal_rank":
-        return weighted([F.col(f"{p}_rk") for p in preds]), preds
-    if kind == "mean_logit":
-        return weighted(logits), preds
-    if kind == "nnls_logit":
-        w = nnls_weights(fit, y, preds, logits=True)
-        return weighted(logits, [w[p] for p in preds]), preds
-    if kind == "greedy_logit":
-        legs = greedy_select(fit, y, preds, steps, candidates)
-        return weighted([to_logit(p) for p in legs]), legs
-    if kind == "stack_logit":
-        from foldwise.operators.models import stack_weights
-
-        w, b = stack_weights(fit, y, preds)
-        return weighted(logits, w) + F.lit(b), preds
-    raise ValueError(f"unknown combiner {kind}")
-
-
-def sealed_score(df: DataFrame, id: str, y: str, preds: list[str], fold: str, folds: int, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+def _nnls_logit(fit: DataFrame, y: str, preds: list[str], **_) -> Column:
+    found = nnls_weights(fit, y, preds, logits=True)
+    return weighted([to_logit(p) for p in preds], [found[p] for p in preds])
+
+
+def _stack_logit(fit: DataFrame, y: str, preds: list[str], **_) -> Column:
+    from foldwise.operators.models import stack_weights
+
+    slopes, constant = stack_weights(fit, y, preds)
+    return weighted([to_logit(p) for p in preds], slopes) + F.lit(constant)
+
+
+#: A combiner is fitted on rows with percentile-rank columns ``<p>_rk`` beside the predictions and gives a blend expression.
+COMBINERS = {
+    "equal_rank": lambda fit, y, preds, **_: weighted([F.col(f"{p}_rk") for p in preds]),
+    "mean_logit": lambda fit, y, preds, **_: weighted([to_logit(p) for p in preds]),
+    "nnls_logit": _nnls_logit,
+    "greedy_logit": lambda fit, y, preds, steps, candidates: weighted([to_logit(p) for p in greedy_select(fit, y, preds, steps, candidates)]),
+    "stack_logit": _stack_logit,
+}
+
+
+def sealed_score(
+    df: DataFrame, id: str, y: str, preds: list[str], fold: str, folds: int, kinds: list[str], steps: int = 5,
+    candidates: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Each combiner applied to every fold with weights and legs chosen on the other folds only.
 
-    Returns the rows with one sealed column per combiner, and ``(combiner, sealed, insample, optimism)``.
+    Returns the rows with one sealed column per combiner, and ``(combiner, sealed, insample, optimism)``. The greedy combiner
+    takes ``steps`` legs, from all models or the ``candidates`` strongest.
     """
-    work = materialize(pct_rank(df.select(id, fold, y, *preds), preds, suffix="_rk"))
+    work = _ranked(df, [id, fold, y], preds)
     fits = [(kind, f) for kind in kinds for f in [*range(folds), None]]
 
     def fit(kind: str, f: int | None) -> Column:
-        return fit_combiner(work if f is None else work.filter(F.col(fold) != f), y, preds, kind)[0]
+        rows = work if f is None else work.filter(F.col(fold) != f)
+        return COMBINERS[kind](rows, y, preds, steps=steps, candidates=candidates)
 
     found = dict(zip(fits, in_parallel(df.sparkSession, [lambda c=c: fit(*c) for c in fits])))
     sealed, inner = {}, {}
@@ -441,6 +493,21 @@ def sealed_score(df: DataFrame, id: str, y: str, preds: list[str], fold: str, fo
     return rows.select(id, fold, y, *sealed), table.withColumn("optimism", F.col("insample") - F.col("sealed"))
 
 
+def _ranked(df: DataFrame, keep: list[str], preds: list[str]) -> DataFrame:
+    return materialize(pct_rank(df.select(*keep, *preds), preds, suffix="_rk"))
+
+
+def combined_test(
+    df: DataFrame, test: DataFrame, id: str, y: str, preds: list[str], kinds: list[str], steps: int = 5, candidates: int | None = None
+) -> DataFrame:
+    """Test predictions ``(id, kinds...)`` of combiners fitted on all labelled rows; ranks are taken within the test rows."""
+    work, rows = _ranked(df, [id, y], preds), _ranked(test, [id], preds)
+    fits = in_parallel(
+        df.sparkSession, [lambda k=k: COMBINERS[k](work, y, preds, steps=steps, candidates=candidates) for k in kinds]
+    )
+    return rows.select(id, *[e.alias(k) for k, e in zip(kinds, fits)])
+
+
 def pick_winner(table: DataFrame, order: list[str], band: float) -> DataFrame:
     """Of the combiners within ``band`` of the best sealed score, the first in the declared order."""
     best = table.agg(F.max("sealed").alias("_best"))

@@ -12,7 +12,7 @@ from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name
 from foldwise.kernels.scan import join_on, row_numbers, slice_hot_groups, SLICE
 from foldwise.kernels.store import materialize
-from foldwise.operators.keys import level_list, level_name
+from foldwise.operators.keys import level_name
 
 
 def present(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,9 +55,16 @@ def group_profile(df: DataFrame, pool: DataFrame, key: str, measures: list[str],
     return out.withColumns({f"{prefix}_{m}_resid": F.col(m) - F.col(f"{prefix}_{m}_mean") for m in measures})
 
 
-def group_shares(df: DataFrame, pool: DataFrame, key: str, category: str, levels: list | None = None) -> DataFrame:
-    """Share of each level of ``category`` within the row's group; an unseen group takes the overall share."""
-    levels = level_list(pool, category) if levels is None else levels
+def group_share_table(pool: DataFrame, key: str, category: str) -> DataFrame:
+    """``(key, category, share)`` for a vocabulary of any size: share of each level that occurs in a group."""
+    counts = pool.filter(F.col(category).isNotNull()).groupBy(key, category).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(key).agg(F.sum("_n").alias("_all"))
+    return join_on(counts, sizes, [key]).select(key, category, (F.col("_n") / F.col("_all")).alias("share"))
+
+
+def group_shares(df: DataFrame, pool: DataFrame, key: str, category: str, levels: list) -> DataFrame:
+    """A column with the share of each of the given levels of ``category`` within the row's group; an unseen group takes the
+    overall share."""
     known = pool.filter(F.col(category).isNotNull())
     share = {f"share_{level_name(category, v)}": F.avg((F.col(category) == F.lit(v)).cast("double")) for v in levels}
     table = materialize(present(known, [key]).groupBy(key).agg(*[e.alias(n) for n, e in share.items()]))

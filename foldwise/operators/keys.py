@@ -7,9 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.keyed import COLUMN, KEY, attach_keyed, keyed_stats
 from foldwise.kernels.lookup import attach_row, lookup
-from foldwise.kernels.scan import value_scan
+from foldwise.kernels.scan import join_on, value_scan
 from foldwise.kernels.store import materialize
 
 MISSING_TEXT = "nan"  # fixed value: how a missing part is written inside a composite key
@@ -146,8 +147,24 @@ def lift_encode(df: DataFrame, pool: DataFrame, orig: DataFrame, columns: list[s
 
 
 def pair_lift(df: DataFrame, pool: DataFrame, orig: DataFrame, columns: list[str]) -> DataFrame:
-    """Lift and novelty of every column pair."""
-    pairs = [ngram_name(g) for g in combinations(columns, 2)]
-    wide = [ngram_keys(f, columns, 2) for f in (df, pool, orig)]
-    out = lift_encode(wide[0], wide[1], wide[2], pairs)
-    return novelty_flag(out, wide[2], pairs).drop(*pairs)
+    """``<a>__<b>_lift`` and ``<a>__<b>_novel`` of every column pair: share in ``pool`` over share in ``orig`` (0 if not there), and 1
+    where the pair does not occur in ``orig``.
+
+    A pair is keyed by its two columns, so different pairs never meet in one text; NULL parts match NULL. Each sample is counted
+    once per pair, all pairs side by side.
+    """
+    whole = pool.agg(F.count(F.lit(1)).alias("_all_p")), orig.agg(F.count(F.lit(1)).alias("_all_o"))
+
+    def fitted(a: str, b: str) -> DataFrame:
+        own, other = (d.groupBy(a, b).agg(F.count(F.lit(1)).alias(n)) for d, n in ((orig, "_o"), (pool, "_p")))
+        both = attach_row(attach_row(join_on(own, other, [a, b]), whole[0]), whole[1])
+        lift = F.coalesce("_p", F.lit(0)) / F.col("_all_p") / (F.col("_o") / F.col("_all_o"))
+        return materialize(both.select(a, b, lift.alias("_lift")))
+
+    pairs = list(combinations(columns, 2))
+    out = df
+    for (a, b), table in zip(pairs, in_parallel(df.sparkSession, [lambda p=p: fitted(*p) for p in pairs])):
+        name = ngram_name((a, b))
+        new = {f"{name}_lift": F.coalesce("_lift", F.lit(0.0)), f"{name}_novel": F.col("_lift").isNull().cast("int")}
+        out = lookup(out, table, [a, b]).withColumns(new).drop("_lift")
+    return out

@@ -13,6 +13,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foldwise.functions.hashing import MODULUS, key_hash
+from foldwise.functions.scalar import safe_corr
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.scan import value_scan
 from foldwise.kernels.store import materialize
@@ -115,28 +117,44 @@ def delong(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     return out.withColumn("z", F.try_divide(F.col("auc_a") - F.col("auc_b"), F.nullif(F.col("se"), F.lit(0.0))))
 
 
-# Cumulative probabilities of the Poisson distribution with mean 1.
-POISSON_ONE = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+# Cumulative probabilities of the Poisson distribution with mean 1 in steps of the hash, up to where its tail is below one step.
+POISSON_ONE = sorted({
+    round(MODULUS * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(13)
+} - {MODULUS})
 
 
-def poisson_weight(id: str, rep: Column, seed: int) -> Column:
-    u = F.pmod(F.xxhash64(F.col(id), rep, F.lit(seed)), F.lit(2**40)) / F.lit(float(2**40))
-    weight = F.lit(0)
-    for edge in POISSON_ONE:
-        weight = weight + (u >= F.lit(edge)).cast("int")
-    return weight
+def poisson_weights(df: DataFrame, id: str, block: range, reps: int, seed: int) -> DataFrame:
+    """``_w<r>``: weight of a row in each replicate of ``block`` (of ``reps`` in all), from a hash of its key."""
+    drawn = df.select("*", *[key_hash(F.col(id) * F.lit(reps) + F.lit(r), seed).alias(f"_u{r}") for r in block])
+    weight = lambda r: reduce(lambda w, edge: w + (F.col(f"_u{r}") >= F.lit(edge)).cast("int"), POISSON_ONE, F.lit(0))
+    return drawn.select(*df.columns, *[weight(r).alias(f"_w{r}") for r in block])
+
+
+REPLICATES_PER_PASS = 20
 
 
 def bootstrap_auc_diff(df: DataFrame, id: str, y: str, a: str, b: str, reps: int, seed: int) -> DataFrame:
     """One row: mean, standard deviation and 95 % interval of AUC(a) - AUC(b) over weighted resamples, and the share above 0.
 
-    Each row gets a Poisson(1) weight per replicate from a hash of its key, so no resample is ever drawn or stored.
+    Each row gets a Poisson(1) weight per replicate from a hash of its key, so no resample is ever drawn or stored. The
+    weights are summed per distinct score, ``REPLICATES_PER_PASS`` replicates side by side: what is shuffled and scanned are
+    distinct scores, not rows times replicates.
     """
-    copies = df.select(id, y, a, b).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    weighted = copies.withColumn("_w", poisson_weight(id, F.col("rep"), seed)).filter("_w > 0")
-    long = long_scores(weighted, [a, b], ["rep", y, "_w"])
-    areas = auc_from_counts(class_counts(long, y, ["rep", "model"], F.col("_w")), ["rep", "model"])
-    gap = areas.groupBy("rep").agg(F.sum(F.when(F.col("model") == a, F.col("auc")).otherwise(-F.col("auc"))).alias("gap"))
+    rows, parts = df.select(id, y, a, b), []
+    for start in range(0, reps, REPLICATES_PER_PASS):
+        block = range(start, min(reps, start + REPLICATES_PER_PASS))
+        weights = long_scores(poisson_weights(rows, id, block, reps, seed), [a, b], [y, *[f"_w{r}" for r in block]])
+        sums = [
+            F.sum(F.when(F.col(y) == c, F.col(f"_w{r}")).otherwise(F.lit(0))).alias(f"{n}{r}") for r in block for c, n in ((1, "p"), (0, "n"))
+        ]
+        counts = materialize(weights.filter(F.col("pred").isNotNull()).groupBy("model", "pred").agg(*sums))
+        scanned = value_scan(counts, ["model"], "pred", {f"b{r}": F.col(f"n{r}") for r in block}, stored=True)
+        won = lambda r: F.sum(F.col(f"p{r}").cast("double") * (F.col(f"b{r}") + F.col(f"n{r}") / F.lit(2.0)))
+        area = lambda r: F.try_divide(won(r), F.sum(f"p{r}").cast("double") * F.sum(f"n{r}"))
+        areas = scanned.groupBy("model").agg(*[area(r).alias(f"a{r}") for r in block])
+        signed = [F.sum(F.when(F.col("model") == a, F.col(f"a{r}")).otherwise(-F.col(f"a{r}"))).alias(f"g{r}") for r in block]
+        parts.append(areas.agg(*signed).select(F.explode(F.array(*[F.col(f"g{r}") for r in block])).alias("gap")))
+    gap = reduce(lambda x, z: x.unionByName(z), parts)
     return gap.agg(
         F.avg("gap").alias("mean"),
         F.stddev_samp("gap").alias("sd"),
@@ -152,7 +170,7 @@ PAIRS_PER_PASS = 100
 
 def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """``(a, b, r)`` for every pair ``a < b`` in list order, over the rows where both are set; the Spearman form
-    correlates average ranks.
+    correlates average ranks. ``r`` is NULL where a column does not vary, at any number of columns.
 
     Many columns without NULLs are correlated as one vector in a single pass; otherwise pairs go through aggregates,
     ``PAIRS_PER_PASS`` at a time.
@@ -168,12 +186,13 @@ def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> D
             dense = VectorAssembler(inputCols=[names[c] for c in columns], outputCol="_v").transform(work)
             grid = Correlation.corr(dense.select("_v"), "_v").first()[0].toArray()
             at = {c: i for i, c in enumerate(columns)}
-            rows = [(a, b, float(grid[at[a], at[b]])) for a, b in pairs]
+            value = lambda a, b: float(grid[at[a], at[b]])
+            rows = [(a, b, None if math.isnan(value(a, b)) else value(a, b)) for a, b in pairs]
             return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
-        exprs = [F.corr(F.col(names[a]).cast("double"), F.col(names[b]).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(part)]
+        exprs = [safe_corr(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(part)]
         entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]
         parts.append(work.agg(*exprs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.a", "_e.b", "_e.r"))
     return reduce(lambda x, z: x.unionByName(z), parts)

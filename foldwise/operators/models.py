@@ -17,17 +17,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from foldwise.functions.scalar import clip, to_logit
+from foldwise.functions.scalar import clip, safe_corr, to_logit
 from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.store import materialize
 from foldwise.operators.metrics import auc, delong
-from foldwise.operators.rows import hashed_fold, min_max_weights
+from foldwise.operators.rows import hashed_fold, min_max_weights, stratified_kfold
 
 X = "_x"
 
 
-def logistic(reg: float = 1e-4, iterations: int = 25, **kw) -> LogisticRegression:
+def logistic(reg: float = 1e-4, iterations: int = 100, **kw) -> LogisticRegression:
     return LogisticRegression(featuresCol=X, maxIter=iterations, regParam=reg, **kw)
 
 
@@ -137,10 +137,11 @@ def two_stage(
 
 
 def backbone_margin(
-    train: DataFrame, id: str, y: str, features: list[str], fold: str, folds: int, inner: int, seed: int, estimator: Estimator
+    train: DataFrame, id: str, y: str, features: list[str], fold: str, folds: int, inner: int, seed: int, estimator: Estimator,
+    test: DataFrame | None = None,
 ) -> DataFrame:
-    """Per outer fold a logit margin for every row: fit rows from inner folds that did not see them, held rows from
-    the mean of the inner models. ``(id, outer, role, margin)``."""
+    """Per outer fold a logit margin for every row: fit rows from inner folds that did not see them, held rows and test rows
+    from the mean of the inner models. ``(id, outer, role, margin)`` with role ``fit``, ``hold`` or ``test``."""
     work = materialize(assemble(hashed_fold(train, id, inner, seed, "_inner"), features, [id, fold, y, "_inner"]))
     check_folds(work, fold, folds)
 
@@ -155,11 +156,12 @@ def backbone_margin(
             rows = work.filter((F.col(fold) != f) & (F.col("_inner") == g))
             fit_part = score(models[(f, g)], rows, "_p").select(id, F.lit(f).alias("outer"), F.lit("fit").alias("role"), to_logit("_p").alias("margin"))
             parts.append(fit_part)
-        held = work.filter(F.col(fold) == f)
-        for g in range(inner):
-            held = score(models[(f, g)], held, f"_p{g}")
         mean = reduce(lambda a, b: a + b, [to_logit(f"_p{g}") for g in range(inner)]) / F.lit(float(inner))
-        parts.append(held.select(id, F.lit(f).alias("outer"), F.lit("hold").alias("role"), mean.alias("margin")))
+        asked = [] if test is None else [("test", assemble(test, features, [id]))]
+        for role, rows in [("hold", work.filter(F.col(fold) == f)), *asked]:
+            for g in range(inner):
+                rows = score(models[(f, g)], rows, f"_p{g}")
+            parts.append(rows.select(id, F.lit(f).alias("outer"), F.lit(role).alias("role"), mean.alias("margin")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -214,8 +216,11 @@ def ablate(train: DataFrame, id: str, y: str, arms: dict[str, list[str]], fold:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def isotonic(df: DataFrame, pred: str, y: str, fold: str | None = None, folds: int = 0, name: str = "calibrated") -> DataFrame:
-    """Monotone calibration of ``pred``; with ``fold`` every row comes from a fit on the other folds.
+def isotonic(
+    df: DataFrame, pred: str, y: str, fold: str | None = None, folds: int = 0, name: str = "calibrated", test: DataFrame | None = None
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Monotone calibration of ``pred``; with ``fold`` every row comes from a fit on the other folds, and the rows of ``test``, if
+    given, get the mean over the folds as a second frame.
 
     Equal predictions are summed into one weighted point before the fit.
     """
@@ -230,7 +235,10 @@ def isotonic(df: DataFrame, pred: str, y: str, fold: str | None = None, folds: i
     check_folds(work, fold, folds)
     models = in_parallel(df.sparkSession, [lambda f=f: fit(work.filter(F.col(fold) != f)) for f in range(folds)])
     parts = [score(m, work.filter(F.col(fold) == f), name) for f, m in enumerate(models)]
-    return reduce(lambda a, b: a.unionByName(b), parts).drop(X)
+    oof = reduce(lambda a, b: a.unionByName(b), parts).drop(X)
+    if test is None:
+        return oof
+    return oof, mean_score(models, test.withColumn(X, F.col(pred).cast("double")), name).drop(X)
 
 
 def boosted_pseudo(
@@ -263,10 +271,40 @@ def stack_weights(fit: DataFrame, y: str, preds: list[str], c: float = 0.3) -> t
     return [float(v) for v in model.coefficients], float(model.intercept)
 
 
-def stack(df: DataFrame, id: str, y: str, preds: list[str], fold: str, folds: int, kind: str = "logistic") -> DataFrame:
-    """Cross-fitted meta-model: L2 logistic on logits, or ridge on the predictions."""
-    logits = df.select(id, fold, y, *[(to_logit(p) if kind == "logistic" else F.col(p)).alias(p) for p in preds])
-    return oof_predict(logits, id, y, preds, fold, folds, logistic() if kind == "logistic" else ridge(1e-3))[0]
+def stack(
+    df: DataFrame, id: str, y: str, preds: list[str], fold: str, folds: int, kind: str = "logistic", test: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Cross-fitted meta-model, L2 logistic on logits or ridge on the predictions; test rows get the mean over the folds."""
+    columns = [(to_logit(p) if kind == "logistic" else F.col(p)).alias(p) for p in preds]
+    learner = logistic() if kind == "logistic" else ridge(1e-3)
+    rows = None if test is None else test.select(id, *columns)
+    oof, tested, _ = oof_predict(df.select(id, fold, y, *columns), id, y, preds, fold, folds, learner, rows)
+    return oof, tested
+
+
+def sigmoid_calibration(
+    df: DataFrame, id: str, pred: str, y: str, fold: str, folds: int, test: DataFrame | None = None, name: str = "calibrated"
+) -> tuple[DataFrame, DataFrame | None]:
+    """Platt's sigmoid of a score, fitted without a penalty on the other folds; test rows get the mean over the folds."""
+    rows = df.select(id, fold, y, F.col(pred).cast("double").alias("_score"))
+    asked = None if test is None else test.select(id, F.col(pred).cast("double").alias("_score"))
+    learner = logistic(0.0, 200, tol=1e-10, standardization=False)
+    oof, tested, _ = oof_predict(rows, id, y, ["_score"], fold, folds, learner, asked, name=name)
+    return oof, tested
+
+
+def multi_seed_oof(
+    train: DataFrame, id: str, y: str, features: list[str], folds: int, seeds: list[int], estimator: Estimator, test: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Mean over seeds of the out-of-fold and test predictions, each seed with its own stratified folds."""
+    rows = materialize(train.select(id, y, *features))
+    runs = [oof_predict(stratified_kfold(rows, id, y, folds, s), id, y, features, "fold", folds, estimator, test) for s in seeds]
+    oof = reduce(lambda a, b: a.unionByName(b), [r[0].select(id, y, "pred") for r in runs])
+    oof = oof.groupBy(id).agg(F.max(y).alias(y), F.avg("pred").alias("pred"))
+    if test is None:
+        return oof, None
+    tested = reduce(lambda a, b: a.unionByName(b), [r[1].select(id, "pred") for r in runs])
+    return oof, tested.groupBy(id).agg(F.avg("pred").alias("pred"))
 
 
 def screen_features(df: DataFrame, y: str, features: list[str], id: str, seed: int, estimator: GBTClassifier | None = None) -> DataFrame:
@@ -277,7 +315,7 @@ def screen_features(df: DataFrame, y: str, features: list[str], id: str, seed: i
     rows = materialize(assemble(work, names, [y]))
     gains = fitted(estimator or boosted_trees(), rows, y)
     importances = [float(v) for v in gains.featureImportances.toArray()]
-    found = work.agg(*[F.abs(F.corr(F.col(n).cast("double"), F.col(y).cast("double"))).alias(n) for n in names]).first()
+    found = work.agg(*[F.abs(safe_corr(n, y)).alias(n) for n in names]).first()
     floor = importances[-1]
     out = [(n, g, float(found[n]) if found[n] is not None else 0.0, int(g > floor)) for n, g in zip(names, importances)]
     return df.sparkSession.createDataFrame(out, "feature string, gain double, abs_corr double, above_noise int")

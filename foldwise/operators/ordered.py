@@ -13,22 +13,40 @@ from foldwise.kernels.scan import SLICE, add_slices, join_on, row_numbers, slice
 from foldwise.kernels.store import materialize
 
 
+# Types whose values a double holds exactly, so that columns of different types fit into one long table.
+SMALL_NUMBERS = {"double", "float", "integer", "short", "byte"}
+
+
 def pct_rank(df: DataFrame, columns: list[str], by: list[str] | None = None, suffix: str = "_rank") -> DataFrame:
-    """``<c>_rank``: average rank of the value over the number of set values, in the table or in its group."""
+    """``<c>_rank``: average rank of the value over the number of set values, in the table or in its group.
+
+    Numeric columns are counted, scanned and stored together, one job each for all of them; a column then meets only its own
+    part of the stored table.
+    """
     by = by or []
+    if {df.schema[c].dataType.typeName() for c in columns} <= SMALL_NUMBERS:
+        long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(by, columns, "_column", "_value")
+        shares = _rank_shares(long, [*by, "_column"], partition_by="_column")
+        parts = {c: shares.filter(F.col("_column") == c).drop("_column") for c in columns}
+    else:
+        parts = {c: _rank_shares(df.select(*by, F.col(c).alias("_value")), by) for c in columns}
     out = df
     for c in columns:
-        seen = df.filter(F.col(c).isNotNull())
-        counts = materialize(seen.groupBy(*by, F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_n")))
-        ranked = value_scan(counts, by, "_value", {"_below": F.col("_n")}, stored=True)
-        sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-        ranked = join_on(ranked, sizes, by) if by else attach_row(ranked, sizes)
-        share = (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_size")
-        table = materialize(ranked.select(*by, F.col("_value").alias(c), share.alias(c + suffix)))
-        out = lookup(out, table, [*by, c])
+        probe = F.col(c).cast(parts[c].schema["_value"].dataType)
+        out = lookup(out.withColumn("_value", probe), parts[c].withColumnRenamed("_share", c + suffix), [*by, "_value"]).drop("_value")
     return out
 
 
+def _rank_shares(values: DataFrame, by: list[str], partition_by: str | None = None) -> DataFrame:
+    """Stored ``(by..., _value, _share)``: average rank over size per distinct value."""
+    counts = materialize(values.filter(F.col("_value").isNotNull()).groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = value_scan(counts, by, "_value", {"_below": F.col("_n")}, stored=True)
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    ranked = join_on(ranked, sizes, by) if by else attach_row(ranked, sizes)
+    share = (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)) / F.col("_size")
+    return materialize(ranked.select(*by, "_value", share.alias("_share")), partition_by)
+
+
 def add_lags(
     df: DataFrame, keys: list[str], order: list[str], lead: Column, columns: list[str], default: float = 0.0, hot_rows: int | None = None
 ) -> DataFrame:

@@ -30,7 +30,7 @@ def parse_records(df: DataFrame, text: str, source: str) -> DataFrame:
         F.regexp_extract("entry_id", r"E(\d+)-", 1).cast("int").alias("episode"),
         F.regexp_extract("entry_id", r"-(\d+)$", 1).cast("int").alias("rank"),
         F.try_element_at("_tags", F.lit(1)).alias("primary"),
-        F.slice("_tags", 2, 1000).alias("modifiers"),
+        F.slice("_tags", F.lit(2), F.greatest(F.size("_tags"), F.lit(1))).alias("modifiers"),
         F.expr("try_cast(regexp_extract(body, 'stages[:=] *([0-9]+)', 1) as int)").alias("stages"),
         "body",
     )

@@ -118,17 +118,18 @@ def gaussian_density(df: DataFrame, ref: DataFrame, column: str) -> DataFrame:
 
     Reference rows are summed into boxes one bandwidth wide, as moments around the box centre (the Hermite series
     of the fast Gauss transform, Greengard and Strain 1991); a value then reads only the boxes within nine
-    bandwidths. The truncation is below 1e-17, and no pair of rows is ever formed.
+    bandwidths. The truncation is below 1e-17, and no pair of rows is ever formed. A ``ref`` without spread has no bandwidth
+    and gives no rows.
     """
     shape = ref.agg(F.count(column).alias("_n"), F.stddev_samp(column).alias("_sd"), F.min(column).alias("_origin"))
     shape = shape.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
 
     def boxed(frame: DataFrame, value: str) -> DataFrame:
-        return attach_row(frame, shape).withColumn("_box", F.floor((F.col(value) - F.col("_origin")) / F.col("_h")))
+        return attach_row(frame, shape).withColumn("_box", F.floor(F.try_divide(F.col(value) - F.col("_origin"), F.nullif("_h", F.lit(0.0)))))
 
     scale = F.lit(math.sqrt(2.0))
     sources = boxed(ref.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_s")), "_s")
-    offset = (F.col("_s") - F.col("_origin")) / F.col("_h") - (F.col("_box") + F.lit(0.5))
+    offset = F.try_divide(F.col("_s") - F.col("_origin"), F.nullif("_h", F.lit(0.0))) - (F.col("_box") + F.lit(0.5))
     moments = [F.sum(F.pow(F.col("_o"), F.lit(float(i)))).alias(f"_a{i}") for i in range(1, HERMITE_TERMS)]
     boxes = materialize(
         sources.withColumn("_o", offset / scale).groupBy("_box").agg(F.count(F.lit(1)).cast("double").alias("_a0"), *moments)
@@ -137,7 +138,7 @@ def gaussian_density(df: DataFrame, ref: DataFrame, column: str) -> DataFrame:
     near = F.explode(F.sequence(F.col("_box") - REACH, F.col("_box") + REACH))
     targets = boxed(values, "_value").withColumn("_at", near).drop("_box")
     pairs = targets.join(boxes.withColumnRenamed("_box", "_at"), "_at", "left")
-    x = ((F.col("_value") - F.col("_origin")) / F.col("_h") - (F.col("_at") + F.lit(0.5))) / scale
+    x = (F.try_divide(F.col("_value") - F.col("_origin"), F.nullif("_h", F.lit(0.0))) - (F.col("_at") + F.lit(0.5))) / scale
     pairs = pairs.withColumn("_x", x).withColumn("_h0", F.exp(-F.col("_x") * F.col("_x")))
     pairs = pairs.withColumn("_h1", F.lit(2.0) * F.col("_x") * F.col("_h0"))
     total = F.col("_a0") * F.col("_h0") + F.col("_a1") * F.col("_h1")
@@ -153,7 +154,7 @@ def gaussian_density(df: DataFrame, ref: DataFrame, column: str) -> DataFrame:
 
 
 def kde_log_ratio(df: DataFrame, ref: DataFrame, column: str, y: str, eps: float = 1e-10) -> DataFrame:
-    """``ln((density of class 1 + eps) / (density of class 0 + eps))`` at the row's value."""
+    """``ln((density of class 1 + eps) / (density of class 0 + eps))`` at the row's value; NULL if a class does not vary."""
     out = df.withColumn("_value", F.col(column).cast("double"))
     for c in (0, 1):
         table = materialize(gaussian_density(df, ref.filter(F.col(y) == c), column))

@@ -71,8 +71,7 @@ def append_external(df: DataFrame, orig: DataFrame, k: int, fold: str = "fold",
 def replicate(df: DataFrame, id: str, n: int, seed: int) -> DataFrame:
     """``n`` copies of the table, each with its own shuffled position."""
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    spread = F.pmod(key_hash(id, seed) * (F.col("copy") * 2 + 1) + F.col("copy") * 7, F.lit(MODULUS))
-    marked = copies.withColumn("_h", spread).withColumn(SLICE, hash_slice(F.col("_h"), slice_count(df)))
+    marked = copies.withColumn("_h", key_hash(F.col(id) * n + F.col("copy"), seed)).withColumn(SLICE, hash_slice(F.col("_h"), slice_count(df)))
     return row_numbers(marked, ["copy"], ["_h", id], SLICE, "position").drop("_h", SLICE)
 
 
@@ -161,8 +160,7 @@ def recompose_target(df: DataFrame, pred: str, name: str = "restored") -> DataFr
 
 def draw(j: Column, n: Column, seed: int) -> Column:
     """Number in ``[0, n)`` for draw ``j``, with replacement."""
-    spread = key_hash(j, seed) * F.lit(MODULUS) + key_hash(F.floor(j / F.lit(MODULUS)), seed + 1)
-    return F.pmod(spread, n)
+    return F.pmod(key_hash(j, seed) * F.lit(MODULUS) + key_hash(j, seed + 1), n)
 
 
 def undersample(df: DataFrame, id: str, y: str, fractions: dict, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import blending as B
 from foldwise.operators import metrics as M
-from foldwise.plans.cases import case, rounded, with_base
+from foldwise.plans.cases import case, model_score_sql, rounded, with_base
 from foldwise.plans.ordered_and_metrics import LONG, MODELS, RANKED, auc_sql
 
 
@@ -38,9 +38,9 @@ def _(t):
 
 
 @case("power_mean_blend", with_base("""
-select id, round(pow(0.5e0 * pow(least(greatest(m2, 1e-15), 1.0e0 - 1e-15), 3.0e0) + 0.5e0 * pow(least(greatest(m3, 1e-15), 1.0e0 - 1e-15), 3.0e0), 1.0e0 / 3.0e0), 6) as blend from scores"""))
+select id, round(pow(""" + " + ".join(f"0.25e0 * pow(least(greatest({m}, 1e-15), 1.0e0 - 1e-15), 3.0e0)" for m in MODELS) + """, 1.0e0 / 3.0e0), 6) as blend from scores"""))
 def _(t):
-    return rounded(B.blend(t.scores(), ["m2", "m3"], "power", p=3.0).select("id", "blend"), [])
+    return rounded(B.blend(t.scores(), MODELS, "power", p=3.0).select("id", "blend"), [])
 
 
 @case("model_eligibility", with_base(LONG + auc_sql("l", ["model"]) + " select model, round(auc, 6) as auc from au where auc >= (select max(auc) from au) - 0.05"))
@@ -57,7 +57,7 @@ def _(t):
 
 @case("hill_climb_weights")
 def _(t):
-    weights, _ = B.hill_climb(t.scores(), "y", MODELS, step=0.25, rounds=3)
+    weights, _ = B.hill_climb(t.scores(), "y", MODELS, step=0.25)
     return rounded(B.blend(t.scores(), list(weights), "mean", list(weights.values())).select("id", "blend"), [])
 
 
@@ -103,7 +103,7 @@ one as (select legs from au where len(legs) = 1 order by auc desc limit 1), two
 three as (select au.legs from au, two where len(au.legs) = 3 and list_has_all(au.legs, two.legs) order by auc desc limit 1)
 select id, round(pred, 6) + 0.0e0 as blend from sets join three on sets.legs = three.legs"""))
 def _(t):
-    legs = B.greedy_select(t.scores(), "y", MODELS, 3, 12)
+    legs = B.greedy_select(t.scores(), "y", MODELS, 3)
     return rounded(B.blend(t.scores(), legs, "logit").select("id", "blend"), [])
 
 
@@ -187,11 +187,11 @@ def _(t):
 
 
 @case("oracle_selection", with_base("""
-, e as (select *, abs(m1 - y) as e1, abs(m2 - y) as e2, abs(m3 - y) as e3 from scores),
-b as (select *, case when e1 <= e2 and e1 <= e3 then 'm1' when e2 <= e3 then 'm2' else 'm3' end as best_model, least(e1, e2, e3) as e from e)
+, e as (select *, abs(m0 - y) as e0, abs(m1 - y) as e1, abs(m2 - y) as e2, abs(m3 - y) as e3 from scores),
+b as (select *, least(e0, e1, e2, e3) as e, case least(e0, e1, e2, e3) when e0 then 'm0' when e1 then 'm1' when e2 then 'm2' else 'm3' end as best_model from e)
 select best_model, count(*) as n, round(avg(e), 6) as mae, round(avg(bal), 4) as mean_bal from b group by best_model"""))
 def _(t):
-    _, table = B.oracle_select(t.scores(), "y", ["m1", "m2", "m3"], ["bal"])
+    _, table = B.oracle_select(t.scores(), "y", MODELS, ["bal"])
     return rounded(table.withColumn("mean_bal", F.round("mean_bal", 4)), ["mean_bal"])
 
 
@@ -248,3 +248,32 @@ select id, round(a.q + (b.q - a.q) * (sp - ix.i), 2) as blend from ix join k a o
 def _(t):
     df = t.scores().filter("price is not null").select("id", F.col("price").alias("v"), "m2", "m3")
     return rounded(B.rank_blend_scaled(df, ["m2", "m3"], "v").select("id", "blend"), [], 2)
+
+
+@case("combined_test_prediction", with_base(f"""
+, made as (select *, {', '.join(f"{model_score_sql(m)} as m{m}" for m in range(4))} from test)
+select id, round(({' + '.join(logit_sql(m) for m in MODELS)}) / 4.0e0, 6) + 0.0e0 as mean_logit,
+  round(({' + '.join(f"(rank() over (order by {m}) + (count(*) over (partition by {m}) - 1) / 2.0e0) / count(*) over ()" for m in MODELS)}) / 4.0e0, 6) as equal_rank from made"""))
+def _(t):
+    return rounded(B.combined_test(t.scores(), t.scores("test"), "id", "y", MODELS, ["mean_logit", "equal_rank"]), [])
+
+
+@case("sealed_test_prediction")
+def _(t):
+    return rounded(B.combined_test(t.scores(), t.scores("test"), "id", "y", MODELS, list(B.COMBINERS)), [])
+
+
+DRAWN = B.drawn_weights(60, 3, 0.5, 3.0, 11)
+
+
+def drawn_sql():
+    guess = lambda a, b, c: f"case when p0 * {a!r}e0 >= p1 * {b!r}e0 and p0 * {a!r}e0 >= p2 * {c!r}e0 then 0 when p1 * {b!r}e0 >= p2 * {c!r}e0 then 1 else 2 end"
+    parts = " union all ".join(f"select {i} as candidate, id, cls, {guess(*w)} as guess from p" for i, w in enumerate(DRAWN))
+    return with_base(THREE + f""", g as ({parts}), r as (select candidate, cls, avg(cast(guess = cls as int)) as r from g group by all),
+top as (select candidate from r group by candidate order by avg(r) desc, candidate limit 1)
+select id, cast(guess as int) as guess from g join top using (candidate)""")
+
+
+@case("drawn_class_weights", drawn_sql())
+def _(t):
+    return B.weighted_argmax(three(t), "cls", ["p0", "p1", "p2"], DRAWN)[1].select("id", "guess")

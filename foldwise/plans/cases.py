@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from foldwise.functions.hashing import hash_sql, key_hash
+from foldwise.functions.hashing import MODULUS, hash_sql, key_hash
 from foldwise.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,7 @@ class Tables:
             .otherwise(0.0)
         )
         segment = F.when(F.col("c_mktsegment") == "BUILDING", 0.6).otherwise(0.0)
-        signal = F.col("o_totalprice") / 250000.0 + urgency + segment + key_hash(key, 13) / 1000003.0
+        signal = F.col("o_totalprice") / 250000.0 + urgency + segment + key_hash(key, 13) / float(MODULUS)
         return joined.select(
             key.alias("id"),
             F.when(role < 6, "train").when(role < 8, "test").otherwise("orig").alias("split"),
@@ -78,14 +78,15 @@ class Tables:
             *[((F.col("o_orderkey") * k + F.floor("o_totalprice")) % 6).cast("int").alias(f"r{k}") for k in RATING_STEPS],
         )
 
-    def scores(self, models: int = 4) -> DataFrame:
-        """Training rows with ``models`` predictions that agree with the label to different degrees."""
+    def scores(self, split: str = "train", models: int = 4) -> DataFrame:
+        """Rows with ``models`` predictions that agree with the label to different degrees."""
         made = [model_score(m).alias(f"m{m}") for m in range(models)]
-        return self.folded().select("id", "fold", "pri", "seg", "price", "bal", "y", *made)
+        rows = self.base(split).withColumn("fold", fold_of("id", 5, 1))
+        return rows.select("id", "fold", "pri", "seg", "price", "bal", "y", *made)
 
     def archive(self, models: int = 4) -> DataFrame:
         """The same predictions in long form: model, id, pred."""
-        wide = self.scores(models)
+        wide = self.scores(models=models)
         return wide.select("id", *[f"m{m}" for m in range(models)]).unpivot(
             ["id"], [f"m{m}" for m in range(models)], "model", "pred"
         ).select("model", "id", "pred")
@@ -100,14 +101,14 @@ def fold_of(key: str, k: int, seed: int) -> Column:
 
 def model_score(m: int) -> Column:
     """Share of the label plus hashed noise, on a grid of 1/1000 so that ties occur."""
-    noise = F.floor(key_hash("id", 100 + m) * 1000 / 1000003)
+    noise = F.floor(key_hash("id", 100 + m) * 1000 / MODULUS)
     weight = 150 + 60 * m
     return (F.lit(1.0) * F.floor((F.col("y") * weight + noise) * 1000 / (1000 + weight)) / 1000.0).cast("double")
 
 
 def model_score_sql(m: int) -> str:
     weight = 150 + 60 * m
-    noise = f"floor({hash_sql('id', 100 + m)} * 1000 / 1000003)"
+    noise = f"floor({hash_sql('id', 100 + m)} * 1000 / {MODULUS})"
     return f"(1.0e0 * floor((y * {weight} + {noise}) * 1000 / ({1000 + weight})) / 1000.0e0)"
 
 
@@ -120,7 +121,7 @@ BASE_SQL = f"""base as (
     cast(case when o_totalprice / 250000.0e0
       + (case when o_orderpriority = '1-URGENT' then 1.0e0 when o_orderpriority = '2-HIGH' then 0.5e0 else 0.0e0 end)
       + (case when c_mktsegment = 'BUILDING' then 0.6e0 else 0.0e0 end)
-      + {hash_sql('o_orderkey', 13)} / 1000003.0e0 > 2.2e0 then 1 else 0 end as int) as y
+      + {hash_sql('o_orderkey', 13)} / {MODULUS}.0e0 > 2.2e0 then 1 else 0 end as int) as y
   from orders join customer on o_custkey = c_custkey),
 train as (select * from base where split = 'train'),
 test as (select * from base where split = 'test'),

@@ -173,10 +173,16 @@ pr as (select """ + ", ".join(f"avg(cast(pri = '{v}' as int)) as p{i}" for i, (v
 g as (select nat, """ + ", ".join(f"avg(cast(pri = '{v}' as int)) as g{i}" for i, (v, _) in enumerate(SHARE)) + """ from pool group by nat)
 select id, """ + ", ".join(f"round(coalesce(g{i}, p{i}), 6) as share_pri_is_{n}" for i, (_, n) in enumerate(SHARE)) + " from base left join g using (nat), pr"))
 def _(t):
-    out = G.group_shares(t.base(), pool_of(t).filter("nat % 6 <> 0"), "nat", "pri")
+    out = G.group_shares(t.base(), pool_of(t).filter("nat % 6 <> 0"), "nat", "pri", PRI)
     return rounded(out.drop("split", "pri", "seg", "nat", "price", "bal", "y"), [])
 
 
+@case("group_share_table", with_base("""
+select seg, nat, round(count(*) / cast(sum(count(*)) over (partition by seg) as double), 6) as share from base group by seg, nat"""))
+def _(t):
+    return rounded(G.group_share_table(t.base(), "seg", "nat"), [])
+
+
 @case("group_deviation", with_base("""
 , pool as (select * from base where split <> 'orig'),
 a as (select pri, avg(price) as m, stddev_samp(price) as s from pool group by pri), b as (select nat, avg(bal) as m, stddev_samp(bal) as s from pool group by nat),

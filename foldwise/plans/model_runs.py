@@ -38,7 +38,7 @@ def _(t):
 
 
 def rated(t, split):
-    cols = [f"r{k}" for k in RATING_STEPS[:3]]
+    cols = [f"r{k}" for k in RATING_STEPS]
     ids = t.base(split).select("id", "y")
     return t.ratings().select("id", *cols).join(ids, "id"), cols
 
@@ -52,37 +52,38 @@ def _(t):
 @case("auxiliary_posteriors")
 def _(t):
     df, cols = rated(t, "test")
-    return rounded(M.aux_posteriors(rated(t, "orig")[0], df, cols[:1], 6, cols[1:]).drop(*cols, "y"), [])
+    return rounded(M.aux_posteriors(rated(t, "orig")[0], df, cols, 6).drop(*cols, "y"), [])
 
 
 @case("two_stage_model")
 def _(t):
     oof, tested = M.two_stage(frame(t.folded(3)), "id", "y", FEATURES, "fold", 3, M.ridge(0.01), M.logistic(), frame(t.base("test")))
-    return rounded(oof.select("id", "stage1", "pred"), [])
+    scored = oof.select("id", F.lit("train").alias("split"), "stage1", "pred")
+    return rounded(scored.unionByName(tested.select("id", F.lit("test").alias("split"), F.lit(None).cast("double").alias("stage1"), "pred")), [])
 
 
 @case("backbone_margin")
 def _(t):
-    out = M.backbone_margin(frame(t.folded(3)), "id", "y", FEATURES, "fold", 3, 2, 31, M.logistic(iterations=10))
+    out = M.backbone_margin(frame(t.folded(3)), "id", "y", FEATURES, "fold", 3, 3, 31, M.logistic(), frame(t.base("test")))
     return rounded(out, [])
 
 
 @case("train_test_drift")
 def _(t):
-    scores = M.drift_scores(frame(t.base("train")), frame(t.base("test")), "id", FEATURES, 3, 41, M.logistic(iterations=10))
+    scores = M.drift_scores(frame(t.base("train")), frame(t.base("test")), "id", FEATURES, 3, 41, M.logistic())
     return rounded(M.drift_verdict(scores), [])
 
 
 @case("adversarial_weights")
 def _(t):
     train = frame(t.base("train"))
-    scores = M.drift_scores(train, frame(t.base("test")), "id", FEATURES, 3, 41, M.logistic(iterations=10))
+    scores = M.drift_scores(train, frame(t.base("test")), "id", FEATURES, 3, 41, M.logistic())
     return rounded(M.adversarial_weights(train, scores, "id", 2.0, 2.0).select("id", "weight"), [])
 
 
 @case("noise_scores")
 def _(t):
-    out = M.noise_scores(frame(t.folded()), "id", "y", FEATURES, "fold", 5, M.logistic(iterations=10))
+    out = M.noise_scores(frame(t.folded()), "id", "y", FEATURES, "fold", 5, M.logistic())
     return rounded(out.select("id", "noise"), [])
 
 
@@ -95,7 +96,7 @@ def _(t):
 @case("factorial_ablation")
 def _(t):
     arms = {"all": FEATURES, "no_price": FEATURES[2:], "no_flags": FEATURES[:3]}
-    return rounded(M.ablate(frame(t.folded(3)), "id", "y", arms, "fold", 3, M.logistic(iterations=15)), [])
+    return rounded(M.ablate(frame(t.folded(3)), "id", "y", arms, "fold", 3, M.logistic()), [])
 
 
 @case("isotonic_calibration", with_base("""
@@ -116,20 +117,27 @@ def _(t):
 
 @case("boosted_pseudo_labels")
 def _(t):
-    train = frame(t.folded(3)).withColumn("oof", F.lit(0.3))
-    test = frame(t.base("test")).withColumn("pred", F.lit(0.3))
+    first, tested, _ = M.oof_predict(frame(t.folded(3)), "id", "y", FEATURES, "fold", 3, M.ridge(1.0), frame(t.base("test")))
+    train = frame(t.folded(3)).join(first.select("id", F.col("pred").alias("oof")), "id")
+    test = frame(t.base("test")).join(tested, "id")
     out, _ = M.boosted_pseudo(train, test, "id", "y", FEATURES, "fold", 3, M.ridge(0.01), "oof", "pred", 0.5, 2, 0.0, 1.0)
     return rounded(out.select("id", "pseudo"), [])
 
 
+def both(oof, tested, name="pred"):
+    """Out-of-fold and test predictions in one table, told apart by ``split``."""
+    parts = [d.select("id", F.lit(s).alias("split"), name) for d, s in ((oof, "train"), (tested, "test"))]
+    return rounded(parts[0].unionByName(parts[1]), [])
+
+
 @case("stacking")
 def _(t):
-    return rounded(M.stack(t.scores(), "id", "y", ["m0", "m1", "m2", "m3"], "fold", 5).select("id", "pred"), [])
+    return both(*M.stack(t.scores(), "id", "y", ["m0", "m1", "m2", "m3"], "fold", 5, test=t.scores("test")))
 
 
 @case("ridge_stacking")
 def _(t):
-    return rounded(M.stack(t.scores(), "id", "y", ["m0", "m1", "m2", "m3"], "fold", 5, "ridge").select("id", "pred"), [])
+    return both(*M.stack(t.scores(), "id", "y", ["m0", "m1", "m2", "m3"], "fold", 5, "ridge", t.scores("test")))
 
 
 @case("feature_screening")
@@ -140,7 +148,7 @@ def _(t):
 @case("forward_selection")
 def _(t):
     train = frame(t.folded())
-    found = M.forward_select(train, "id", "y", ["bal"], {"flags": ["urgent", "building"], "price": ["price0"]}, 2, lambda: M.logistic(iterations=8))
+    found = M.forward_select(train, "id", "y", ["bal"], {"flags": ["urgent", "building"], "price": ["price0"]}, 3, M.logistic, confirm_folds=5)
     oof, _, _ = M.oof_predict(train, "id", "y", ["bal", *found["selected"]], "fold", 5, M.logistic())
     return rounded(oof.select("id", "pred"), [])
 
@@ -155,3 +163,19 @@ def _(t):
 def _(t):
     oof, _, _ = M.oof_predict(frame(t.folded()), "id", "y", FEATURES, "fold", 5, M.logistic())
     return rounded(Q.auc(oof, "y", ["pred"], ["fold"]), [])
+
+
+@case("isotonic_test_prediction")
+def _(t):
+    return both(*M.isotonic(t.scores(), "m3", "y", "fold", 5, test=t.scores("test")), "calibrated")
+
+
+@case("sigmoid_calibration")
+def _(t):
+    return both(*M.sigmoid_calibration(t.scores(), "id", "m3", "y", "fold", 5, t.scores("test")), "calibrated")
+
+
+@case("multi_seed_oof")
+def _(t):
+    train = frame(t.base("train"))
+    return both(*M.multi_seed_oof(train, "id", "y", FEATURES, 3, [1, 2, 3], M.logistic(), frame(t.base("test"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import metrics as M
 from foldwise.operators import ordered as O
+from foldwise.functions.hashing import hash_sql
 from foldwise.plans.cases import case, rounded, with_base
 
 MODELS = ["m0", "m1", "m2", "m3"]
@@ -167,9 +168,24 @@ def _(t):
     return rounded(M.delong(t.scores(), "y", "m3", "m2"), [])
 
 
-@case("bootstrap_auc_difference")
+def bootstrap_sql(reps, seed):
+    u = hash_sql(f"id * {reps} + rep", seed)
+    weight = " + ".join(f"cast({'h'} >= {edge} as int)" for edge in M.POISSON_ONE)
+    return with_base(f"""
+, drawn as (select id, y, m2, m3, rep, {u} as h from scores, (select unnest(range({reps})) as rep)),
+w as (select rep, y, m2, m3, {weight} as w from drawn),
+l as (select rep, y, w, unnest(['m2', 'm3']) as model, unnest([m2, m3]) as pred from w),
+c as (select rep, model, pred, sum(case when y = 1 then w else 0 end) as pos, sum(case when y = 0 then w else 0 end) as neg from l group by all),
+b as (select *, coalesce(sum(neg) over (partition by rep, model order by pred rows between unbounded preceding and 1 preceding), 0) as below from c),
+a as (select rep, model, sum(pos * (below + neg / 2.0e0)) / (cast(sum(pos) as double) * sum(neg)) as auc from b group by all),
+d as (select rep, sum(case when model = 'm3' then auc else -auc end) as gap from a group by rep)
+select round(avg(gap), 6) as mean, round(stddev_samp(gap), 6) as sd, round(quantile_cont(gap, 0.025), 6) as low,
+  round(quantile_cont(gap, 0.975), 6) as high, avg(cast(gap > 0 as int)) as share_above from d""")
+
+
+@case("bootstrap_auc_difference", bootstrap_sql(120, 5))
 def _(t):
-    return M.bootstrap_auc_diff(t.scores(), "id", "y", "m3", "m2", 100, 5)
+    return rounded(M.bootstrap_auc_diff(t.scores(), "id", "y", "m3", "m2", 120, 5), ["share_above"])
 
 
 PAIRS = [(a, b) for i, a in enumerate(MODELS) for b in MODELS[i + 1:]]

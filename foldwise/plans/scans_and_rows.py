@@ -48,15 +48,15 @@ def _(t):
     return T.read_table(t.spark, path, schema="id bigint, target double")
 
 
-def stored_archive(t, models=3):
+def stored_archive(t, models=4):
     folder = scratch(t.spark)
-    scores = t.scores(models)
+    scores = t.scores(models=models)
     for m in range(models):
         T.write_predictions(scores, f"{folder}/oof_m{m}.csv", pred=f"m{m}")
     return T.read_archive(t.spark, folder, "oof_")
 
 
-@case("archive_scan", with_base("select model, id, pred from archive where model in ('m0', 'm1', 'm2')"))
+@case("archive_scan", with_base("select model, id, pred from archive"))
 def _(t):
     return stored_archive(t)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldwise.functions.hashing import MODULUS, hash_sql
+from foldwise.functions.hashing import MODULUS, hash_sql, key_hash
 from foldwise.operators import preparation as P
 from foldwise.operators import rows as R
 from foldwise.plans.cases import case, rounded, with_base
@@ -72,10 +72,10 @@ def _(t):
 
 
 @case("replicated_rows", with_base(f"""
-, c as (select id, cast(copy as int) as copy, (({h(7)}) * (copy * 2 + 1) + copy * 7) % {MODULUS} as hh from orig, (select unnest([0, 1, 2]) as copy))
+, c as (select id, cast(copy as int) as copy, {hash_sql('id * 3 + copy', 7)} as hh from base, (select unnest([0, 1, 2]) as copy))
 select id, copy, row_number() over (partition by copy order by hh, id) as position from c"""))
 def _(t):
-    return R.replicate(t.base("orig").select("id"), "id", 3, 7)
+    return R.replicate(t.base().select("id"), "id", 3, 7)
 
 
 @case("residual_trimming", with_base("""
@@ -93,13 +93,11 @@ def _(t):
 
 
 @case("pseudo_labels", with_base(f"""
-, s as (select id, pri, {h(8)} / 1000003.0e0 as p from test)
+, s as (select id, pri, {h(8)} / {MODULUS}.0e0 as p from test)
 select id, pri, y, 1.0e0 as weight from train union all select id, pri, cast(p >= 0.5e0 as int), 0.3e0 from s where p >= 0.9e0 or p <= 0.05e0"""))
 def _(t):
-    from foldwise.functions.hashing import key_hash
-
     train = t.base("train").select("id", "pri", "y")
-    test = t.base("test").select("id", "pri", (key_hash("id", 8) / 1000003.0).alias("p"))
+    test = t.base("test").select("id", "pri", (key_hash("id", 8) / float(MODULUS)).alias("p"))
     return R.pseudo_label(train, test, "y", "p", 0.05, 0.9, 0.3)
 
 
@@ -146,7 +144,7 @@ def _(t):
     return R.undersample(df, "id", "cls", {"mid": 0.5, "low": 0.3}, 14)
 
 
-DRAW = f"""((({hash_sql('j', 17)}) * {MODULUS} + {hash_sql('(j // ' + str(MODULUS) + ')', 18)}) % n)"""
+DRAW = f"""((({hash_sql('j', 17)}) * {MODULUS} + {hash_sql('j', 18)}) % n)"""
 
 
 @case("class_oversampling", with_base(f"""
@@ -165,7 +163,7 @@ def _(t):
 
 
 def swap_sql(column, i):
-    step = (f"(({hash_sql('pos', 30 + 5 + i)}) * {MODULUS} + {hash_sql('(pos // ' + str(MODULUS) + ')', 30 + 6 + i)}) % size")
+    step = (f"(({hash_sql('pos', 30 + 5 + i)}) * {MODULUS} + {hash_sql('pos', 30 + 6 + i)}) % size")
     return f"""(select p.id, case when pos <= floor(0.15e0 * size) then d.{column} else p.{column} end as {column}
  from (select id, {column}, size, row_number() over (order by {h(30 + 11 * (i + 1))}, id) as pos from sized) p
  left join donors d on d.row = {step} + 1)"""

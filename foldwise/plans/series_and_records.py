@@ -27,9 +27,9 @@ def frame_sql(name, frame):
 @case("rolling_day_features", f"""
 with s as (select user_id, cast(cast(ts as date) - date '1970-01-01' as int) as d, avg(value) as v, count(*) as n from events group by all)
 select user_id, d as _day, round(v, 10) as value, n, round(lag(v) over (partition by user_id order by d), 10) as previous,
-{frame_sql('last3', 'range between 3 preceding and 1 preceding')}, {frame_sql('last10', 'range between 10 preceding and 1 preceding')}, {frame_sql('before', 'rows between unbounded preceding and 1 preceding')} from s""")
+{frame_sql('last3', 'range between 3 preceding and 1 preceding')}, {frame_sql('last5', 'range between 5 preceding and 1 preceding')}, {frame_sql('last10', 'range between 10 preceding and 1 preceding')}, {frame_sql('before', 'rows between unbounded preceding and 1 preceding')} from s""")
 def _(t):
-    out = S.rolling_features(S.daily(t.table("events"), ["user_id"], "ts", "value"), ["user_id"], [3, 10])
+    out = S.rolling_features(S.daily(t.table("events"), ["user_id"], "ts", "value"), ["user_id"], [3, 5, 10])
     return rounded(out, [], 10)
 
 

@@ -81,12 +81,12 @@ def read_archive(spark: SparkSession, folder: str, prefix: str = "oof_", format:
 
 
 def align_archive(preds: DataFrame, base: DataFrame, id: str = "id") -> DataFrame:
-    """Keep the ids of ``base``; drop models that miss one of them or hold a NULL prediction."""
+    """Keep the ids of ``base``; drop models that miss one of them, repeat one or hold a NULL prediction."""
     wanted = base.select(id).distinct()
     inside = preds.join(wanted, id, "left_semi")
     sizes = inside.groupBy("model").agg(
         F.count(F.lit(1)).alias("_rows"), F.count("pred").alias("_filled"), F.countDistinct(id).alias("_ids")
     )
     total = wanted.agg(F.count(F.lit(1)).alias("_total"))
-    whole = sizes.join(total, (F.col("_ids") == F.col("_total")) & (F.col("_filled") == F.col("_rows")), "left_semi")
+    whole = sizes.join(total, (F.col("_ids") == F.col("_total")) & (F.col("_rows") == F.col("_ids")) & (F.col("_filled") == F.col("_rows")), "left_semi")
     return inside.join(whole.select("model"), "model", "left_semi").select("model", id, "pred")

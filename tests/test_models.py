@@ -80,7 +80,8 @@ def test_noise_scores_find_flipped_labels(t):
 def test_stack_is_at_least_as_good_as_its_best_leg(t, kind):
     names = ["m0", "m1", "m2", "m3"]
     best = max(r["auc"] for r in metrics.auc(t.scores(), "y", names).collect())
-    out = models.stack(t.scores(), "id", "y", names, "fold", 5, kind)
+    out, tested = models.stack(t.scores(), "id", "y", names, "fold", 5, kind, t.scores("test"))
+    assert tested.count() == t.scores("test").count() and tested.filter("pred is null").isEmpty()
     assert out.count() == t.scores().count() and area(out, "y", "pred") > best - 0.01
 
 
