@@ -123,38 +123,34 @@ POISSON_ONE = sorted({
 } - {MODULUS})
 
 
-def poisson_weights(df: DataFrame, id: str, block: range, reps: int, seed: int) -> DataFrame:
-    """``_w<r>``: weight of a row in each replicate of ``block`` (of ``reps`` in all), from a hash of its key."""
-    drawn = df.select("*", *[key_hash(F.col(id) * F.lit(reps) + F.lit(r), seed).alias(f"_u{r}") for r in block])
-    weight = lambda r: reduce(lambda w, edge: w + (F.col(f"_u{r}") >= F.lit(edge)).cast("int"), POISSON_ONE, F.lit(0))
-    return drawn.select(*df.columns, *[weight(r).alias(f"_w{r}") for r in block])
+# Fixed value: step between the multipliers of two replicates.
+REPLICATE_STEP = 1_597_334_677
 
 
-REPLICATES_PER_PASS = 20
+def replicate_number(rep: Column) -> Column:
+    """Number in ``[0, MODULUS)`` of a row in replicate ``rep``: ``h1 * m + h2`` of two hashes of the row's key, with a multiplier
+    ``m`` of the replicate. Any two replicates are independent, at one product each."""
+    multiplier = F.pmod(rep.cast("bigint") * F.lit(REPLICATE_STEP) + F.lit(1), F.lit(MODULUS))
+    return F.pmod(F.col("_h1") * multiplier + F.col("_h2"), F.lit(MODULUS))
+
+
+def poisson_weight(number: Column) -> Column:
+    return reduce(lambda w, edge: w + (number >= F.lit(edge)).cast("int"), POISSON_ONE, F.lit(0))
 
 
 def bootstrap_auc_diff(df: DataFrame, id: str, y: str, a: str, b: str, reps: int, seed: int) -> DataFrame:
     """One row: mean, standard deviation and 95 % interval of AUC(a) - AUC(b) over weighted resamples, and the share above 0.
 
-    Each row gets a Poisson(1) weight per replicate from a hash of its key, so no resample is ever drawn or stored. The
-    weights are summed per distinct score, ``REPLICATES_PER_PASS`` replicates side by side: what is shuffled and scanned are
-    distinct scores, not rows times replicates.
+    Each row gets a Poisson(1) weight per replicate from a hash of its key, so no resample is ever drawn or stored. Weights are
+    summed per (replicate, model, score) before anything is shuffled.
     """
-    rows, parts = df.select(id, y, a, b), []
-    for start in range(0, reps, REPLICATES_PER_PASS):
-        block = range(start, min(reps, start + REPLICATES_PER_PASS))
-        weights = long_scores(poisson_weights(rows, id, block, reps, seed), [a, b], [y, *[f"_w{r}" for r in block]])
-        sums = [
-            F.sum(F.when(F.col(y) == c, F.col(f"_w{r}")).otherwise(F.lit(0))).alias(f"{n}{r}") for r in block for c, n in ((1, "p"), (0, "n"))
-        ]
-        counts = materialize(weights.filter(F.col("pred").isNotNull()).groupBy("model", "pred").agg(*sums))
-        scanned = value_scan(counts, ["model"], "pred", {f"b{r}": F.col(f"n{r}") for r in block}, stored=True)
-        won = lambda r: F.sum(F.col(f"p{r}").cast("double") * (F.col(f"b{r}") + F.col(f"n{r}") / F.lit(2.0)))
-        area = lambda r: F.try_divide(won(r), F.sum(f"p{r}").cast("double") * F.sum(f"n{r}"))
-        areas = scanned.groupBy("model").agg(*[area(r).alias(f"a{r}") for r in block])
-        signed = [F.sum(F.when(F.col("model") == a, F.col(f"a{r}")).otherwise(-F.col(f"a{r}"))).alias(f"g{r}") for r in block]
-        parts.append(areas.agg(*signed).select(F.explode(F.array(*[F.col(f"g{r}") for r in block])).alias("gap")))
-    gap = reduce(lambda x, z: x.unionByName(z), parts)
+    rows = df.select(y, a, b, key_hash(id, seed).alias("_h1"), key_hash(id, seed + 1).alias("_h2"))
+    copies = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    numbered = copies.withColumn("_u", replicate_number(F.col("rep"))).filter(F.col("_u") >= POISSON_ONE[0])
+    weighted = numbered.withColumn("_w", poisson_weight(F.col("_u")))
+    long = long_scores(weighted, [a, b], ["rep", y, "_w"])
+    areas = auc_from_counts(class_counts(long, y, ["rep", "model"], F.col("_w")), ["rep", "model"])
+    gap = areas.groupBy("rep").agg(F.sum(F.when(F.col("model") == a, F.col("auc")).otherwise(-F.col("auc"))).alias("gap"))
     return gap.agg(
         F.avg("gap").alias("mean"),
         F.stddev_samp("gap").alias("sd"),

@@ -169,10 +169,11 @@ def _(t):
 
 
 def bootstrap_sql(reps, seed):
-    u = hash_sql(f"id * {reps} + rep", seed)
+    u = f"(h1 * ((rep * {M.REPLICATE_STEP} + 1) % {M.MODULUS}) + h2) % {M.MODULUS}"
     weight = " + ".join(f"cast({'h'} >= {edge} as int)" for edge in M.POISSON_ONE)
     return with_base(f"""
-, drawn as (select id, y, m2, m3, rep, {u} as h from scores, (select unnest(range({reps})) as rep)),
+, hashed as (select y, m2, m3, {hash_sql('id', seed)} as h1, {hash_sql('id', seed + 1)} as h2 from scores),
+drawn as (select y, m2, m3, rep, {u} as h from hashed, (select unnest(range({reps})) as rep)),
 w as (select rep, y, m2, m3, {weight} as w from drawn),
 l as (select rep, y, w, unnest(['m2', 'm3']) as model, unnest([m2, m3]) as pred from w),
 c as (select rep, model, pred, sum(case when y = 1 then w else 0 end) as pos, sum(case when y = 0 then w else 0 end) as neg from l group by all),
