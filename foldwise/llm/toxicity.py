@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from foldwise.kernels.store import materialize
 from foldwise.llm.columns import id_type, pair, quoted
 
 #: A-Z becomes a-z; every other ASCII byte that is no letter becomes a space.
@@ -108,21 +109,18 @@ def labelled_sample(
     return pair(records, id, body).join(F.broadcast(chosen), "entry_id")
 
 
-def telling_terms(bags: list[tuple[bytes, ...]], marked: np.ndarray, least: int, most: int) -> list[bytes]:
-    """The ``most`` terms, of at least ``least`` records each, whose presence depends most on the mark by the chi-square
-    statistic; in text order, ties to the earlier term."""
-    counts: dict[bytes, list[int]] = {}
-    for bag, mark in zip(bags, marked.tolist()):
-        for t in bag:
-            pair_of = counts.setdefault(t, [0, 0])
-            pair_of[mark] += 1
-    terms = sorted(t for t, (a, b) in counts.items() if a + b >= least)
-    good, bad = np.array([counts[t] for t in terms], float).reshape(-1, 2).T
-    n, n_bad = len(marked), float(marked.sum())
-    n_good = n - n_bad
-    seen = good + bad
-    worth = n * (bad * (n_good - good) - good * (n_bad - bad)) ** 2 / np.maximum(seen * (n - seen) * n_bad * n_good, 1e-9)
-    return sorted(terms[i] for i in np.argsort(-worth, kind="stable")[:most].tolist())
+def telling_terms(bags: DataFrame, least: int, most: int) -> list[bytes]:
+    """The ``most`` terms of ``(terms, grade)``, in at least ``least`` records each, whose presence depends most on a grade above 0
+    by the chi-square statistic; ties to the earlier term. Counting is a Spark job; only the chosen terms are collected."""
+    n, n_bad = bags.agg(F.count(F.lit(1)), F.sum((F.col("grade") > 0).cast("int"))).first()
+    mark = (F.col("grade") > 0).cast("double")
+    counts = bags.select(F.explode("terms").alias("term"), mark.alias("mark")).groupBy("term")
+    counts = counts.agg(F.count(F.lit(1)).cast("double").alias("seen"), F.sum("mark").alias("bad")).filter(F.col("seen") >= least)
+    good, n_good = F.col("seen") - F.col("bad"), float(n - n_bad)
+    apart = F.col("bad") * (F.lit(n_good) - good) - good * (F.lit(float(n_bad)) - F.col("bad"))
+    spread = F.col("seen") * (F.lit(float(n)) - F.col("seen")) * F.lit(n_bad * n_good)
+    worth = F.coalesce(F.try_divide(apart * apart, spread), F.lit(0.0))
+    return sorted(bytes(r["term"]) for r in counts.orderBy(worth.desc(), "term").limit(most).collect())
 
 
 def fit_model(
@@ -130,26 +128,32 @@ def fit_model(
 ) -> OrdinalModel:
     """Fit on a bounded sample ``(entry_id, body, grade)`` with grades 0, 1, 2, ...
 
-    Tasks reduce each text to its distinct terms; the driver holds only those of the sample. At most ``max_terms`` terms that
-    depend most on the mark (a grade above 0), each in at least ``min_records`` sampled records, are the features. If the labels are a bare 0/1 mark and ``levels`` exceeds 1, a first fit
-    ranks the marked records and their mark is spread over ``levels`` grades of equal size, so that the thresholds order
-    them by strength of evidence. An empty sample, or one without any grade above 0, gives a model without terms.
+    Tasks reduce each text to its distinct terms. At most ``max_terms`` terms that depend most on the mark (a grade above 0),
+    each in at least ``min_records`` sampled records, are the features; the driver holds the sample's occurrences of these
+    alone. If the labels are a bare 0/1 mark and ``levels`` exceeds 1, a first fit ranks the marked records and their mark is
+    spread over ``levels`` grades of equal size, so that the thresholds order them by strength of evidence. An empty sample,
+    or one without any grade above 0, gives a model without terms.
     """
-    source = sample.select(F.col("body").cast("binary").alias("body"), "grade")
+    source = sample.select(F.col("body").cast("binary").alias("body"), F.greatest("grade", F.lit(0)).alias("grade"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [sorted(terms_of(t)) for t in batch.column(0).to_pylist()]
+            bags = [list(terms_of(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.binary())), batch.column(1)], ["terms", "grade"])
 
-    rows = source.mapInArrow(terms, "terms array<binary>, grade int").collect()
-    bags = sorted((tuple(bytes(t) for t in r["terms"]), max(0, r["grade"])) for r in rows)
-    grades = np.array([g for _, g in bags], np.int64)
-    if not grades.any():
+    bags = materialize(source.mapInArrow(terms, "terms array<binary>, grade int"))
+    if bags.filter("grade > 0").isEmpty():
         return OrdinalModel({}, np.array([20.0]))
-    chosen = telling_terms([b for b, _ in bags], (grades > 0).astype(np.int64), min_records, max_terms)
+    chosen = telling_terms(bags, min_records, max_terms)
     order = {t: i for i, t in enumerate(chosen)}
-    indexed = [[order[t] for t in bag if t in order] for bag, _ in bags]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(order[t] for t in bag if t in order) for bag in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "grade"])
+
+    rows = sorted((r["found"], r["grade"]) for r in bags.mapInArrow(number, "found array<int>, grade int").collect())
+    indexed, grades = [f for f, _ in rows], np.array([g for _, g in rows], np.int64)
     weights, thresholds = fit(indexed, grades, len(order), l2, steps)
     if levels > 1 and grades.max() == 1:
         scores = np.array([weights[b].sum() for b in indexed])
