@@ -5,17 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldwise.llm import licences, mixing, pii, posting_lists, simhash, superkmers, tiling, token_files, toxicity, url_templates
-from foldwise.sources.tables import read_table
-
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", format="parquet", columns=columns)
+from foldwise.llm.inputs import MIX_WEIGHTS, TOKENIZER, pool_of, table, toxicity_model
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,22 +40,6 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entry_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Target weights of the mix: whole numbers per node of the domain-language-source tree; sources weigh alike.
-MIX_WEIGHTS = [
-    ("web", 5), ("books", 3), ("code", 2),
-    *[(f"{d}/{l}", w) for d in ("web", "books", "code") for l, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 1))],
-]
-
-
-def pool_of(docs: DataFrame) -> DataFrame:
-    """Documents as a pool: a domain by source number, language, source and words."""
-    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999")) % 3
-    domain = F.when(number == 1, "books").when(number == 2, "code").otherwise("web")
-    return docs.select(
-        F.col("doc_id").alias("entry_id"), domain.alias("domain"), "lang", "source", mixing.words_in(F.col("text")).alias("n_tokens")
-    )
-
-
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     weights = spark.createDataFrame(MIX_WEIGHTS, "node string, weight bigint")
@@ -97,7 +74,8 @@ with pool as (
   select doc_id, case coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 3
       when 1 then 'books' when 2 then 'code' else 'web' end as domain,
     coalesce(lang, 'NULL') as lang, coalesce(source, 'NULL') as source,
-    cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as n_tokens from documents),
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as bigint) as n_tokens from documents),
 weights(node, weight) as (values {rows}),
 leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) as have from pool group by all),
 tree as (
@@ -152,16 +130,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entry_id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.OrdinalModel:
-    """Fitted on a bounded sample of labelled documents: unmarked ones have grade 0, marked ones are spread over grades 1 to 3."""
-    sample = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", "text", rows=toxicity.SAMPLE_ROWS)
-    return toxicity.fit_model(sample, levels=3)
-
-
 def op6_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"])
-    found = toxicity.severity(docs, toxicity_model(docs, labels.withColumn("toxic", (F.col("toxic") > 0).cast("int"))), "doc_id", "text")
+    found = toxicity.severity(docs, toxicity_model(docs, labels), "doc_id", "text")
     return found.select(
         F.col("entry_id").alias("doc_id"), F.col("severity").alias("expected_severity"), "grade", F.col("rejected").alias("toxic")
     )
