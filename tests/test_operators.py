@@ -77,7 +77,7 @@ def test_planted_signal_and_noise_control(t):
 def test_golden_external_pair_auc(t):
     keyed = keys.ngram_keys(t.base(), ["pri", "seg"], 2)
     out = encodings.external_target_mean(keyed.filter("split = 'train'"), keyed.filter("split = 'orig'"), ["pri__seg"], "y")
-    assert metrics.auc(out, "y", ["pri__seg_ext"]).first()["auc"] == pytest.approx(0.686539, abs=5e-7)
+    assert metrics.auc(out, "y", ["pri__seg_ext"]).first()["auc"] == pytest.approx(0.682047, abs=5e-7)
 
 
 def test_encoders_keep_rows_and_ids(t):
