@@ -275,15 +275,18 @@ SAMPLE_RECORDS, SAMPLE_ISLANDS = 500, 1000
 
 def fit_on(records: DataFrame, id: str = "entry_id", body: str = "body", rows: int = SAMPLE_RECORDS) -> SemiCRF:
     """Fit on the islands of at most ``rows`` records that hold a digit or an at-sign; the base patterns are the labels."""
-    source = pair(records, id, body).filter(F.col("body").rlike("[0-9@]"))
-    chosen = source.orderBy(F.xxhash64("entry_id", "body"), "entry_id").limit(rows)
+    source = pair(records, id, body).filter(F.col("entry_id").isNotNull() & F.col("body").rlike("[0-9@]"))
+    # Ids alone are ranked, so that no task gathers texts; the chosen ones are few enough to broadcast.
+    ids = source.select("entry_id").distinct().orderBy(F.xxhash64("entry_id"), "entry_id").limit(rows)
+    chosen = source.join(F.broadcast(ids), "entry_id").select("entry_id", "body")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces = [p for text in batch.column(1).to_pylist() for _, p in islands(text) if len(p) <= 400]
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string())], ["piece"])
 
-    pieces = sorted({r["piece"] for r in chosen.mapInArrow(cut, "piece string").limit(SAMPLE_ISLANDS).collect()})
+    found = chosen.mapInArrow(cut, "piece string").distinct().orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE_ISLANDS)
+    pieces = sorted(r["piece"] for r in found.collect())
     return fit([e for p in pieces for e in examples_of(p)])
 
 
