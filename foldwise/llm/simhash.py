@@ -211,5 +211,6 @@ def near_duplicates(
     smallest = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = member.join(smallest, "component").select("fingerprint", "component_id")
     groups = nodes.join(named, "fingerprint", "left")
-    groups = groups.select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Stored, so that both sides of the last join are plain exchanges, whose hot fingerprints adaptive execution splits.
+    groups = materialize(groups.select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id")))
     return prints.join(groups, "fingerprint").select("entry_id", "fingerprint", "component_id")
