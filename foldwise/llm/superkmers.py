@@ -225,7 +225,7 @@ def shared_buckets(texts: DataFrame, window: int, mer: int) -> DataFrame:
     return met.groupBy("row").agg(F.collect_set("bucket").alias("buckets"))
 
 
-def repeated_spans(texts: DataFrame, window: int = 13, mer: int = 5, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int = 13, mer: int = 4, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``(row, entry_id, start, stop)``: word spans covered by a window that also starts in a record with a smaller id.
 
     ``texts`` has ``(row, entry_id, body)``: a number that tells rows of one id apart, the id, and the text in UTF-8. A window can
@@ -302,7 +302,7 @@ def repeated_spans(texts: DataFrame, window: int = 13, mer: int = 5, bucket_byte
 
 
 def remove_repeats(
-    records: DataFrame, id: str = "entry_id", body: str = "body", window: int = 13, mer: int = 5,
+    records: DataFrame, id: str = "entry_id", body: str = "body", window: int = 13, mer: int = 4,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """``(entry_id, n_words, n_removed, kept)``: each record's text without the words of ``repeated_spans``, the rest joined by
