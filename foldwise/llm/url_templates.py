@@ -10,8 +10,6 @@ from foldwise.llm.columns import quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Path segments that become levels of the tree; what is deeper becomes one open end.
-LEVELS = 3
 #: A segment is a literal branch if it has this share (1/20) of its parent's links, and more than one.
 LITERAL_SHARE = 20
 #: Labelled links that a branch needs before it is compared with its siblings.
@@ -80,8 +78,8 @@ def judge_links(
     ``allow`` or ``block`` and a rule, a stated list that becomes one expression. The longest fitting rule decides. For every
     other link the template of its path does: below each host, a segment that holds little of its parent's links becomes
     ``*``, and literal branches whose labelled shares of bad links a two-proportion test does not tell apart become one, such
-    as ``{de,en}``. ``purity`` is the template's share of bad links, smoothed by one good and one bad link; from
-    ``REJECT_AT`` on the verdict is ``block``, else ``allow``. Labels are the column ``label`` (1 bad, 0 good, NULL unknown), or
+    as ``{de,en}``. Levels go on until no path has a further segment, one small round of jobs each. ``purity`` is the template's
+    share of bad links, smoothed by one good and one bad link; from ``REJECT_AT`` on the verdict is ``block``, else ``allow``. Labels are the column ``label`` (1 bad, 0 good, NULL unknown), or
     else the rules' own decisions.
 
     Only counts per branch are compared, so a host with a third of all links is summed up before it meets itself. NULL URLs
@@ -99,14 +97,14 @@ def judge_links(
         base = base.withColumn("bad", F.when(F.col("action").isNotNull(), (F.col("action") == "block").cast("int")))
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     tree = materialize(base.withColumn("segments", segments).withColumn("node", F.col("host")))
-    for level in range(LEVELS):
+    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(deepest):
         at = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
         placed = join_on(at, _branches(at), ["node", "segment"])
         below = F.concat_ws("/", "node", F.coalesce("step", F.lit("*")))
         node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(below)
         tree = materialize(placed.withColumn("node", node).select(*tree.columns))
-    open_end = F.when(F.size("segments") > LEVELS, F.concat("node", F.lit("/**"))).otherwise(F.col("node"))
-    tree = tree.withColumn("template", open_end)
+    tree = tree.withColumn("template", F.col("node"))
     counts = tree.filter(F.col("bad").isNotNull()).groupBy("template").agg(F.count("bad").alias("known"), F.sum("bad").alias("n_bad"))
     purity = (F.col("n_bad") + 1).cast("double") / (F.col("known") + 2).cast("double")
     judged = join_on(tree, counts.select("template", purity.alias("purity")), ["template"])
@@ -115,15 +113,18 @@ def judge_links(
     return judged.select("entry_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
-def oracle(rules: list[tuple[str, str]], table: str, id: str, url: str) -> str:
-    """The same judgement, with the rules' decisions as labels, as DuckDB SQL."""
+def oracle(rules: list[tuple[str, str]], table: str, id: str, url: str, levels: int = 3) -> str:
+    """The same judgement, with the rules' decisions as labels, as DuckDB SQL.
+
+    SQL has no loop over levels: it spells out ``levels`` of them and is the same judgement only where no path has more segments.
+    """
     rule = action = "null"
     for verdict, text in sorted(rules, key=lambda r: (len(r[1]), [-ord(c) for c in r[1]])):
         name, slash, rest = text.partition("/")
         fits = f"(host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{slash + rest}')"
         rule, action = f"case when {fits} then '{text}' else {rule} end", f"case when {fits} then '{verdict}' else {action} end"
     steps = ""
-    for level in range(LEVELS):
+    for level in range(levels):
         steps += f"""
 at{level} as (select *, segments[{level + 1}] as segment from tree{level}),
 child{level} as (select node, segment, count(*) as n, count(bad) as known, coalesce(sum(bad), 0) as bad
@@ -149,7 +150,7 @@ with parts as (
 ruled as (select *, {rule} as rule, {action} as action from parts),
 tree0 as (select *, case when action is not null then cast(action = 'block' as int) end as bad,
   list_filter(string_split(path, '/'), lambda s: s <> '') as segments, host as node from ruled),{steps}
-named as (select *, case when len(segments) > {LEVELS} then concat(node, '/**') else node end as template from tree{LEVELS}),
+named as (select *, case when len(segments) > {levels} then concat(node, '/**') else node end as template from tree{levels}),
 counts as (select template, (sum(bad) + 1)::double / (count(bad) + 2)::double as purity
   from named where bad is not null group by template)
 select {id}, host, path, rule,

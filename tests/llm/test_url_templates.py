@@ -76,3 +76,11 @@ def test_equal_to_sql(spark):
 
 def test_no_rows(spark):
     assert url_templates.judge_links(spark.createDataFrame([], "entry_id bigint, url string"), RULES).count() == 0
+
+
+def test_branches_below_the_third_segment(spark):
+    rows = [(n, f"https://host/a/b/c/{('good', 'bad')[n % 2]}/{n // 2 % 2}", n % 2) for n in range(200)]
+    links = spark.createDataFrame(rows, "entry_id bigint, url string, label int")
+    out = url_templates.judge_links(links, [], label="label").collect()
+    assert {(r.path.split("/")[4], r.verdict) for r in out} == {("good", "allow"), ("bad", "block")}
+    assert {r.template for r in out} == {"host/a/b/c/good/{0,1}", "host/a/b/c/bad/{0,1}"}
