@@ -7,8 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foldwise.llm import licences, mixing, pii, posting_lists, simhash, superkmers, tiling, token_files, toxicity, url_templates
-from foldwise.llm.inputs import MIX_WEIGHTS, TOKENIZER, pool_of, table, toxicity_model
+from foldwise.llm import (
+    conversations, licences, mixing, pieces, pii, posting_lists, simhash, superkmers, tiling, token_files, toxicity, url_templates, whitening,
+)
+from foldwise.llm.inputs import MIX_WEIGHTS, PIECES, TOKENIZER, pool_of, table, toxicity_model
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +166,35 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("entry_id").alias("vec_id"), F.col("distance").alias("score"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    found = conversations.repair(conversations.damage(turns), "conversation")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    found = found.select("conversation", *counts, "audit", F.sha2("repaired", 256).alias("digest"))
+    all_ids = turns.select("conv_id").distinct()
+    joined = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("conversation")), "left")
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.piece_round_trip(documents(spark, sf_dir), PIECES)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select(
+        F.col("entry_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    rows = rows.select(F.col("vec_id").alias("id"), whitening.quantised(F.col("embedding")).alias("features"))
+    found = whitening.whiten(rows, components=32).withColumnRenamed("id", "vec_id")
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -171,7 +202,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_semi_markov_pii, op2_simhash_near_duplicates, op3_source_mix, op4_greedy_string_tiling, op5_substring_dedup,
-        op6_toxicity_severity, op7_token_files, op8_licence_scan, op9_url_templates, op10_posting_lists, pipeline,
+        op6_toxicity_severity, op7_token_files, op8_licence_scan, op9_url_templates, op10_posting_lists,
+        op11_conversation_repair, op12_sentencepiece, op13_whitening, pipeline,
     )
     return {f.__name__: f for f in found}
 

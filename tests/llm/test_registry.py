@@ -58,7 +58,7 @@ def test_equal_to_sql(spark, duck, name):
 
 def test_every_dealt_operator_is_registered():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     import __spark_entry__
 
     assert set(names) <= set(__spark_entry__.queries())
