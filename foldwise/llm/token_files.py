@@ -19,8 +19,8 @@ from foldwise.llm.columns import id_type, pair
 BATCH_SEQUENCES = 256
 #: Records handed to Spark at once when files are read.
 READ_ROWS = 1000
-#: Words whose ids a worker remembers; beyond that it starts anew.
-KNOWN_WORDS = 600_000
+#: Words in one generation of a worker's memory: a full one becomes the old generation, words met again come back from it.
+KNOWN_WORDS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,7 +36,8 @@ class WordEncoder:
 
     Such a tokenizer never merges across a single space between two other characters and gives the space to what follows.
     So a text is cut at those spaces, each piece is encoded once by the library, and its ids are reused. A piece of plain
-    letters is one pre-token and goes straight to the library's model; any other piece is encoded as text.
+    letters is one pre-token and goes straight to the library's model; any other piece is encoded as text. The memory has two
+    generations, so a vocabulary of words beyond its bound costs the rare words, not all of them.
     """
 
     def __init__(self, path: str, known: int = KNOWN_WORDS):
@@ -51,6 +52,7 @@ class WordEncoder:
         self.spelling = _byte_letters()
         self.limit = known
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -72,7 +74,10 @@ class WordEncoder:
     def _known(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
-            found = self.known[piece] = self._piece(piece)
+            found = self.old.get(piece)
+            if found is None:
+                found = self._piece(piece)
+            self.known[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -80,7 +85,7 @@ class WordEncoder:
         if not text:
             return b""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         first, *pieces = text.split(" ")
         if not pieces or not first or first[-1].isspace():
             return self._awkward(text)
@@ -110,6 +115,16 @@ class WordEncoder:
         )
 
 
+#: One encoder per worker process and file: its memory of words outlives a task.
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
+
+
 def file_schema(type: np.dtype, length: int) -> pa.Schema:
     ids = pa.list_(pa.from_numpy_dtype(type), length)
     return pa.schema([pa.field("ids", ids), pa.field("mask", pa.list_(pa.bool_(), length))])
@@ -178,7 +193,7 @@ def write_token_files(
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         store, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"{shard:07d}-{uuid.uuid4().hex}.arrow"
