@@ -20,7 +20,12 @@ BATCH_SEQUENCES = 256
 #: Records handed to Spark at once when files are read.
 READ_ROWS = 1000
 #: Words in one generation of a worker's memory: a full one becomes the old generation, words met again come back from it.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 400_000
+
+
+#: Marks that a pre-token of their own holds after a word; an apostrophe may begin a contraction and is none.
+MARKS = "!#$%&()*+,-./:;<=>?@[]^`{|}~"
+MOST_ENDINGS = 10_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,31 +58,64 @@ class WordEncoder:
         self.limit = known
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
 
     def _text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a space and the piece after it."""
+    def _plain(self, piece: str) -> str | None:
+        """A piece of letters only, as the vocabulary spells it; None for any other."""
         if piece.isascii():
-            plain = piece.isalpha()
-            spelt = piece
-        else:
-            plain = piece.isalpha() and max(piece) < "ɐ"
-            spelt = "".join([self.spelling[b] for b in piece.encode()]) if plain else piece
-        if plain:
-            return np.array([t.id for t in self.model.tokenize("Ġ" + spelt)], self.type).tobytes()
-        if piece[-1] in ".,!" and piece[:-1].isalpha():
-            return self._known(piece[:-1]) + self._text(piece[-1])
+            return piece if piece.isalpha() else None
+        if not piece.isalpha() or max(piece) >= "ɐ":
+            return None
+        return "".join([self.spelling[b] for b in piece.encode()])
+
+    def _letters(self, spelt: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(spelt)], self.type).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and the piece after it; of the piece alone if it begins with a space, which no split text does. A single line break between other characters and the marks at the end of a
+        word are pre-tokens of their own, so the words around them are remembered alone."""
+        plain = self._plain(piece)
+        if plain is not None:
+            return self._letters("Ġ" + plain)
+        if piece[0] == " ":
+            return self._line(piece[1:])
+        first, *lines = piece.split("\n")
+        if lines and first and all(line and not line[0].isspace() and not line[-1].isspace() for line in [first, *lines]):
+            return self._known(first) + b"".join([self._ending("\n") + self._known(" " + line) for line in lines])
+        word = piece.rstrip(MARKS)
+        if word and len(word) < len(piece) and word.isalpha():
+            return self._known(word) + self._ending(piece[len(word) :])
         return self._text(" " + piece)
 
+    def _line(self, piece: str) -> bytes:
+        """Ids of a piece at the beginning of a line."""
+        plain = self._plain(piece)
+        if plain is not None:
+            return self._letters(plain)
+        word = piece.rstrip(MARKS)
+        if word and len(word) < len(piece) and word.isalpha():
+            return self._known(" " + word) + self._ending(piece[len(word) :])
+        return self._text(piece)
+
+    def _ending(self, marks: str) -> bytes:
+        found = self.endings.get(marks)
+        if found is None:
+            if len(self.endings) > MOST_ENDINGS:
+                self.endings.clear()
+            found = self.endings[marks] = self._text(marks)
+        return found
+
     def _known(self, piece: str) -> bytes:
         found = self.known.get(piece)
         if found is None:
             found = self.old.get(piece)
             if found is None:
                 found = self._piece(piece)
-            self.known[piece] = found
+            if "\n" not in piece:
+                self.known[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:

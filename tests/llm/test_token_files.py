@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -85,3 +86,14 @@ def test_rows_come_in_bounded_batches(spark, writeups, monkeypatch):
     assert out.agg(F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(
         F.max(F.col("start") + F.col("n_tokens"))
     ).first()[0]
+
+
+def test_marks_and_line_breaks_around_words():
+    from tokenizers import Tokenizer
+
+    library, coder = Tokenizer.from_file(TOKENIZER), token_files.WordEncoder(TOKENIZER, known=40)
+    rng = random.Random(6)
+    parts = ["word", "Ünï", "it's", "'s", "...", "$$$", "!?", "a1", "12", "\n", "\n\n", "\t", "-", "'", "", "x\r", "漢字", " ", "é.", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "\n", ".\n", ", "]) for _ in range(rng.randrange(1, 9)))
+        assert np.frombuffer(coder.encode(text), coder.type).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
