@@ -1,8 +1,8 @@
 """Exact nearest neighbours in a numeric space, and features from them.
 
-A small reference set (its size is counted first) is shipped to the executors. A larger one is cut into ranges of its
-first column: every row searches the range it falls in, which bounds its k-th distance, and then only the ranges
-that this distance still reaches. Distances are computed in numpy batches inside tasks; no pair is ever a row.
+A small reference set (its size is counted first) is shipped to the executors. A larger one is cut into cells around pivots: every
+row searches the nearest cells, which bounds its k-th distance, and then only the cells that the triangle inequality leaves within
+that distance, whatever the number of columns. Distances are computed in numpy batches inside tasks; no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.kernels.lookup import attach_row
-from foldwise.kernels.scan import add_slices, slice_count, split_points
+from foldwise.kernels.pivots import Cells, assigned, distances
+from foldwise.kernels.scan import slice_count
 from foldwise.kernels.store import materialize
 from foldwise.operators.binning import count_at_or_below
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name, quantile_values
 
 SHIPPED_NUMBERS = 4_000_000
 BATCH_NUMBERS = 4_000_000
+MOST_PIVOTS = 1024
 QUERIES_AT_ONCE = 64
 QUERIES_PER_CELL = 50_000
 
@@ -46,36 +48,37 @@ def _brute(queries: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, n
 def nearest(queries: np.ndarray, refs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and positions of the ``k`` nearest reference rows; equal distances go to the earlier row.
 
-    Queries are taken in order of the first column, a few at a time. Rows close in that column bound the k-th distance;
-    rows farther than the bound in that column alone are not looked at.
+    Reference rows form cells around about ``2 sqrt(n)`` pivots. Queries of one home cell are taken a few at a time: the nearest cells
+    bound their k-th distances, and then only cells that a bound still reaches are looked at (``kernels/pivots.py``).
     """
     k = min(k, len(refs))
-    by_lead = np.argsort(refs[:, 0], kind="stable")
-    lead = refs[by_lead, 0]
-    distances, positions = np.empty((len(queries), k)), np.empty((len(queries), k), dtype="int64")
-    order = np.argsort(queries[:, 0], kind="stable")
-    at = 0
+    pivots = np.random.default_rng(0).permutation(len(refs))[: min(MOST_PIVOTS, max(1, 2 * math.isqrt(len(refs))))]
+    pivots = refs[np.sort(pivots)]
+    home, own = assigned(refs, pivots)
+    cells = Cells.around(pivots, home, own)
+    by_cell = np.argsort(home, kind="stable")
+    ends = np.cumsum(cells.sizes)
+    rows_of = lambda mask: np.sort(np.concatenate([by_cell[ends[c] - cells.sizes[c] : ends[c]] for c in np.flatnonzero(mask)]))
+    found, place = np.empty((len(queries), k)), np.empty((len(queries), k), dtype="int64")
+    asked = assigned(queries, pivots)
+    order, at = np.lexsort((asked[1], asked[0])), 0
     while at < len(order):
         rows = order[at : at + QUERIES_AT_ONCE]
-        part = queries[rows]
-        a, b = np.searchsorted(lead, part[0, 0], "left"), np.searchsorted(lead, part[-1, 0], "right")
-        a, b = max(0, a - 2 * k), min(len(refs), b + 2 * k)
-        a = max(0, min(a, b - k))
-        b = min(len(refs), max(b, a + k))
-        rows = rows[: max(1, BATCH_NUMBERS // (b - a))]
-        part = queries[rows]
-        window = np.sort(by_lead[a:b])
-        d, near = _brute(part, refs[window], k)
-        reach = np.sqrt(d[:, -1]) * (1.0 + 1e-9) + 1e-12
-        a2 = min(a, np.searchsorted(lead, (part[:, 0] - reach).min(), "left"))
-        b2 = max(b, np.searchsorted(lead, (part[:, 0] + reach).max(), "right"))
-        if (a2, b2) != (a, b):
-            rows = rows[: max(1, BATCH_NUMBERS // (b2 - a2))]
-            window = np.sort(by_lead[a2:b2])
-            d, near = _brute(queries[rows], refs[window], k)
-        distances[rows], positions[rows] = d, window[near]
+        rows = rows[asked[0][rows] == asked[0][rows[0]]]
+        d = distances(queries[rows], pivots)
+        closest = cells.nearest_cells(d, k).any(axis=0)
+        window = rows_of(closest)
+        rows = rows[: max(1, BATCH_NUMBERS // len(window))]
+        near, positions = _brute(queries[rows], refs[window], k)
+        reached = cells.within(d[: len(rows)], np.sqrt(near[:, -1]) * (1.0 + 1e-9) + 1e-12).any(axis=0)
+        wider = rows_of(reached | closest)
+        if not np.array_equal(wider, window):
+            window = wider
+            rows = rows[: max(1, BATCH_NUMBERS // len(window))]
+            near, positions = _brute(queries[rows], refs[window], k)
+        found[rows], place[rows] = near, window[positions]
         at += len(rows)
-    return distances, positions
+    return found, place
 
 
 OUT = "id bigint, rank int, ref_id bigint, distance double, label double"
@@ -114,7 +117,7 @@ def knn_join(
     limit = SHIPPED_NUMBERS if shipped is None else shipped
     if known.count() * len(columns) <= limit:
         return _against_shipped(asked, known, names, k)
-    return _against_ranges(materialize(asked), known, names, k, limit)
+    return _against_cells(materialize(asked), known, names, k, limit)
 
 
 def _against_shipped(asked: DataFrame, known: DataFrame, names: list[str], k: int) -> DataFrame:
@@ -137,23 +140,75 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _against_ranges(asked: DataFrame, known: DataFrame, names: list[str], k: int, limit: int) -> DataFrame:
-    rows = max(k, limit // len(names))
-    parts = max(2, math.ceil(known.count() / rows))
-    splits = split_points(known, F.col(names[0]), parts)
-    blocks = len(splits) + 1
-    known = add_slices(known, F.col(names[0]), splits, "_block")
-    asked = add_slices(asked, F.col(names[0]), splits, "_home")
-    size = {r[0]: r[1] for r in known.groupBy("_block").count().collect()}
-    subs = F.array(*[F.lit(max(1, math.ceil(size.get(b, 0) / rows))) for b in range(blocks)])
-    known = known.withColumn("_sub", F.pmod(F.xxhash64("_id"), F.element_at(subs, F.col("_block") + 1)))
+def choose_pivots(known: DataFrame, names: list[str], parts: int, rows: int) -> np.ndarray:
+    """About ``parts`` rows by the hash of their id: only rows under a hash bound leave the executors."""
+    bound = int(min(1.0, 4.0 * parts / max(1, rows)) * 2**31)
+    draw = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(2**31))
+    few = known.filter(draw < bound).select(draw.alias("_draw"), "_id", *names).orderBy("_draw", "_id").limit(parts).collect()
+    few = few or known.select("_id", *names).limit(1).collect()
+    return np.array([[r[c] for c in names] for r in few], float)
+
+
+def into_cells(rows: DataFrame, names: list[str], pivots: np.ndarray) -> DataFrame:
+    """Adds ``_block``, the row's nearest pivot, and ``_own``, the distance to it."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf["_block"], pdf["_own"] = assigned(pdf[names].to_numpy("float64"), pivots)
+            yield pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{schema}, _block bigint, _own double")
+
+
+def summary(known: DataFrame, pivots: np.ndarray) -> Cells:
+    """Counts and pivot distances per cell: one row per pivot reaches the driver."""
+    sizes, least, most = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for c, n, low, high in known.groupBy("_block").agg(F.count(F.lit(1)), F.min("_own"), F.max("_own")).collect():
+        sizes[c], least[c], most[c] = n, low, high
+    return Cells(pivots, sizes, least, most)
+
+
+def visits(asked: DataFrame, names: list[str], cells: Cells, k: int, reach: str | None = None) -> DataFrame:
+    """``(_id, names, _block)``: the cells each row has to search. Without ``reach`` the nearest cells that hold ``k`` rows; with it
+    the further cells that may have a row within that distance (NULL: all)."""
+
+    def run(batches):
+        for pdf in batches:
+            step = max(1, BATCH_NUMBERS // len(cells.pivots))
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at : at + step]
+                d = distances(part[names].to_numpy("float64"), cells.pivots)
+                first = cells.nearest_cells(d, k)
+                if reach is not None:
+                    far = part[reach].to_numpy("float64")
+                    first = cells.within(d, np.where(np.isnan(far), np.inf, far)) & ~first
+                row, cell = np.nonzero(first)
+                out = part[["_id", *names]].iloc[row].copy()
+                out["_block"] = cell
+                yield out
+
+    columns = ["_id", *names, *([reach] if reach else [])]
+    return asked.select(*columns).mapInPandas(run, "_id bigint, " + ", ".join(f"{c} double" for c in names) + ", _block bigint")
+
+
+def _against_cells(asked: DataFrame, known: DataFrame, names: list[str], k: int, limit: int) -> DataFrame:
+    """Cells around pivots; a row searches the nearest cells, which bounds its k-th distance, and then only cells in that reach."""
+    rows, total = max(k, limit // len(names)), known.count()
+    pivots = choose_pivots(known, names, min(MOST_PIVOTS, max(2, math.ceil(2 * total / rows))), total)
+    known = materialize(into_cells(known, names, pivots))
+    cells = summary(known, pivots)
+    blocks = len(pivots)
+    subs = F.array(*[F.lit(max(1, math.ceil(int(n) / rows))) for n in cells.sizes])
+    place = (F.col("_block") + 1).cast("int")
+    known = known.withColumn("_sub", F.pmod(F.xxhash64("_id"), F.element_at(subs, place)))
     cell = ["_block", "_sub", "_chunk"]
 
-    def search(visits: DataFrame) -> DataFrame:
-        load = {r[0]: r[1] for r in visits.groupBy("_block").count().collect()}
+    def search(found: DataFrame) -> DataFrame:
+        load = {r[0]: r[1] for r in found.groupBy("_block").count().collect()}
         chunks = F.array(*[F.lit(max(1, math.ceil(load.get(b, 0) / QUERIES_PER_CELL))) for b in range(blocks)])
-        many = F.element_at(chunks, F.col("_block") + 1)
-        queries = visits.withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.element_at(subs, F.col("_block") + 1).cast("bigint") - 1)))
+        many = F.element_at(chunks, place)
+        queries = found.withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.element_at(subs, place).cast("bigint") - 1)))
         queries = queries.withColumn("_chunk", F.pmod(F.xxhash64("_id"), many))
         targets = known.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), many.cast("bigint") - 1)))
 
@@ -165,14 +220,11 @@ def _against_ranges(asked: DataFrame, known: DataFrame, names: list[str], k: int
         pairs = queries.select(*keep).groupBy(*cell).cogroup(targets.select(*keep, "_label").groupBy(*cell))
         return pairs.applyInPandas(one, OUT)
 
-    near = materialize(search(asked.withColumn("_block", F.col("_home"))))
+    near = materialize(search(materialize(visits(asked, names, cells, k))))
     bound = _best(near, k).groupBy("id").agg(F.max("distance").alias("_r"), F.count(F.lit(1)).alias("_found"))
     bounded = asked.join(bound.withColumnRenamed("id", "_id"), "_id", "left")
-    reach = F.when(F.col("_found") >= k, F.col("_r") * F.lit(1.0 + 1e-9) + F.lit(1e-12)).otherwise(F.lit(math.inf))
-    bounded = bounded.withColumns({"_from": F.col(names[0]) - reach, "_to": F.col(names[0]) + reach})
-    bounded = add_slices(add_slices(bounded, F.col("_from"), splits, "_lo"), F.col("_to"), splits, "_hi")
-    others = bounded.withColumn("_block", F.explode(F.sequence("_lo", "_hi"))).filter(F.col("_block") != F.col("_home"))
-    far = search(materialize(others.select("_id", *names, "_block")))
+    reach = F.when(F.col("_found") >= k, F.col("_r") * F.lit(1.0 + 1e-9) + F.lit(1e-12))
+    far = search(materialize(visits(bounded.withColumn("_reach", reach), names, cells, k, "_reach")))
     return _best(near.unionByName(far), k)
 
 

@@ -282,3 +282,43 @@ def test_disjoint_split_shares_nothing(t):
     parts = rows.stratified_split(t.base("orig"), "id", "y", 0.35, 5)
     a, r = parts.filter("part = 'A'"), parts.filter("part = 'R'")
     assert a.count() + r.count() == t.base("orig").count() and groups.shared_rows(a, r, ["id"]).count() == 0
+
+
+def clustered(rng, n, d):
+    centres = rng.random((30, d)) * 100
+    return centres[rng.integers(0, 30, n)] + rng.standard_normal((n, d))
+
+
+@pytest.mark.parametrize("d", [1, 3, 7])
+def test_cells_find_the_nearest_rows_and_skip_most(monkeypatch, d):
+    rng = np.random.default_rng(d)
+    refs, queries = clustered(rng, 3000, d), clustered(rng, 500, d)
+    queries[:20] = refs[:20]
+    refs[100:160] = refs[7]
+    compared, brute = [], neighbours._brute
+    monkeypatch.setattr(neighbours, "_brute", lambda q, r, k: compared.append(len(q) * len(r)) or brute(q, r, k))
+    found, place = neighbours.nearest(queries, refs, 6)
+    exact = ((queries[:, None] - refs[None]) ** 2).sum(axis=2)
+    order = np.argsort(exact, axis=1, kind="stable")[:, :6]
+    assert (place == order).all() and np.allclose(found, np.take_along_axis(exact, order, axis=1))
+    assert sum(compared) < 0.15 * len(queries) * len(refs)
+
+
+def test_cells_in_reach_are_few_on_clustered_rows(spark):
+    """Share of (row, reference row) pairs whose cells are visited, over both searches of the distributed way."""
+    from foldwise.kernels.pivots import Cells, assigned
+
+    rng = np.random.default_rng(5)
+    refs, queries = clustered(rng, 6000, 7), clustered(rng, 800, 7)
+    names = [f"_c{i}" for i in range(7)]
+    frame = lambda x: spark.createDataFrame(pd.DataFrame(x, columns=names).assign(_id=range(len(x)))).select("_id", *names)
+    known = frame(refs)
+    pivots = neighbours.choose_pivots(known, names, 60, 6000)
+    assert 30 <= len(pivots) <= 60
+    cells = neighbours.summary(neighbours.into_cells(known, names, pivots), pivots)
+    plain = Cells.around(pivots, *assigned(refs, pivots))
+    assert (cells.sizes == plain.sizes).all() and np.allclose(cells.most[plain.sizes > 0], plain.most[plain.sizes > 0])
+    bound = np.sqrt(neighbours.nearest(queries, refs, 5)[0][:, -1])
+    asked = spark.createDataFrame(pd.DataFrame(queries, columns=names).assign(_id=range(800), _reach=bound * 1.5))
+    visited = sum(int(cells.sizes[r[0]]) for part in (None, "_reach") for r in neighbours.visits(asked, names, cells, 5, part).select("_block").collect())
+    assert visited < 0.15 * 6000 * 800
