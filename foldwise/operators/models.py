@@ -1,7 +1,8 @@
-"""Model-driven operators over Spark ML learners: who is fitted on whom, and which rows get which prediction.
+"""Model-driven operators: who is fitted on whom, and which rows get which prediction.
 
-Fits of different folds are independent and are submitted side by side. The assembled frame is stored once, so an
-iterative learner re-reads vectors and not the feature plan.
+Linear learners (``logistic``, ``ridge``) are fitted for all folds and arms in common passes over the rows, see ``fold_models``, and
+score by a JVM-side expression. Spark ML learners are fitted per fold, side by side. The assembled frame is stored once, so
+iterative learners re-read vectors and not the feature plan.
 """
 
 from __future__ import annotations
@@ -10,29 +11,34 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.scalar import clip, safe_corr, to_logit
 from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.store import materialize
+from foldwise.operators.fold_models import Fit, FoldLearner, LinearModel, all_but, boosted_residuals, fit_many, responses
 from foldwise.operators.metrics import auc, delong
 from foldwise.operators.rows import hashed_fold, min_max_weights, stratified_kfold
 
 X = "_x"
 
 
-def logistic(reg: float = 1e-4, iterations: int = 100, **kw) -> LogisticRegression:
-    return LogisticRegression(featuresCol=X, maxIter=iterations, regParam=reg, **kw)
+def logistic(
+    reg: float = 1e-4, iterations: int | None = None, family: str = "binomial", tol: float = 1e-10, standardization: bool = True
+) -> FoldLearner:
+    """Logistic model, multinomial if asked, run until no gradient entry is above ``tol``."""
+    kind = "softmax" if family == "multinomial" else "logistic"
+    return FoldLearner(kind, reg, standardization, tol, iterations)
 
 
-def ridge(reg: float = 1.0) -> LinearRegression:
-    return LinearRegression(featuresCol=X, elasticNetParam=0.0, regParam=reg, solver="normal")
+def ridge(reg: float = 1.0) -> FoldLearner:
+    return FoldLearner("ridge", reg)
 
 
 def boosted_trees(rounds: int = 10, depth: int = 4, seed: int = 7) -> GBTClassifier:
@@ -51,7 +57,9 @@ def check_folds(work: DataFrame, fold: str, folds: int) -> None:
         raise ValueError(f"column {fold} holds values outside 0..{folds - 1}")
 
 
-def fitted(estimator: Estimator, df: DataFrame, y: str, weight: str | None = None):
+def fitted(estimator: Estimator | FoldLearner, df: DataFrame, y: str, weight: str | None = None):
+    if isinstance(estimator, FoldLearner):
+        return fit_many(df, X, y, [Fit(frozenset({0}))], estimator, weight=weight)[0]
     params = {estimator.getParam("labelCol"): y}
     if weight is not None:
         params[estimator.getParam("weightCol")] = weight
@@ -60,6 +68,8 @@ def fitted(estimator: Estimator, df: DataFrame, y: str, weight: str | None = Non
 
 def score(model, df: DataFrame, name: str) -> DataFrame:
     """``df`` with one more column: the probability of class 1, or the regression value."""
+    if isinstance(model, LinearModel):
+        return df.withColumn(name, responses([model], vector_to_array(X))[0])
     out = model.transform(df)
     value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
     return out.withColumn("_s", value).select(*df.columns, F.col("_s").alias(name))
@@ -86,6 +96,12 @@ def oof_predict(
     work = materialize(assemble(train, features, keep))
     check_folds(work, fold, folds)
     pool = work if external is None else work.unionByName(materialize(assemble(external, features, keep)))
+    if isinstance(estimator, FoldLearner):
+        cell = F.when(F.col(fold).between(0, folds - 1), F.col(fold)).otherwise(folds)
+        known = pool.filter(F.col(fold).isNotNull()).withColumn("_cell", cell.cast("int"))
+        models = fit_many(known, X, y, all_but(folds, cells=folds + 1), estimator, "_cell", folds + 1, weight)
+        oof = materialize(work.withColumn(name, responses(models, vector_to_array(X), F.col(fold))[0]).drop(X))
+        return oof, None if test is None else mean_score(models, assemble(test, features, [id]), name).drop(X), models
     models = in_parallel(
         train.sparkSession, [lambda f=f: fitted(estimator, pool.filter(F.col(fold) != f), y, weight) for f in range(folds)]
     )
@@ -103,24 +119,27 @@ def teacher_column(orig: DataFrame, df: DataFrame, features: list[str], y: str,
     return score(model, assemble(df, features, df.columns), name).drop(X)
 
 
-def aux_posteriors(orig: DataFrame, df: DataFrame, columns: list[str], levels: int, features: list[str] | None = None) -> DataFrame:
+def aux_posteriors(
+    orig: DataFrame, df: DataFrame, columns: list[str], levels: int, features: list[str] | None = None, reg: float = 1e-4
+) -> DataFrame:
     """``<c>_p<k>``: probability of each level 0..levels-1 of an ordinal column, predicted from all the others by a
     multinomial model fitted on ``orig``; a level above the largest one seen has probability 0."""
     out = df
     for c in columns:
         inputs = [f for f in [*columns, *(features or [])] if f != c]
         fit = materialize(assemble(orig, inputs, [c]))
-        model = fitted(logistic(family="multinomial"), fit, c)
-        have = model.numClasses
-        scored = model.transform(assemble(out, inputs, out.columns)).withColumn("_p", vector_to_array("probability"))
-        new = [(F.col("_p")[k] if k < have else F.lit(0.0)).alias(f"{c}_p{k}") for k in range(levels)]
-        out = scored.select(*out.columns, *new)
+        model = fitted(logistic(reg, family="multinomial"), fit, c)
+        probabilities = responses([model], vector_to_array(X))
+        new = [(probabilities[k] if k < len(probabilities) else F.lit(0.0)).alias(f"{c}_p{k}") for k in range(levels)]
+        out = assemble(out, inputs, out.columns).select(*out.columns, *new)
     return out
 
 
-def aux_expected_value(orig: DataFrame, df: DataFrame, columns: list[str], levels: int, features: list[str] | None = None) -> DataFrame:
+def aux_expected_value(
+    orig: DataFrame, df: DataFrame, columns: list[str], levels: int, features: list[str] | None = None, reg: float = 1e-4
+) -> DataFrame:
     """``<c>_ev``: sum of k * P(k) of those posteriors."""
-    scored = aux_posteriors(orig, df, columns, levels, features)
+    scored = aux_posteriors(orig, df, columns, levels, features, reg)
     new = {f"{c}_ev": reduce(lambda a, b: a + b, [F.col(f"{c}_p{k}") * F.lit(float(k)) for k in range(levels)]) for c in columns}
     return scored.withColumns(new).select(*df.columns, *new)
 
@@ -149,7 +168,12 @@ def backbone_margin(
         return fitted(estimator, work.filter((F.col(fold) != f) & (F.col("_inner") != g)), y)
 
     cells = [(f, g) for f in range(folds) for g in range(inner)]
-    models = dict(zip(cells, in_parallel(train.sparkSession, [lambda c=c: one(*c) for c in cells])))
+    if isinstance(estimator, FoldLearner):
+        celled = work.withColumn("_cell", (F.col(fold) * inner + F.col("_inner")).cast("int"))
+        seen = [Fit(frozenset(a * inner + b for a in range(folds) for b in range(inner) if a != f and b != g)) for f, g in cells]
+        models = dict(zip(cells, fit_many(celled, X, y, seen, estimator, "_cell", folds * inner)))
+    else:
+        models = dict(zip(cells, in_parallel(train.sparkSession, [lambda c=c: one(*c) for c in cells])))
     parts = []
     for f in range(folds):
         for g in range(inner):
@@ -201,14 +225,31 @@ def full_refit(
     return joined.withColumn("pred", F.col("fold_mean") * F.lit(1.0 - w) + F.col("refit") * F.lit(float(w)))
 
 
+def oof_arms(train: DataFrame, id: str, y: str, arms: dict[str, list[str]], fold: str, folds: int, estimator: Estimator | FoldLearner) -> DataFrame:
+    """``(id, y, one column per arm)``, stored: out-of-fold predictions of several feature lists on the same folds.
+
+    Linear learners fit all arms and folds in the same passes over one frame; others fit arm by arm and are joined by id.
+    """
+    if not isinstance(estimator, FoldLearner):
+        wide = None
+        for n, features in arms.items():
+            part = oof_predict(train, id, y, features, fold, folds, estimator, name=n)[0].select(id, y, n)
+            wide = part if wide is None else wide.join(part.drop(y), id)
+        return materialize(wide)
+    every = list(dict.fromkeys(c for features in arms.values() for c in features))
+    work = materialize(assemble(train, every, [id, fold, y]))
+    check_folds(work, fold, folds)
+    fits = [f for features in arms.values() for f in all_but(folds, tuple(every.index(c) for c in features))]
+    models = fit_many(work, X, y, fits, estimator, fold, folds)
+    x = vector_to_array(X)
+    scored = [responses(models[i * folds : (i + 1) * folds], x, F.col(fold))[0].alias(n) for i, n in enumerate(arms)]
+    return materialize(work.select(id, y, *scored))
+
+
 def ablate(train: DataFrame, id: str, y: str, arms: dict[str, list[str]], fold: str, folds: int, estimator: Estimator) -> DataFrame:
     """Each arm (a feature list) on the same folds, compared with the first arm: AUCs, difference, standard error, z."""
     names = list(arms)
-    wide = None
-    for n in names:
-        part = oof_predict(train, id, y, arms[n], fold, folds, estimator, name=n)[0].select(id, y, n)
-        wide = part if wide is None else wide.join(part.drop(y), id)
-    wide = materialize(wide)
+    wide = oof_arms(train, id, y, arms, fold, folds, estimator)
     parts = []
     for n in names[1:]:
         test = delong(wide, y, n, names[0])
@@ -247,8 +288,18 @@ def boosted_pseudo(
 ) -> tuple[DataFrame, list[float]]:
     """Test pseudo-labels moved ``rounds`` times by ``alpha`` times the predicted train residual, clipped to ``[low, high]``.
 
-    Returns the test rows with ``pseudo`` and the residual RMSE of each round.
+    Returns the test rows with ``pseudo`` and the residual RMSE of each round. With ridge models the train rows are read for the first
+    round only.
     """
+    if isinstance(estimator, FoldLearner) and estimator.kind == "ridge":
+        work = materialize(assemble(train.withColumn("_res", F.col(y) - F.col(oof)), features, [fold, "_res"]))
+        check_folds(work, fold, folds)
+        stages, errors = boosted_residuals(work, X, "_res", fold, folds, estimator, alpha, rounds)
+        moved = assemble(test.withColumn("pseudo", F.col(pred)), features, [*test.columns, "pseudo"])
+        for models in stages:
+            moved = mean_score(models, moved, "_delta")
+            moved = moved.withColumn("pseudo", clip(F.col("pseudo") + F.lit(alpha) * F.col("_delta"), low, high)).drop("_delta")
+        return moved.drop(X), errors
     residual = train.withColumn("_res", F.col(y) - F.col(oof))
     current = test.withColumn("pseudo", F.col(pred))
     errors = []
@@ -337,6 +388,11 @@ def forward_select(
         return float(auc(oof, y, ["pred"]).first()["auc"])
 
     def gains(trials: list[list[str]]) -> list[float]:
+        if isinstance(estimator(), FoldLearner) and trials:
+            arms = {f"_arm{i}": [*base, *t] for i, t in enumerate(trials)}
+            oof = oof_arms(hashed_fold(rows, id, folds, seed, "_f"), id, y, arms, "_f", folds, estimator())
+            areas = {r["model"]: r["auc"] for r in auc(oof, y, list(arms)).collect()}
+            return [float(areas[n]) - start for n in arms]
         return in_parallel(df.sparkSession, [lambda t=t: value([*base, *t]) - start for t in trials])
 
     start = value(base)
