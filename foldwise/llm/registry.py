@@ -101,7 +101,7 @@ from placed where rest > before
 
 def op4_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark", ["item_id", "text"]).toDF("item_id", "body")
-    found = tiling.leaks(documents(spark, sf_dir), items, seed=5, shortest=3, threshold=0.8)
+    found = tiling.leaks(documents(spark, sf_dir), items, shortest=3, threshold=0.8)
     return found.withColumnRenamed("entry_id", "doc_id")
 
 

@@ -94,60 +94,80 @@ def tile(item: list[int], text: list[int], shortest: int) -> list[tuple[int, int
 
 
 class Bench:
-    """A block of benchmark items: token numbers and the places of every seed run."""
+    """A block of benchmark items: token numbers, and the items and places of every run of ``shortest`` tokens (of a shorter item:
+    of the whole item). A tile consists of such runs, so they are all that a text has to be searched for."""
 
-    def __init__(self, items: list[tuple[object, bytes]], seed: int):
-        self.seed, self.numbers = seed, {}
+    def __init__(self, items: list[tuple[object, bytes]], shortest: int):
+        self.shortest, self.numbers = shortest, {}
         self.ids, self.runs = [], []
         rows = [(i, tokens(text)) for i, text in items]
         for i, words in rows:
             if words:
                 self.ids.append(i)
                 self.runs.append([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])
-        pairs = defaultdict(set)
+        self.lengths = np.array([len(r) for r in self.runs], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.lengths)))
+        seeds = defaultdict(list)
         for n, run in enumerate(self.runs):
-            size = min(seed, len(run))
-            for h in rolling(np.array(run, np.uint64), size).tolist():
-                pairs[size, h].add(n)
+            size = min(shortest, len(run))
+            hashes = rolling(np.array(run, np.uint64), size)
+            seeds[size].append((hashes, np.arange(len(hashes)) + self.first[n]))
         self.tables = {}
-        for size in sorted({s for s, _ in pairs}):
-            hashes = np.array(sorted(h for s, h in pairs if s == size), np.uint64)
-            self.tables[size] = hashes, {h: sorted(pairs[size, h]) for h in hashes.tolist()}
-
-    def candidates(self, numbers: np.ndarray) -> dict[int, np.ndarray]:
-        """Items that share a seed run with a text, and where in the text their seeds start."""
-        found = defaultdict(list)
-        for size, (hashes, places) in self.tables.items():
+        for size, parts in sorted(seeds.items()):
+            hashes, places = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            found, starts = np.unique(hashes[order], return_index=True)
+            self.tables[size] = found, np.append(starts, len(order)), places[order]
+
+    def candidates(self, numbers: np.ndarray, threshold: float) -> dict[int, np.ndarray]:
+        """Items whose tokens lie in runs of the text to at least ``threshold``, and a mask of the text's places in such a run.
+
+        No tile can hold another token of the item, so the share is an upper bound of the coverage and nothing is lost.
+        """
+        shared, met = [], {}
+        for size, (hashes, starts, places) in self.tables.items():
             rolled = rolling(numbers, size)
-            if not len(rolled) or not len(hashes):
+            if not len(rolled):
                 continue
-            at = np.searchsorted(hashes, rolled)
-            at[at == len(hashes)] = 0
-            for where in np.flatnonzero(hashes[at] == rolled).tolist():
-                for n in places[int(rolled[where])]:
-                    found[n].append(where)
-        return {n: np.array(w) for n, w in sorted(found.items())}
-
-    def covered(self, text: bytes | None, shortest: int, threshold: float) -> Iterator[tuple[object, float, int]]:
+            at = np.minimum(np.searchsorted(hashes, rolled), len(hashes) - 1)
+            where = np.flatnonzero(hashes[at] == rolled)
+            met[size] = where, at[where]
+            shared += [(size, places[starts[s] : starts[s + 1]]) for s in np.unique(at[where]).tolist()]
+        if not shared:
+            return {}
+        item_places = np.concatenate([(p[:, None] + np.arange(size)).ravel() for size, p in shared])
+        touched = np.unique(item_places)
+        share = np.bincount(np.searchsorted(self.first, touched, "right") - 1, minlength=len(self.runs))
+        chosen = np.flatnonzero(share >= threshold * self.lengths - 1e-9)
+        out = {}
+        for n in chosen.tolist():
+            mask = np.zeros(len(numbers), bool)
+            size = min(self.shortest, int(self.lengths[n]))
+            hashes = self.tables[size][0]
+            own = np.unique(np.searchsorted(hashes, rolling(np.array(self.runs[n], np.uint64), size)))
+            where, seeds = met[size]
+            own_starts = where[np.isin(seeds, own)]
+            for k in range(size):
+                mask[own_starts + k] = True
+            out[n] = mask
+        return out
+
+    def covered(self, text: bytes | None, threshold: float) -> Iterator[tuple[object, float, int]]:
         """``(item id, coverage, tiles)`` of the items that a text covers to at least ``threshold``."""
         get = self.numbers.get
         numbers = np.array([get(w, 0) for w in tokens(text)], np.uint64)
-        for n, seeds in self.candidates(numbers).items():
+        for n, mask in self.candidates(numbers, threshold).items():
             item = self.runs[n]
-            tiles = tile(item, _near(numbers, seeds, 2 * len(item)), min(shortest, len(item)))
+            tiles = tile(item, _within(numbers, mask), min(self.shortest, len(item)))
             coverage = sum(k for _, _, k in tiles) / len(item)
             if coverage >= threshold:
                 yield self.ids[n], coverage, len(tiles)
 
 
-def _near(numbers: np.ndarray, seeds: np.ndarray, reach: int) -> list[int]:
-    """The text around the seeds; places between them become tokens that match nothing, one per gap."""
-    cover = np.zeros(len(numbers) + 1, np.int64)
-    np.add.at(cover, np.maximum(seeds - reach, 0), 1)
-    np.add.at(cover, np.minimum(seeds + reach, len(numbers)), -1)
-    inside = np.cumsum(cover)[:-1] > 0
-    kept = np.where(inside, numbers, 0)
-    first = inside | np.concatenate(([True], inside[:-1]))
+def _within(numbers: np.ndarray, mask: np.ndarray) -> list[int]:
+    """The masked places in order; every gap between them becomes one token that matches nothing."""
+    kept = np.where(mask, numbers, 0)
+    first = mask | np.concatenate(([False], mask[:-1]))
     return kept[first].tolist()
 
 
@@ -177,7 +197,6 @@ def leaks(
     body: str = "body",
     item_id: str = "item_id",
     item_body: str = "body",
-    seed: int = 5,
     shortest: int = 3,
     threshold: float = 0.8,
     block_bytes: int = BLOCK_BYTES,
@@ -186,9 +205,9 @@ def leaks(
     ``threshold`` of the item's tokens.
 
     ``records`` are parsed writeup entries or any rows with an id and a text. Tokens are runs of letters and digits,
-    lower-cased in ASCII. An item is a candidate for a record if they share a run of ``seed`` tokens (shorter items: their
-    whole run); tiles of at least ``shortest`` tokens are then laid greedily, so moved sentences still count. The benchmark is
-    a stated query set: it goes to the tasks in blocks of at most ``block_bytes``, one pass over the records each, and texts
+    lower-cased in ASCII. Tiles of at least ``shortest`` tokens (shorter items: their whole run) are laid greedily over the whole text,
+    so moved sentences and phrases count wherever they stand. An item is left out before that only if the runs of ``shortest``
+    tokens that it shares with the text hold less than ``threshold`` of it, which no tiling can exceed. The benchmark is a stated query set: it goes to the tasks in blocks of at most ``block_bytes``, one pass over the records each, and texts
     are never shuffled. NULL or wordless texts and items match nothing; repeated rows and ids each give their own rows (of
     items that share an id, each one).
     """
@@ -201,12 +220,12 @@ def leaks(
         shipped = source.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Bench(shipped.value, seed)
+            bench = Bench(shipped.value, shortest)
             for batch in batches:
                 rows = [
                     (at, *found)
                     for at, text in enumerate(batch.column(1).to_pylist())
-                    for found in bench.covered(text, shortest, threshold)
+                    for found in bench.covered(text, threshold)
                 ]
                 columns = list(zip(*rows)) if rows else [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
@@ -229,7 +248,7 @@ def leaks(
 
 def remove_leaks(
     records: DataFrame, benchmark: DataFrame, body: str = "body", item_id: str = "item_id", item_body: str = "body",
-    seed: int = 5, shortest: int = 3, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES,
+    shortest: int = 3, threshold: float = 0.8, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``records``, all columns, without those that ``leaks`` reports; nothing is shuffled."""
     at, out = records.columns.index(body), records
@@ -238,10 +257,10 @@ def remove_leaks(
         shipped = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = Bench(shipped.value, seed)
+            bench = Bench(shipped.value, shortest)
             for batch in batches:
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
-                clean = [next(bench.covered(t, shortest, threshold), None) is None for t in texts]
+                clean = [next(bench.covered(t, threshold), None) is None for t in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)

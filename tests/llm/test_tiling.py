@@ -62,20 +62,51 @@ def items_and_records(seed=2):
 
 
 def plain_leaks(items, records, threshold=0.8):
+    """Tiling of whole texts without seeds; only items with too few tokens in the text at all are skipped."""
     out = []
     for i, text in records:
         words = [w.decode() for w in tiling.tokens((text or "").encode())]
+        known = set(words)
         for item_id, item_text in items:
             item = [w.decode() for w in tiling.tokens((item_text or "").encode())]
-            size = min(5, len(item))
-            runs = {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
-            if item and any(tuple(item[k : k + size]) in runs for k in range(len(item) - size + 1)):
-                covered = sum(k for *_, k in greedy(item, words, min(3, len(item)))) / len(item)
+            if item and sum(w in known for w in item) >= threshold * len(item):
+                numbers = {w: n for n, w in enumerate(dict.fromkeys([*item, *words]))}
+                tiles = tiling.tile([numbers[w] for w in item], [numbers[w] for w in words], min(3, len(item)))
+                covered = sum(k for *_, k in tiles) / len(item)
                 if covered >= threshold:
                     out.append((str(i), item_id, round(covered, 9)))
     return sorted(out)
 
 
+def test_phrases_in_any_order_and_place(spark, writeups):
+    """Four-token phrases in another order, and short tiles far from the rest, count like any other."""
+    words = [f"q{i}" for i in range(40)]
+    phrases = [words[k : k + 4] for k in range(0, 40, 4)]
+    moved = " ".join(w for k in (3, 7, 0, 9, 5, 2, 8, 1, 6, 4) for w in phrases[k])
+    far = " ".join([*words[:24], *(["filler"] * 500), *words[24:28], *(["filler"] * 700), *words[28:32]])
+    shorter = " ".join([*words[:24], *(["filler"] * 500), *words[24:26], *(["filler"] * 700), *words[30:32]])
+    some = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, body string")
+    found = {r.entry_id: r.coverage for r in tiling.leaks(writeups([(1, moved), (2, far), (3, shorter)]), some).collect()}
+    assert found == {1: 1.0, 2: 0.8}
+    assert plain_leaks([(1, " ".join(words))], [(1, moved), (2, far), (3, shorter)]) == [("1", 1, 1.0), ("2", 1, 0.8)]
+
+
+def test_random_phrases_equal_tiling_without_seeds(spark, writeups):
+    rng = random.Random(11)
+    items = [(n, " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(2, 40)))) for n in range(12)]
+    records = []
+    for n in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 30)):
+            words = items[n % 12][1].split()
+            at, size = rng.randrange(len(words)), rng.randint(1, 9)
+            parts += words[at : at + size] + rng.choices([f"w{k}" for k in range(60)], k=rng.randint(0, 3))
+        records.append((n, " ".join(parts)))
+    benchmark = spark.createDataFrame(items, "item_id bigint, body string")
+    out = tiling.leaks(writeups(records), benchmark).collect()
+    assert sorted((str(r.entry_id), r.item_id, round(r.coverage, 9)) for r in out) == plain_leaks(items, records)
+
+
 def test_leaks_equal_brute_force_in_any_blocks(spark, writeups, awkward):
     items, records = items_and_records()
     records = records[:40] + [(200 + n, t) for n, t in enumerate(awkward) if len(t or "") < 20_000]
