@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.kernels.scan import join_on
@@ -47,10 +49,8 @@ def _branches(links: DataFrame) -> DataFrame:
     A parent has at most ``LITERAL_SHARE`` of them, so the windows below are small. In order of their share of bad links,
     neighbours that a two-proportion test does not tell apart become one branch; branches with few labels stay alone.
     """
-    child = links.filter(F.col("segment").isNotNull()).groupBy("node", "segment")
-    child = materialize(
-        child.agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    )
+    child = links.groupBy("node", "segment").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    child = materialize(child)
     whole = child.groupBy("node").agg(F.sum("n").alias("all_n"))
     literal = child.filter(F.col("n") > 1).join(whole, "node").filter(F.col("n") * LITERAL_SHARE >= F.col("all_n"))
     literal = literal.select(
@@ -78,7 +78,8 @@ def judge_links(
     ``allow`` or ``block`` and a rule, a stated list that becomes one expression. The longest fitting rule decides. For every
     other link the template of its path does: below each host, a segment that holds little of its parent's links becomes
     ``*``, and literal branches whose labelled shares of bad links a two-proportion test does not tell apart become one, such
-    as ``{de,en}``. Levels go on until no path has a further segment, one small round of jobs each. ``purity`` is the template's
+    as ``{de,en}``. Rounds go level by level over counts per distinct host and path, of which only those with a further segment and
+    company at their node go on: a path that is alone there, however deep, has its template at once. ``purity`` is the template's
     share of bad links, smoothed by one good and one bad link; from ``REJECT_AT`` on the verdict is ``block``, else ``allow``. Labels are the column ``label`` (1 bad, 0 good, NULL unknown), or
     else the rules' own decisions.
 
@@ -95,20 +96,29 @@ def judge_links(
     base = base.withColumns({"rule": rule, "action": action})
     if label is None:
         base = base.withColumn("bad", F.when(F.col("action").isNotNull(), (F.col("action") == "block").cast("int")))
+    base = materialize(base)
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = materialize(base.withColumn("segments", segments).withColumn("node", F.col("host")))
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
-        at = tree.withColumn("segment", F.try_element_at("segments", F.lit(level + 1)))
-        placed = join_on(at, _branches(at), ["node", "segment"])
+    paths = base.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    open_paths = materialize(paths.withColumns({"segments": segments, "node": F.col("host")}))
+    done = []
+    while True:
+        single = open_paths.groupBy("node").count().filter(F.col("count") == 1).select("node", F.lit(True).alias("single"))
+        marked = materialize(join_on(open_paths, single, ["node"]).withColumn("single", F.coalesce("single", F.lit(False)) | (F.size("segments") == 0)))
+        rest = F.when(F.col("n") > 1, F.col("segments")).otherwise(F.transform("segments", lambda s: F.lit("*")))
+        ended = marked.filter("single")
+        done.append(ended.select("host", "path", "known", "bad", F.array_join(F.concat(F.array("node"), rest), "/").alias("template")))
+        going = marked.filter(~F.col("single")).drop("single").withColumn("segment", F.element_at("segments", 1))
+        if going.isEmpty():
+            break
+        placed = join_on(going, _branches(going), ["node", "segment"])
         below = F.concat_ws("/", "node", F.coalesce("step", F.lit("*")))
-        node = F.when(F.col("segment").isNull(), F.col("node")).otherwise(below)
-        tree = materialize(placed.withColumn("node", node).select(*tree.columns))
-    tree = tree.withColumn("template", F.col("node"))
-    counts = tree.filter(F.col("bad").isNotNull()).groupBy("template").agg(F.count("bad").alias("known"), F.sum("bad").alias("n_bad"))
+        onward = F.slice("segments", 2, F.size("segments"))
+        open_paths = materialize(placed.withColumns({"node": below, "segments": onward}).select(*open_paths.columns))
+    tree = reduce(lambda a, b: a.unionByName(b), done)
+    counts = tree.groupBy("template").agg(F.sum("known").alias("known"), F.sum("bad").alias("n_bad"))
     purity = (F.col("n_bad") + 1).cast("double") / (F.col("known") + 2).cast("double")
-    judged = join_on(tree, counts.select("template", purity.alias("purity")), ["template"])
-    judged = judged.withColumn("purity", F.coalesce("purity", F.lit(0.5)))
+    named = join_on(tree.select("host", "path", "template"), counts.select("template", purity.alias("purity")), ["template"])
+    judged = join_on(base, materialize(named), ["host", "path"])
     verdict = F.coalesce("action", F.when(F.col("purity") >= REJECT_AT, "block").otherwise("allow"))
     return judged.select("entry_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

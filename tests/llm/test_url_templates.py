@@ -84,3 +84,16 @@ def test_branches_below_the_third_segment(spark):
     out = url_templates.judge_links(links, [], label="label").collect()
     assert {(r.path.split("/")[4], r.verdict) for r in out} == {("good", "allow"), ("bad", "block")}
     assert {r.template for r in out} == {"host/a/b/c/good/{0,1}", "host/a/b/c/bad/{0,1}"}
+
+
+def test_trap_of_many_segments_ends_at_once(spark, monkeypatch):
+    """A link of 500 segments, alone or repeated, costs no rounds beyond those of its company."""
+    rounds, branches = [], url_templates._branches
+    monkeypatch.setattr(url_templates, "_branches", lambda links: rounds.append(1) or branches(links))
+    deep = "https://trap.org" + "".join(f"/d{k}" for k in range(500))
+    twice = "https://twin.org" + "/loop" * 400
+    rows = [(1, deep), (2, twice), (3, twice), *[(10 + n, f"https://trap.org/page{n}/x") for n in range(30)], (50, "https://trap.org")]
+    out = {r.entry_id: r.template for r in url_templates.judge_links(spark.createDataFrame(rows, "entry_id bigint, url string"), RULES).collect()}
+    assert out[1] == "trap.org" + "/*" * 500 and out[2] == out[3] == "twin.org" + "/loop" * 400
+    assert out[10] == "trap.org/*/x" and out[50] == "trap.org" and len(out) == 34
+    assert len(rounds) <= 2 + 2
