@@ -41,6 +41,10 @@ def balanced_centroids(points: np.ndarray, lists: int, rounds: int = 4) -> np.nd
     return np.array([points[c].mean(axis=0) for c in cells])
 
 
+#: From this ratio on a query that is still short reads all lists.
+WIDEST, ALL_LISTS = 8.0, float("inf")
+
+
 @dataclass
 class CentroidGraph:
     """Centroids and, for each, its nearest others: the graph that searches walk."""
@@ -151,7 +155,8 @@ def nearest_rows(
     ``vectors`` are the rows of a feature table, an id and an array of numbers; ``queries`` rows of the same form. Centroids of
     equal-sized cells are fitted on at most ``sample_rows`` rows; every row is indexed. A row goes to the list of its nearest
     centroid and, near a boundary, to up to ``replicas`` lists within ``boundary`` times that distance. A query reads all lists
-    within ``ratio`` times its nearest centroid's distance: the ratio alone prunes. Both walk the centroid graph, whose size
+    within ``ratio`` times its nearest centroid's distance: the ratio alone prunes. Queries that met fewer than ``k`` rows search
+    again at twice the ratio, and so on up to all lists, so an answer is short only if there are no more candidates. Both walk the centroid graph, whose size
     is bounded by ``MAX_LISTS``. A list over ``group_rows`` rows (a vector that many rows share) is cut by a hash into groups that
     a query visits one by one. Distances are of the vectors as given, in double precision; ties go to the smaller id.
 
@@ -164,7 +169,10 @@ def nearest_rows(
     asked = usable(queries, id, features)
     kind = id_type(rows)
     out_schema = f"query_id {kind}, rank int, entry_id {kind}, distance double"
-    sample = rows.orderBy(F.xxhash64("entry_id"), "entry_id").limit(sample_rows).select("features").toArrow()
+    total = rows.count()
+    draw = F.pmod(F.xxhash64("entry_id"), F.lit(2**31))
+    few = rows.filter(draw < int(min(1.0, 1.2 * sample_rows / max(total, 1)) * 2**31))
+    sample = few.orderBy(draw, F.xxhash64("entry_id"), "entry_id").limit(sample_rows).select("features").toArrow()
     lengths = np.array([len(v) for v in sample.column(0)], np.int64)
     if not len(lengths):
         return spark.createDataFrame([], out_schema)
@@ -172,7 +180,7 @@ def nearest_rows(
     chosen = sample.filter(pa.array(lengths == size)).column(0).combine_chunks()
     points = _matrix(chosen, size)
     rows, asked = (d.filter(F.size("features") == size) for d in (rows, asked))
-    lists = int(np.clip(rows.count() // list_rows, 1, min(MAX_LISTS, len(points))))
+    lists = int(np.clip(total // list_rows, 1, min(MAX_LISTS, len(points))))
     graph = CentroidGraph.over(balanced_centroids(points, lists))
     shared = spark.sparkContext.broadcast(graph)
 
@@ -195,11 +203,14 @@ def nearest_rows(
     sizes = posted.groupBy("list").count().collect()
     pieces = {r["list"]: -(-r["count"] // group_rows) for r in sizes}
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.RecordBatch]:
         walk = shared.value
         count = np.array([pieces.get(n, 0) for n in range(len(walk.centroids))])
         for batch in batches:
-            row, at = walk.lists(_matrix(batch.column(1), size), ratio, 4)
+            if ratio == ALL_LISTS:
+                row, at = (x.ravel() for x in np.indices((batch.num_rows, len(count))))
+            else:
+                row, at = walk.lists(_matrix(batch.column(1), size), ratio, 4)
             times = count[at]
             piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             row, at = np.repeat(row, times), np.repeat(at, times)
@@ -216,7 +227,6 @@ def nearest_rows(
     if cut:
         of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), F.col("list")), F.lit(1))
     held = posted.select("list", F.pmod(F.xxhash64("entry_id"), of).cast("int").alias("piece"), "entry_id", "features", F.lit(False).alias("asks"))
-    probes = asked.mapInArrow(ask, f"list int, piece int, entry_id {kind}, features array<double>").withColumn("asks", F.lit(True))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, held_rows = None, [], []
@@ -250,8 +260,21 @@ def nearest_rows(
                 ["query_id", "entry_id", "distance"],
             )
 
-    both = held.unionByName(probes).repartition("list", "piece").sortWithinPartitions("list", "piece", "asks")
-    near = both.mapInArrow(compare, f"query_id {kind}, entry_id {kind}, distance double")
-    near = near.groupBy("query_id", "entry_id").agg(F.min("distance").alias("distance"))
+    def found_by(some: DataFrame, ratio: float) -> DataFrame:
+        probes = some.mapInArrow(lambda b: ask(b, ratio), f"list int, piece int, entry_id {kind}, features array<double>")
+        both = held.unionByName(probes.withColumn("asks", F.lit(True)))
+        both = both.repartition("list", "piece").sortWithinPartitions("list", "piece", "asks")
+        near = both.mapInArrow(compare, f"query_id {kind}, entry_id {kind}, distance double")
+        return materialize(near.groupBy("query_id", "entry_id").agg(F.min("distance").alias("distance")))
+
+    reach = ratio if total > k + 1 else ALL_LISTS
+    near = found_by(asked, reach)
+    while reach != ALL_LISTS:
+        full = near.groupBy(F.col("query_id").alias("full")).count().filter(F.col("count") >= k)
+        short = materialize(asked.join(full, F.col("entry_id") == F.col("full"), "left_anti"))
+        if short.isEmpty():
+            break
+        reach = reach * 2 if reach < WIDEST else ALL_LISTS
+        near = near.unionByName(found_by(short, reach)).groupBy("query_id", "entry_id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "entry_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "entry_id", "distance")

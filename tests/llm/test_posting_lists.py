@@ -72,3 +72,21 @@ def test_rows_that_take_no_part(spark):
     assert lists.nearest_rows(empty, empty).count() == 0
     alone = frame(spark, [(0, [1.0, 2.0])])
     assert lists.nearest_rows(alone, alone).count() == 0
+
+
+def test_queries_with_few_rows_in_reach_still_get_k(spark):
+    """Tight groups of four rows far from each other: a ratio meets the own group only, so the search widens."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 50, (60, 6))
+    data = np.round(np.repeat(centres, 4, axis=0) + rng.normal(0, 0.01, (240, 6)), 4)
+    vectors = frame(spark, list(enumerate(data.tolist())))
+    kept = np.array([r.features for r in vectors.orderBy("id").collect()])
+    out = lists.nearest_rows(vectors, vectors.filter("id % 10 = 0"), k=10, list_rows=4, ratio=1.05).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.query_id, []).append(r.entry_id)
+    assert set(found) == set(range(0, 240, 10)) and all(len(v) == 10 for v in found.values())
+    truth = exact(kept, list(range(240)), found, 10)
+    assert np.mean([len(set(found[q]) & {i for _, i in truth[q]}) / 10 for q in found]) >= 0.9
+    few = lists.nearest_rows(vectors.filter("id < 6"), vectors.filter("id = 0"), k=10, list_rows=2).collect()
+    assert [r.rank for r in few] == [1, 2, 3, 4, 5]
