@@ -141,3 +141,20 @@ def row_numbers(df: DataFrame, by: list[str], order: list[str], slice_col: str,
     """1-based position inside ``by``; ``slice_col`` must be non-decreasing in ``order``."""
     numbered = sums_before(df, by, order, {name: F.lit(1)}, slice_col)
     return numbered.withColumn(name, F.col(name) + 1)
+
+
+def running_max(table: DataFrame, value: str, best: Column, name: str) -> DataFrame:
+    """Add the largest ``best`` (a number or struct) over the rows up to and including this one, ordered by ``value``.
+
+    ``table`` is stored and holds each value once. As in ``value_scan`` a large table is cut into slices: each takes the largest of the
+    slices before it from a tiny table and is scanned alone.
+    """
+    upto = lambda window: window.rowsBetween(W.unboundedPreceding, W.currentRow)
+    if table.count() <= SMALL_TABLE:
+        return table.withColumn(name, F.max(best).over(upto(W.orderBy(value))))
+    sliced = add_slices(table, F.col(value), split_points(table, F.col(value), slice_count(table))).withColumn("_own", best)
+    tops = sliced.groupBy(SLICE).agg(F.max("_own").alias("_top"))
+    earlier = tops.select(SLICE, F.max("_top").over(W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    joined = join_on(sliced, materialize(earlier), [SLICE])
+    own = F.max("_own").over(upto(W.partitionBy(SLICE).orderBy(value)))
+    return joined.withColumn(name, F.greatest(own, "_earlier")).drop("_own", "_earlier", SLICE)

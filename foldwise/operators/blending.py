@@ -265,8 +265,10 @@ def argmax_class(probs: list[Column]) -> Column:
 
 def tune_class_weights(df: DataFrame, y: str, probs: list[str], grid: list[list[float]]) -> DataFrame:
     """Balanced accuracy of ``argmax(p * w)`` for every weight vector: ``(candidate, balanced_accuracy)``."""
-    guesses = [F.struct(F.lit(i).alias("candidate"), argmax_class([F.col(p) * F.lit(float(v)) for p, v in zip(probs, w)]).alias("guess")) for i, w in enumerate(grid)]
-    return _candidate_recall(df, y, guesses)
+    listed = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in grid])
+    long = df.select(F.col(y).alias("_y"), *[F.col(p).alias(f"_p{i}") for i, p in enumerate(probs)], F.posexplode(listed).alias("candidate", "_w"))
+    guess = argmax_class([F.col(f"_p{i}") * F.get("_w", F.lit(i)) for i in range(len(probs))])
+    return _mean_recall(long.select("_y", "candidate", guess.alias("guess")), "_y")
 
 
 def drawn_weights(n: int, classes: int, low: float, high: float, seed: int) -> list[list[float]]:
@@ -295,6 +297,10 @@ def tune_thresholds(df: DataFrame, y: str, low: str, high: str, grid: list[tuple
 
 def _candidate_recall(df: DataFrame, y: str, guesses: list[Column]) -> DataFrame:
     long = df.select(y, F.explode(F.array(*guesses)).alias("_e")).select(y, "_e.candidate", "_e.guess")
+    return _mean_recall(long, y)
+
+
+def _mean_recall(long: DataFrame, y: str) -> DataFrame:
     recall = long.groupBy("candidate", y).agg(F.avg((F.col("guess") == F.col(y)).cast("double")).alias("_r"))
     return recall.groupBy("candidate").agg(F.avg("_r").alias("balanced_accuracy"))
 

@@ -66,9 +66,9 @@ def _(t):
 
 @case("reference_quantile_code", with_base(f"""
 , q as (select quantile_cont(price, [{', '.join(f'{i / 10!r}e0' for i in range(1, 10))}]) as edges from orig)
-select id, cast(1 + len(list_filter(edges, lambda x: x <= price)) as int) as price_ref10 from train, q where price is not null"""))
+select id, case when price is not null then cast(1 + len(list_filter(edges, lambda x: x <= price)) as int) end as price_ref10 from base, q"""))
 def _(t):
-    return B.ref_quantile_code(t.base("train").filter("price is not null"), t.base("orig"), "price", 10).select("id", "price_ref10")
+    return B.ref_quantile_code(t.base(), t.base("orig"), "price", 10).select("id", "price_ref10")
 
 
 @case("supervised_tree_bins")
@@ -78,13 +78,13 @@ def _(t):
 
 @case("piecewise_linear_encoding", with_base(f"""
 , q as (select quantile_cont(price, [0.25e0, 0.5e0, 0.75e0]) as e from train)
-select id, cast(price >= e[1] as double) as price_ple0, round(least(greatest((price - e[1]) / (e[2] - e[1]), 0), 1), 6) as price_ple1,
- round(least(greatest((price - e[2]) / (e[3] - e[2]), 0), 1), 6) as price_ple2, 0.0e0 as price_ple3 from base, q where price is not null"""))
+select id, cast(price >= e[1] as double) as price_ple0, case when price is not null then round(least(greatest((price - e[1]) / (e[2] - e[1]), 0), 1), 6) end as price_ple1,
+ case when price is not null then round(least(greatest((price - e[2]) / (e[3] - e[2]), 0), 1), 6) end as price_ple2, case when price is not null then 0.0e0 end as price_ple3 from base, q"""))
 def _(t):
     from foldwise.kernels.quantiles import quantile_values
 
     edges = quantile_values(t.base("train"), "price", [0.25, 0.5, 0.75])
-    out = B.ple(t.base().filter("price is not null"), "price", edges)
+    out = B.ple(t.base(), "price", edges)
     return rounded(out.select("id", "price_ple0", "price_ple1", "price_ple2", "price_ple3"), [])
 
 

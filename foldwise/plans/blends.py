@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from foldwise.operators import blending as B
+from foldwise.operators import optimisers as S
 from foldwise.operators import metrics as M
 from foldwise.plans.cases import case, model_score_sql, rounded, with_base
 from foldwise.plans.ordered_and_metrics import LONG, MODELS, RANKED, auc_sql
@@ -57,7 +58,7 @@ def _(t):
 
 @case("hill_climb_weights")
 def _(t):
-    weights, _ = B.hill_climb(t.scores(), "y", MODELS, step=0.25)
+    weights, _ = B.hill_climb(t.scores(), "y", MODELS, step=0.05)
     return rounded(B.blend(t.scores(), list(weights), "mean", list(weights.values())).select("id", "blend"), [])
 
 
@@ -263,7 +264,7 @@ def _(t):
     return rounded(B.combined_test(t.scores(), t.scores("test"), "id", "y", MODELS, list(B.COMBINERS)), [])
 
 
-DRAWN = B.drawn_weights(60, 3, 0.5, 3.0, 11)
+DRAWN = B.drawn_weights(200, 3, 0.5, 3.0, 11)
 
 
 def drawn_sql():
@@ -277,3 +278,43 @@ select id, cast(guess as int) as guess from g join top using (candidate)""")
 @case("drawn_class_weights", drawn_sql())
 def _(t):
     return B.weighted_argmax(three(t), "cls", ["p0", "p1", "p2"], DRAWN)[1].select("id", "guess")
+
+
+@case("temperature_fit", with_base(THREE + """, l as (select id, 2 - cls as cls, ln(p0) as z0, ln(p1) as z1, ln(p2) as z2 from p),
+it as (select 0 as k, 1.0e0 as b union all select k + 1, b - g / h from (select k, b, sum(m - case cls when 0 then z0 when 1 then z1 else z2 end) as g, sum(q - m * m) as h
+  from (select k, b, cls, z0, z1, z2, (e0 * z0 + e1 * z1 + e2 * z2) / (e0 + e1 + e2) as m, (e0 * z0 * z0 + e1 * z1 * z1 + e2 * z2 * z2) / (e0 + e1 + e2) as q
+    from (select it.k, it.b, cls, z0, z1, z2, exp(b * z0) as e0, exp(b * z1) as e1, exp(b * z2) as e2 from it, l)) group by k, b) where k < 15),
+t as (select b from it order by k desc limit 1)
+select id, round(exp(b * z0) / (exp(b * z0) + exp(b * z1) + exp(b * z2)), 5) as q0, round(exp(b * z2) / (exp(b * z0) + exp(b * z1) + exp(b * z2)), 5) as q2 from l, t""").replace("with base as", "with recursive base as", 1))
+def _(t):
+    """One temperature for all classes, whose optimum SQL finds by Newton steps."""
+    found = S.fit_temperatures(three(t).withColumn("cls", 2 - F.col("cls")), "cls", ["p0", "p1", "p2"], shared=True)
+    scaled = B.temperature_probs(["p0", "p1", "p2"], list(found.values))
+    return rounded(three(t).select("id", scaled[0].alias("q0"), scaled[2].alias("q2")), [], 5)
+
+
+@case("class_temperatures")
+def _(t):
+    found = S.fit_temperatures(three(t).withColumn("cls", 2 - F.col("cls")), "cls", ["p0", "p1", "p2"])
+    scaled = B.temperature_probs(["p0", "p1", "p2"], list(found.values))
+    return rounded(three(t).select("id", *[e.alias(f"q{c}") for c, e in enumerate(scaled)]), [])
+
+
+SWEEP_COUNTS = """, sc as (select m2 as s, cast(least(floor(price / 100000), 2) as int) as cls from scores where price is not null),
+d as (select s, count(*) filter (cls = 0) as n0, count(*) filter (cls = 1) as n1, count(*) filter (cls = 2) as n2 from sc group by s),
+b as (select s, coalesce(sum(n0) over w, 0) * 1.0e0 / (select sum(n0) from d) as f0, coalesce(sum(n1) over w, 0) * 1.0e0 / (select sum(n1) from d) as f1,
+  coalesce(sum(n2) over w, 0) * 1.0e0 / (select sum(n2) from d) as f2 from d window w as (order by s rows between unbounded preceding and 1 preceding))"""
+
+
+@case("threshold_sweep", with_base(""", d as (select m3 as s, count(*) filter (y = 0) as n0, count(*) filter (y = 1) as n1 from scores group by m3),
+b as (select s, coalesce(sum(n0) over w, 0) * 1.0e0 / (select sum(n0) from d) as f0, coalesce(sum(n1) over w, 0) * 1.0e0 / (select sum(n1) from d) as f1 from d window w as (order by s rows between unbounded preceding and 1 preceding))
+select s as threshold, round((f0 + 1.0e0 - f1) / 2, 12) as balanced_accuracy from b order by 2 desc, 1 limit 1"""))
+def _(t):
+    return S.sweep_threshold(t.scores(), "y", "m3")
+
+
+@case("two_threshold_sweep", with_base(SWEEP_COUNTS + """
+select l.s as low, h.s as high, round((round(l.f0 - l.f1, 12) + h.f1 + 1.0e0 - h.f2) / 3, 12) as balanced_accuracy from b l join b h on l.s <= h.s order by 3 desc, 2, 1 limit 1"""))
+def _(t):
+    df = t.scores().filter("price is not null").withColumn("cls", F.least(F.floor(F.col("price") / 100000), F.lit(2)).cast("int"))
+    return S.sweep_two_thresholds(df, "cls", "m2")
