@@ -189,6 +189,15 @@ LEVELS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 DUMMIES = ["pri2", "pri3", "pri4", "pri5"]
 
 
+NUDGE = 1e-8
+
+
+def nudged(df, digits=6):
+    """Rounded like ``rounded``, a little above: shares such as 13/64 lie on a rounding edge, where a fit may fall to either side."""
+    double = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
+    return rounded(df.withColumns({c: F.col(c) + F.lit(NUDGE) for c in double}), [], digits)
+
+
 def levelled(df):
     return df.withColumns({d: (F.col("pri") == v).cast("int") for d, v in zip(DUMMIES, LEVELS)})
 
@@ -200,17 +209,17 @@ def shares_sql(tag, source, fold, folds, y="y"):
 
 
 @case("oof_by_level", with_base(f""", {shares_sql('sh', 'folded', 'fold', 5)}
-select id, folded.fold, round(p, 6) as pred from folded join sh on folded.fold = sh.fold and folded.pri = sh.pri
-union all select id, -1, round(avg(p), 6) from test join sh on test.pri = sh.pri group by id"""))
+select id, folded.fold, round(p + 1e-8, 6) as pred from folded join sh on folded.fold = sh.fold and folded.pri = sh.pri
+union all select id, -1, round(avg(p) + 1e-8, 6) from test join sh on test.pri = sh.pri group by id"""))
 def _(t):
     oof, tested, _ = M.oof_predict(levelled(t.folded()), "id", "y", DUMMIES, "fold", 5, M.logistic(0.0), levelled(t.base("test")))
-    return rounded(oof.select("id", "fold", "pred").unionByName(tested.select("id", F.lit(-1).alias("fold"), "pred")), [])
+    return nudged(oof.select("id", "fold", "pred").unionByName(tested.select("id", F.lit(-1).alias("fold"), "pred")))
 
 
-@case("teacher_by_level", with_base("select id, round(p, 6) as teacher from test join (select pri, avg(y) as p from orig group by pri) using (pri)"))
+@case("teacher_by_level", with_base("select id, round(p + 1e-8, 6) as teacher from test join (select pri, avg(y) as p from orig group by pri) using (pri)"))
 def _(t):
     out = M.teacher_column(levelled(t.base("orig")), levelled(t.base("test")), DUMMIES, "y", M.logistic(0.0))
-    return rounded(out.select("id", "teacher"), [])
+    return nudged(out.select("id", "teacher"))
 
 
 def rated_levels(t, split):
@@ -222,17 +231,17 @@ sh as (select pri, k, avg(cast(r1 = k as int)) as p from rt, (select unnest(rang
 
 
 @case("auxiliary_posteriors_by_level", with_base(RATING_SHARES + f"""
-select id, {', '.join(f'round(sum(p) filter (k = {k}), 5) + 0.0e0 as r1_p{k}' for k in range(6))} from rt join sh on rt.pri = sh.pri where split = 'test' group by id"""))
+select id, {', '.join(f'round(sum(p) filter (k = {k}) + 1e-8, 6) + 0.0e0 as r1_p{k}' for k in range(6))} from rt join sh on rt.pri = sh.pri where split = 'test' group by id"""))
 def _(t):
     out = M.aux_posteriors(rated_levels(t, "orig"), rated_levels(t, "test"), ["r1"], 6, DUMMIES, reg=0.0)
-    return rounded(out.select("id", *[f"r1_p{k}" for k in range(6)]), [], 5)
+    return nudged(out.select("id", *[f"r1_p{k}" for k in range(6)]))
 
 
 @case("auxiliary_value_by_level", with_base(RATING_SHARES + """
-select id, round(sum(k * p), 5) as r1_ev from rt join sh on rt.pri = sh.pri where split = 'test' group by id"""))
+select id, round(sum(k * p) + 1e-8, 6) as r1_ev from rt join sh on rt.pri = sh.pri where split = 'test' group by id"""))
 def _(t):
     out = M.aux_expected_value(rated_levels(t, "orig"), rated_levels(t, "test"), ["r1"], 6, DUMMIES, reg=0.0)
-    return rounded(out.select("id", "r1_ev"), [], 5)
+    return nudged(out.select("id", "r1_ev"))
 
 
 def line_sql(tag, source, x, y, folds, reg):
@@ -302,19 +311,19 @@ def _(t):
 
 
 @case("noise_by_level", with_base(f""", {shares_sql('sh', 'folded', 'fold', 5)}
-select id, round(abs(y - p), 6) as noise from folded join sh on folded.fold = sh.fold and folded.pri = sh.pri"""))
+select id, round(abs(y - p) + 1e-8, 6) as noise from folded join sh on folded.fold = sh.fold and folded.pri = sh.pri"""))
 def _(t):
     out = M.noise_scores(levelled(t.folded()), "id", "y", DUMMIES, "fold", 5, M.logistic(0.0))
-    return rounded(out.select("id", "noise"), [])
+    return nudged(out.select("id", "noise"))
 
 
 @case("refit_by_level", with_base(f""", {shares_sql('sh', 'folded', 'fold', 5)}, w as (select pri, avg(y) as p from base where split <> 'test' group by pri),
 m as (select pri, avg(p) as p from sh group by pri)
-select id, round(m.p, 6) as fold_mean, round(w.p, 6) as refit, round(0.25e0 * m.p + 0.75e0 * w.p, 6) as pred from test join m using (pri) join w using (pri)"""))
+select id, round(m.p + 1e-8, 6) as fold_mean, round(w.p + 1e-8, 6) as refit, round(0.25e0 * m.p + 0.75e0 * w.p + 1e-8, 6) as pred from test join m using (pri) join w using (pri)"""))
 def _(t):
     parts = [levelled(x) for x in (t.folded(), t.base("orig"), t.base("test"))]
     out = M.full_refit(*parts, "id", "y", DUMMIES, "fold", 5, M.logistic(0.0), 0.75)
-    return rounded(out.select("id", "fold_mean", "refit", "pred"), [])
+    return nudged(out.select("id", "fold_mean", "refit", "pred"))
 
 
 @case("ridge_stacking_pair", with_base(f""", ts as (select id, {model_score_sql(1)} as m1, {model_score_sql(3)} as m3 from test), {plane_sql('two', 'scores', 'm1', 'm3', 'y', 5, '0.001e0')}
