@@ -319,7 +319,7 @@ def stack_weights(fit: DataFrame, y: str, preds: list[str], c: float = 0.3) -> t
     logits = fit.select(y, *[to_logit(p).alias(p) for p in preds])
     rows = materialize(assemble(logits, preds, [y]))
     model = fitted(logistic(1.0 / (c * max(rows.count(), 1)), 200, standardization=False), rows, y)
-    return [float(v) for v in model.coefficients], float(model.intercept)
+    return list(model.coefficients[0]), model.intercepts[0]
 
 
 def stack(
