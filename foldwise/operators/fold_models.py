@@ -75,15 +75,26 @@ def _response(kind: str, margins: list[Column]) -> list[Column]:
     return [p / total for p in powers]
 
 
-def responses(models: list[LinearModel], x: Column, which: Column | None = None) -> list[Column]:
-    """Value, probability of class 1, or the probabilities of all classes, from an array column, with the model number ``which`` of each
-    row (the first by default): a JVM-side expression. NULL for a model without fit rows."""
-    kind = models[0].kind
+def margins(models: list[LinearModel], x: Column, which: Column | None = None) -> list[Column]:
+    """Linear predictor per class, with the model number ``which`` of each row (the first by default); NULL without fit rows."""
     rows = max(1, *[len(m.coefficients) for m in models])
     width = max((len(m.coefficients[0]) for m in models if m.coefficients), default=0)
     listed = F.array(*[F.array(*[F.lit(v) for v in m.coefs]).cast("array<double>") if m.intercepts else F.lit(None).cast("array<double>") for m in models])
     flat = F.get(listed, F.lit(0) if which is None else which.cast("int"))
-    return _response(kind, [_margin(x, flat, r, rows, width) for r in range(rows)])
+    return [_margin(x, flat, r, rows, width) for r in range(rows)]
+
+
+def responses(models: list[LinearModel], x: Column, which: Column | None = None) -> list[Column]:
+    """Value, probability of class 1, or the probabilities of all classes, from an array column: a JVM-side expression."""
+    return _response(models[0].kind, margins(models, x, which))
+
+
+def class_probabilities(df: DataFrame, model: LinearModel, x: Column, name: str) -> DataFrame:
+    """``df`` with an array column of the class probabilities of a softmax; every margin is computed once."""
+    out = df.withColumn("_margins", F.array(*margins([model], x)))
+    out = out.withColumn("_powers", F.transform("_margins", lambda m: F.exp(m - F.array_max("_margins"))))
+    total = F.aggregate("_powers", F.lit(0.0), lambda a, b: a + b)
+    return out.withColumn("_total", total).withColumn(name, F.transform("_powers", lambda e: e / F.col("_total"))).drop("_margins", "_powers", "_total")
 
 
 class _Rows:

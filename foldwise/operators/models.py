@@ -22,7 +22,7 @@ from foldwise.functions.scalar import clip, safe_corr, to_logit
 from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.store import materialize
-from foldwise.operators.fold_models import Fit, FoldLearner, LinearModel, all_but, boosted_residuals, fit_many, responses
+from foldwise.operators.fold_models import Fit, FoldLearner, LinearModel, all_but, boosted_residuals, class_probabilities, fit_many, responses
 from foldwise.operators.metrics import auc, delong
 from foldwise.operators.rows import hashed_fold, min_max_weights, stratified_kfold
 
@@ -129,9 +129,10 @@ def aux_posteriors(
         inputs = [f for f in [*columns, *(features or [])] if f != c]
         fit = materialize(assemble(orig, inputs, [c]))
         model = fitted(logistic(reg, family="multinomial"), fit, c)
-        probabilities = responses([model], vector_to_array(X))
-        new = [(probabilities[k] if k < len(probabilities) else F.lit(0.0)).alias(f"{c}_p{k}") for k in range(levels)]
-        out = assemble(out, inputs, out.columns).select(*out.columns, *new)
+        scored = class_probabilities(assemble(out, inputs, out.columns), model, vector_to_array(X), "_p")
+        have = max(1, len(model.coefficients))
+        new = [(F.get("_p", F.lit(k)) if k < have else F.lit(0.0)).alias(f"{c}_p{k}") for k in range(levels)]
+        out = scored.select(*out.columns, *new)
     return out
 
 
