@@ -21,7 +21,7 @@ from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.quantiles import exact_quantiles, quantile_name
 from foldwise.kernels.scan import join_on, value_scan
 from foldwise.kernels.store import materialize
-from foldwise.operators.metrics import auc, auc_from_counts, auc_long, class_counts, corr_matrix
+from foldwise.operators.metrics import auc, auc_bounds, auc_from_counts, auc_long, class_counts, corr_matrix
 from foldwise.operators.ordered import pct_rank
 from foldwise.operators.reference import rank_table
 
@@ -94,6 +94,39 @@ def mix(weights: dict[str, float]) -> Column:
 
 
 BATCH = 200
+#: Bounds from counts and exact areas differ by rounding only; this much is left between them.
+SLACK = 1e-12
+
+
+def column_ranges(df: DataFrame, preds: list[str]) -> dict[str, tuple[float, float]]:
+    """Least and largest value of every column; ``(0, 0)`` where there is none."""
+    row = df.agg(*[f(p).cast("double") for p in preds for f in (F.min, F.max)]).first()
+    return {p: (row[2 * i] or 0.0, row[2 * i + 1] or 0.0) for i, p in enumerate(preds)}
+
+
+def mix_range(weights: dict[str, float], ranges: dict[str, tuple[float, float]]) -> tuple[float, float]:
+    total = sum(weights.values())
+    ends = [sorted((w / total * ranges[m][0], w / total * ranges[m][1])) for m, w in weights.items()]
+    return sum(e[0] for e in ends), sum(e[1] for e in ends)
+
+
+def best_trial(df: DataFrame, y: str, trials: list[tuple[str, float, dict[str, float]]], preds: list[str], ranges: dict, floor: float):
+    """``(auc, model, weight, weights)`` of the best trial, or None where no trial reaches ``floor``.
+
+    Binned counts bound the area of every trial; only those that could be the best are scored exactly.
+    """
+    bounds = []
+    for at in range(0, len(trials), BATCH):
+        part = [w for _, _, w in trials[at : at + BATCH]]
+        found = auc_bounds(df, y, [mix(w) for w in part], [mix_range(w, ranges) for w in part]).collect()
+        bounds += [(r["low"], r["high"], at + r["candidate"]) for r in found if r["low"] is not None]
+    needed = max([floor, *[low for low, _, _ in bounds]]) - SLACK
+    left = sorted(i for _, high, i in bounds if high >= needed)
+    scored = []
+    for at in range(0, len(left), BATCH):
+        part = [trials[i] for i in left[at : at + BATCH]]
+        scored += [(r["auc"], *part[r["candidate"]]) for r in score_candidates(df, y, [mix(w) for _, _, w in part]).collect()]
+    return max(scored, key=lambda s: (s[0], -preds.index(s[1]), -abs(s[2])), default=None)
 
 
 def hill_climb(
@@ -102,9 +135,11 @@ def hill_climb(
     """Weights found by adding, round by round, the (model, weight) that lifts the AUC most, until the gain falls below
     ``min_gain`` (or for at most ``rounds`` rounds, if given). ``negative`` also tries the weights from -1 on.
 
-    Returns the weights (summing to 1) and the path ``[(model, weight, auc)]``. Each round is one job per ``BATCH`` candidates.
+    Returns the weights (summing to 1) and the path ``[(model, weight, auc)]``. Each round counts all candidates in cells, one job per
+    ``BATCH`` of them, and scores only those exactly whose bounds reach the best.
     """
     work = materialize(df.select(y, *preds))
+    ranges = column_ranges(work, preds)
     solo = model_scores(work, y, preds)
     start = max(preds, key=lambda m: solo[m])
     weights, best, path = {start: 1.0}, solo[start], [(start, 1.0, solo[start])]
@@ -121,13 +156,8 @@ def hill_climb(
                 trial[m] = trial.get(m, 0.0) + w
                 if sum(trial.values()) > 1e-9:
                     trials.append((m, w, trial))
-        scored = []
-        for at in range(0, len(trials), BATCH):
-            part = trials[at : at + BATCH]
-            rows = score_candidates(work, y, [mix(t) for _, _, t in part]).collect()
-            scored += [(r["auc"], *part[r["candidate"]]) for r in rows]
-        top = max(scored, key=lambda s: (s[0], -preds.index(s[1]), -abs(s[2])))
-        if top[0] - best < min_gain:
+        top = best_trial(work, y, trials, preds, ranges, best + min_gain)
+        if top is None or top[0] - best < min_gain:
             break
         best, weights = top[0], top[3]
         path.append((top[1], top[2], best))

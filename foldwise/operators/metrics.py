@@ -11,10 +11,10 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foldwise.functions.hashing import MODULUS, key_hash
-from foldwise.functions.scalar import safe_corr
+from foldwise.functions.scalar import clip, safe_corr
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.scan import value_scan
 from foldwise.kernels.store import materialize
@@ -51,6 +51,30 @@ def auc_long(long: DataFrame, y: str, by: list[str]) -> DataFrame:
     return auc_from_counts(class_counts(long, y, by), by)
 
 
+BINS = 4096
+
+
+def auc_bounds(df: DataFrame, y: str, candidates: list[Column], ranges: list[tuple[float, float]], bins: int = BINS) -> DataFrame:
+    """``(candidate, low, high)``: bounds of the AUC of every candidate score from its counts in ``bins`` cells of its range.
+
+    Pairs in different cells keep their order, pairs inside one cell are counted as lost for ``low`` and as won for ``high``. Any ranges
+    are right, tight ones give tight bounds. The map side reduces every task to at most ``bins`` rows per candidate, so what is
+    shuffled does not grow with the rows. NULL scores do not count; a candidate without both classes has NULL bounds.
+    """
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("candidate"), F.floor((c.cast("double") - F.lit(lo)) * F.lit(bins / (hi - lo) if hi > lo else 0.0)).alias("cell"))
+        for i, (c, (lo, hi)) in enumerate(zip(candidates, ranges))
+    ])
+    long = df.select(y, F.explode(entries).alias("_e")).select(y, "_e.candidate", clip("_e.cell", 0, bins).alias("cell"))
+    pos, neg = (F.count(F.when((F.col(y) == c) & F.col("cell").isNotNull(), 1)) for c in (1, 0))
+    counts = long.groupBy("candidate", "cell").agg(pos.alias("pos"), neg.alias("neg"))
+    below = F.coalesce(F.sum("neg").over(W.partitionBy("candidate").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won, tied = F.sum(F.col("pos").cast("double") * F.col("_b")), F.sum(F.col("pos").cast("double") * F.col("neg"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    scanned = counts.withColumn("_b", below).groupBy("candidate")
+    return scanned.agg(F.try_divide(won, pairs).alias("low"), F.try_divide(won + tied, pairs).alias("high"))
+
+
 def regression_metrics(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
     gap = F.col(pred) - F.col(y)
     return df.groupBy(*(by or [])).agg(

@@ -15,7 +15,6 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from foldwise.functions.scalar import clip, safe_corr, to_logit
@@ -23,6 +22,7 @@ from foldwise.kernels.jobs import in_parallel
 from foldwise.kernels.lookup import attach_row, lookup
 from foldwise.kernels.store import materialize
 from foldwise.operators.fold_models import Fit, FoldLearner, LinearModel, all_but, boosted_residuals, class_probabilities, fit_many, responses
+from foldwise.operators.isotonic import isotonic_blocks, isotonic_values
 from foldwise.operators.metrics import auc, delong
 from foldwise.operators.rows import hashed_fold, min_max_weights, stratified_kfold
 
@@ -264,23 +264,32 @@ def isotonic(
     """Monotone calibration of ``pred``; with ``fold`` every row comes from a fit on the other folds, and the rows of ``test``, if
     given, get the mean over the folds as a second frame.
 
-    Equal predictions are summed into one weighted point before the fit.
+    Equal predictions are summed into one weighted point before the fit, once for all folds. Rows with a NULL label are not fitted; a NULL
+    or NaN prediction, or one without any fitted point, gets NULL.
     """
-    work = df.withColumn(X, F.col(pred).cast("double"))
-
-    def fit(rows: DataFrame):
-        points = rows.groupBy(X).agg(F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-        return IsotonicRegression(featuresCol=X, labelCol="_y", weightCol="_w").fit(materialize(points))
-
-    if fold is None:
-        return score(fit(work), work, name).drop(X)
-    check_folds(work, fold, folds)
-    models = in_parallel(df.sparkSession, [lambda f=f: fit(work.filter(F.col(fold) != f)) for f in range(folds)])
-    parts = [score(m, work.filter(F.col(fold) == f), name) for f, m in enumerate(models)]
-    oof = reduce(lambda a, b: a.unionByName(b), parts).drop(X)
+    real = F.col("x").isNotNull() & ~F.isnan("x")
+    part = F.lit(0) if fold is None else F.col(fold)
+    if fold is not None:
+        check_folds(df, fold, folds)
+    rows = df.select(F.col(pred).cast("double").alias("x"), F.col(y).cast("double").alias("_y"), part.alias("_f")).filter(real)
+    counts = materialize(rows.groupBy("x", "_f").agg(F.sum("_y").alias("s"), F.count("_y").cast("double").alias("w")))
+    asked = None if test is None else materialize(test.select(F.col(pred).cast("double").alias("x")).filter(real).distinct())
+
+    def values(f: int | None) -> DataFrame:
+        seen = counts.filter("w > 0") if f is None else counts.filter((F.col("w") > 0) & (F.col("_f") != f))
+        blocks = isotonic_blocks(seen.groupBy("x").agg(F.sum("s").alias("s"), F.sum("w").alias("w")))
+        xs = (counts if f is None else counts.filter(F.col("_f") == f)).select("x")
+        out = isotonic_values(xs if asked is None else xs.unionByName(asked).distinct(), blocks)
+        return out.select(F.lit(f or 0).alias("_f"), F.col("x").alias(X), F.col("value").alias(name))
+
+    tables = in_parallel(df.sparkSession, [lambda f=f: values(f) for f in (range(folds) if fold is not None else [None])])
+    table = materialize(reduce(lambda a, b: a.unionByName(b), tables))
+    keyed = df.withColumn(X, F.col(pred).cast("double")).withColumn("_f", part.cast("int"))
+    oof = lookup(keyed, table, ["_f", X]).drop(X, "_f")
     if test is None:
         return oof
-    return oof, mean_score(models, test.withColumn(X, F.col(pred).cast("double")), name).drop(X)
+    means = table.groupBy(X).agg(F.avg(name).alias(name), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(tables)).drop("_n")
+    return oof, lookup(test.withColumn(X, F.col(pred).cast("double")), means, [X]).drop(X)
 
 
 def boosted_pseudo(

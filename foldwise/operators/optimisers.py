@@ -1,25 +1,35 @@
-"""Continuous fits and exact searches over predictions: temperatures by a quasi-Newton loop, thresholds by one sweep.
+"""Continuous fits and exact searches over predictions: temperatures by a quasi-Newton loop, thresholds by one sweep, blend weights
+and exponent by a moving simplex.
 
-Every evaluation of the loop is one small aggregate over the rows; the sweep counts distinct scores once.
+Every evaluation of a loop is one small aggregate over the rows; the sweep counts distinct scores once.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from foldwise.functions.scalar import clip
 from foldwise.kernels.scan import running_max, value_scan
 from foldwise.kernels.store import materialize
 from foldwise.kernels.sums import matrix, summed
+from foldwise.operators.blending import score_candidates
+from foldwise.operators.metrics import auc_bounds
 
 #: Differences of balanced accuracy below this many digits are ties.
 DIGITS = 12
+#: Probabilities are kept this far from 0 and 1 before a power or logarithm.
+PROB_EPS = 1e-6
+#: Blends counted in one job.
+SCORED_AT_ONCE = 100
 
 
 def lbfgs(
@@ -137,3 +147,112 @@ def sweep_two_thresholds(df: DataFrame, y: str, score: str) -> DataFrame:
     value = F.round((F.col("best.v") + share(1) + F.lit(1.0) - share(2)) / 3, DIGITS)
     found = swept.select((-F.col("best.s")).alias("low"), F.col("s").alias("high"), value.alias("balanced_accuracy"))
     return found.orderBy(F.desc("balanced_accuracy"), "high").limit(1)
+
+
+@dataclass(frozen=True)
+class PowerBlend:
+    """Weights (summing to 1) and exponent of a power mean, its exact AUC, and the steps of the search."""
+
+    weights: dict[str, float]
+    p: float
+    auc: float
+    steps: int
+
+
+def power_score(preds: list[str], weights: np.ndarray, p: float) -> Column:
+    """A score that orders rows as the weighted power mean ``(sum w x^p)^(1/p)`` does; ``p = 0`` is the geometric mean."""
+    shape = lambda m: clip(m, PROB_EPS, 1.0 - PROB_EPS)
+    if abs(p) < 1e-9:
+        terms = [F.ln(shape(m)) for m in preds]
+    else:
+        terms = [F.pow(shape(m), F.lit(float(p))) * F.lit(math.copysign(1.0, p)) for m in preds]
+    return reduce(lambda a, b: a + b, [t * F.lit(float(w)) for t, w in zip(terms, weights)])
+
+
+def power_range(ranges: list[tuple[float, float]], weights: np.ndarray, p: float) -> tuple[float, float]:
+    ends = np.clip(np.array(ranges, float), PROB_EPS, 1.0 - PROB_EPS)
+    value = np.log(ends) if abs(p) < 1e-9 else math.copysign(1.0, p) * ends**p
+    return float(weights @ value[:, 0]), float(weights @ value[:, 1])
+
+
+def simplex_climb(
+    evaluate: Callable[[list[np.ndarray]], list[float]], start: list[np.ndarray], values: list[float], gain: float, width: float
+) -> tuple[np.ndarray, float, int]:
+    """Largest value by a simplex that reflects, expands, contracts or shrinks: ``(point, value, steps)``.
+
+    All points that a step might need are evaluated in one call, those of a shrink included, so a step is one job. Ends when
+    the values of the simplex lie within ``gain`` or its points within ``width`` of the best.
+    """
+    points, steps = [np.asarray(s, float) for s in start], 0
+    values = list(values)
+    while True:
+        order = sorted(range(len(points)), key=lambda i: (-values[i], i))
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if values[0] - values[-1] <= gain or max(np.abs(q - points[0]).max() for q in points) <= width:
+            return points[0], values[0], steps
+        centre = np.mean(points[:-1], axis=0)
+        away = centre - points[-1]
+        shrunk = [points[0] + (q - points[0]) / 2 for q in points[1:]]
+        trials = [centre + away, centre + 2 * away, centre + away / 2, centre - away / 2, *shrunk]
+        reflected, expanded, outside, inside, *small = evaluate(trials)
+        steps += 1
+        if reflected > values[0]:
+            taken = 1 if expanded > reflected else 0
+        elif reflected > values[-2]:
+            taken = 0
+        elif reflected > values[-1] and outside >= reflected:
+            taken = 2
+        elif inside > values[-1]:
+            taken = 3
+        else:
+            points, values = [points[0], *shrunk], [values[0], *small]
+            continue
+        points[-1], values[-1] = trials[taken], [reflected, expanded, outside, inside][taken]
+
+
+def fit_power_blend(
+    df: DataFrame, y: str, preds: list[str], exponents: list[float] = [0.5, 1.0, 2.0], parts: int = 4, gain: float = 1e-7, width: float = 1e-4
+) -> PowerBlend:
+    """Continuous weights and exponent of the power mean with the largest AUC.
+
+    First every mix in steps of ``1 / parts`` is scored under every start exponent; a simplex around the best of them then moves
+    freely, and starts again around its end with half the spread until that gains no more than ``gain``. Weights below 0 count as 0. The
+    search compares areas of binned counts (middle of their bounds), a few kilobytes per task whatever the rows; where it ends is
+    compared exactly with where it began, and the better one is returned. No randomness: equal rows give equal results.
+    Rows where a prediction or the label is NULL do not count; without both classes the mix is the plain mean.
+    """
+    k = len(preds)
+    known = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [y, *preds]]))
+    rows = materialize(known.select(y, *[F.col(p).cast("double").alias(p) for p in preds]))
+    found = rows.agg(*[f(p) for p in preds for f in (F.min, F.max)], F.count_distinct(y)).first()
+    if found[2 * k] < 2:
+        return PowerBlend(dict.fromkeys(preds, 1.0 / k), 1.0, float("nan"), 0)
+    ranges = [(found[2 * i], found[2 * i + 1]) for i in range(k)]
+
+    def split(point: np.ndarray) -> tuple[np.ndarray, float]:
+        raw = np.maximum(np.append(point[:-1], 1.0 - point[:-1].sum()), 0.0)
+        return raw / raw.sum(), float(point[-1])
+
+    def binned(points: list[np.ndarray]) -> list[float]:
+        out = []
+        for at in range(0, len(points), SCORED_AT_ONCE):
+            part = [split(q) for q in points[at : at + SCORED_AT_ONCE]]
+            got = auc_bounds(rows, y, [power_score(preds, *q) for q in part], [power_range(ranges, *q) for q in part]).collect()
+            out += [round((r["low"] + r["high"]) / 2, DIGITS) for r in sorted(got, key=lambda r: r["candidate"])]
+        return out
+
+    mixes = [np.array(c, float) / parts for c in product(range(parts + 1), repeat=k) if sum(c) == parts]
+    grid = [np.append(m[:-1], p) for p in exponents for m in mixes]
+    first = binned(grid)
+    top = max(range(len(grid)), key=lambda i: (first[i], -i))
+    best, value, steps, spread = grid[top], first[top], 0, 0.5 / parts
+    while True:
+        corners = [best + spread * e * (-1.0 if j < k - 1 and best[j] + spread > 1.0 else 1.0) for j, e in enumerate(np.eye(k))]
+        moved, reached, more = simplex_climb(binned, [best, *corners], [value, *binned(corners)], gain, width)
+        gained, best, value, steps, spread = reached - value, moved, reached, steps + more, spread / 2
+        if gained <= gain or spread <= width:
+            break
+    ends = [split(best), split(grid[top])]
+    exact = {r["candidate"]: r["auc"] for r in score_candidates(rows, y, [power_score(preds, *e) for e in ends]).collect()}
+    pick = max(range(2), key=lambda i: (exact[i], -i))
+    return PowerBlend(dict(zip(preds, ends[pick][0].tolist())), ends[pick][1], exact[pick], steps)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foldwise.operators import blending as B
@@ -62,6 +63,14 @@ def _(t):
     return rounded(B.blend(t.scores(), list(weights), "mean", list(weights.values())).select("id", "blend"), [])
 
 
+@case("power_blend_search")
+def _(t):
+    """Continuous weights and exponent; the blend is their power mean."""
+    found = S.fit_power_blend(t.scores(), "y", MODELS)
+    score = S.power_score(MODELS, np.array([found.weights[m] for m in MODELS]), found.p)
+    return rounded(t.scores().select("id", score.alias("blend"), F.lit(found.auc).alias("auc")), [])
+
+
 @case("hill_climb_rmse_weights")
 def _(t):
     weights, _ = B.hill_climb_rmse(t.scores(), "y", MODELS)
