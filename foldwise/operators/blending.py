@@ -265,17 +265,20 @@ def cross_fitted_blend(
 ) -> tuple[DataFrame, DataFrame]:
     """Linear logit blend ``(1-w) A + w B`` whose weight for each fold is chosen on the other folds.
 
-    Returns the rows with ``blend`` and the table ``(fold, weight, auc)``; ties take the smaller weight.
+    Returns the rows with ``blend`` and the table ``(fold, weight, auc)``; ties take the smaller weight. Each (candidate, score) is counted
+    once with a column per fold; one scan then gives the areas of all folds, each from the total without its own part.
     """
     work = materialize(df.select(fold, y, to_logit(a).alias("_a"), to_logit(b).alias("_b")))
     mixed = [F.struct(F.lit(i).alias("candidate"), (F.col("_a") * F.lit(1.0 - w) + F.col("_b") * F.lit(w)).alias("pred")) for i, w in enumerate(grid)]
     long = work.select(fold, y, F.explode(F.array(*mixed)).alias("_e")).select(fold, y, "_e.candidate", "_e.pred")
-    own = class_counts(long, y, [fold, "candidate"])
-    readers = own.withColumn("_reader", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("_reader") != F.col(fold))
-    seen = materialize(
-        readers.groupBy(F.col("_reader").alias(fold), "candidate", "pred").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    )
-    areas = auc_from_counts(seen, [fold, "candidate"])
+    per_fold = [F.count(F.when((F.col(fold) == f) & (F.col(y) == c), 1)).alias(f"{n}{f}") for f in range(folds) for n, c in (("pos", 1), ("neg", 0))]
+    counts = materialize(long.filter(F.col("pred").isNotNull()).groupBy("candidate", "pred").agg(*per_fold))
+    other = lambda n, f: reduce(lambda a, b: a + b, [F.col(f"{n}{g}") for g in range(folds) if g != f], F.lit(0))
+    scanned = value_scan(counts, ["candidate"], "pred", {f"_below{f}": other("neg", f) for f in range(folds)}, stored=True)
+    won = lambda f: F.sum(other("pos", f).cast("double") * (F.col(f"_below{f}") + other("neg", f) / F.lit(2.0)))
+    pairs = lambda f: F.sum(other("pos", f)).cast("double") * F.sum(other("neg", f))
+    each = F.array(*[F.struct(F.lit(f).alias(fold), F.try_divide(won(f), pairs(f)).alias("auc")) for f in range(folds)])
+    areas = scanned.groupBy("candidate").agg(each.alias("_a")).select("candidate", F.explode("_a").alias("_a")).select("candidate", f"_a.{fold}", "_a.auc")
     best = areas.groupBy(fold).agg(F.max_by("candidate", F.struct(F.col("auc"), -F.col("candidate"))).alias("_c"), F.max("auc").alias("auc"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in grid]), F.col("_c") + 1)
     table = materialize(best.select(fold, weight.alias("weight"), "auc"))

@@ -94,13 +94,38 @@ def _(t):
     return rounded(joined.select("id", "weight", "blend"), ["weight"])
 
 
-@case("nnls_combiner", with_base("""
-, g as (select sum(m2 * m2) as aa, sum(m2 * m3) as ab, sum(m3 * m3) as bb, sum(m2 * y) as ay, sum(m3 * y) as yb from scores),
-w as (select (bb * ay - ab * yb) / (aa * bb - ab * ab) as u, (aa * yb - ab * ay) / (aa * bb - ab * ab) as v, ay / aa as ua, yb / bb as vb from g),
-x as (select case when u >= 0 and v >= 0 then u when v < 0 then ua else 0 end as u, case when u >= 0 and v >= 0 then v when u < 0 then vb else 0 end as v from w)
-select id, round((m2 * u + m3 * v) / (u + v), 6) as blend from scores, x"""))
+def products_sql(name, source, by, columns):
+    """Cross products of the columns with each other and with the label, per group."""
+    pairs = ", ".join(f"cast(sum({a} * {b}) as double) as g{i}{j}" for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j)
+    return f", {name} as (select {by + ', ' if by else ''}{pairs}, {', '.join(f'cast(sum({c} * y) as double) as b{i}' for i, c in enumerate(columns))} from {source} {'group by ' + by if by else ''})"
+
+
+def descent_sql(name, source, columns, nonnegative=True, steps=2000):
+    """Solution ``x`` of the normal equations ``g x = b`` of every row, one unknown after the other, not below 0 if asked."""
+    k = len(columns)
+    rest = lambda i: "".join(f" - g{min(i, j)}{max(i, j)} * x{j}" for j in range(k) if j != i)
+    best = lambda i: ("greatest(0.0e0, {})" if nonnegative else "{}").format(f"(b{i}{rest(i)}) / g{i}{i}")
+    moved = ", ".join(f"case when step % {k} = {i} then {best(i)} else x{i} end as x{i}" for i in range(k))
+    names = ", ".join(f"x{i}" for i in range(k))
+    return f""", {name}_steps as (select *, 0 as step, {', '.join(f'0.0e0 as x{i}' for i in range(k))} from {source}
+union all select * exclude (step, {names}), step + 1 as step, {moved} from {name}_steps where step < {steps}), {name} as (select * from {name}_steps where step = {steps})"""
+
+
+def share_sql(weights, columns):
+    """The columns mixed with the solution scaled to sum 1, equally if all are 0."""
+    whole = " + ".join(f"{weights}.x{i}" for i in range(len(columns)))
+    mixed = " + ".join(f"{c} * {weights}.x{i}" for i, c in enumerate(columns))
+    return f"(case when {whole} > 0 then ({mixed}) / ({whole}) else ({' + '.join(columns)}) / {len(columns)}.0e0 end)"
+
+
+def recursive(sql):
+    return sql.replace("with base as", "with recursive base as", 1)
+
+
+@case("nnls_combiner", recursive(with_base(products_sql("g", "scores", "", MODELS) + descent_sql("w", "g", MODELS) + f"""
+select id, round({share_sql("w", MODELS)}, 6) as blend from scores, w""")))
 def _(t):
-    w = B.nnls_weights(t.scores(), "y", ["m2", "m3"])
+    w = B.nnls_weights(t.scores(), "y", MODELS)
     return rounded(B.blend(t.scores(), list(w), "mean", list(w.values())).select("id", "blend"), [])
 
 
@@ -124,23 +149,18 @@ def _(t):
     return rounded(table, [])
 
 
-def pair_weights_sql(name, source, by):
-    """Closed-form non-negative least squares on two logits, per group."""
-    keys = f"{by}, " if by else ""
-    return f""", {name}_g as (select {keys}sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as yb from {source} {'group by ' + by if by else ''}),
-{name}_w as (select {keys}(bb * ay - ab * yb) / (aa * bb - ab * ab) as u, (aa * yb - ab * ay) / (aa * bb - ab * ab) as v, ay / aa as ua, yb / bb as vb from {name}_g),
-{name}_x as (select {keys}greatest(case when v < 0 then ua else u end, 0) as u, greatest(case when u < 0 then vb else v end, 0) as v from {name}_w),
-{name} as (select {keys}case when u + v > 0 then u / (u + v) else 0.5e0 end as u, case when u + v > 0 then v / (u + v) else 0.5e0 end as v from {name}_x)"""
+LEGS = ["z0", "z1", "z2", "z3"]
 
 
-@case("sealed_pair_scores", with_base(RANKED + f"""
-, z as (select s.id, s.fold, s.y, {logit_sql('s.m2')} as a, {logit_sql('s.m3')} as b, (rk.m2 + rk.m3) / 2.0e0 as r from scores s join rk using (id)), rd as (select z.*, q as reader from z, (select unnest([0, 1, 2, 3, 4]) as q) where q <> fold)""" +
-    pair_weights_sql("wf", "rd", "reader") + pair_weights_sql("wa", "z", "") + """
+@case("sealed_pair_scores", recursive(with_base(RANKED + f"""
+, z as (select s.id, s.fold, s.y, {', '.join(f"{logit_sql('s.' + m)} as z{m[1]}" for m in MODELS)}, (rk.m0 + rk.m1 + rk.m2 + rk.m3) / 4.0e0 as r from scores s join rk using (id)),
+rd as (select z.*, q as reader from z, (select unnest([0, 1, 2, 3, 4]) as q) where q <> fold)""" +
+    products_sql("gf", "rd", "reader", LEGS) + descent_sql("wf", "gf", LEGS) + products_sql("ga", "z", "", LEGS) + descent_sql("wa", "ga", LEGS) + f"""
 , p as (select z.id, z.y, unnest(['equal_rank', 'mean_logit', 'nnls_logit', 'equal_rank', 'mean_logit', 'nnls_logit']) as combiner, unnest([1, 1, 1, 0, 0, 0]) as kind,
- unnest([r, (a + b) / 2.0e0, a * wf.u + b * wf.v, r, (a + b) / 2.0e0, a * wa.u + b * wa.v]) as pred from z join wf on z.fold = wf.reader, wa)""" + auc_sql("p", ["combiner", "kind"]) + """
-select combiner, round(max(auc) filter (kind = 1), 6) as sealed, round(max(auc) filter (kind = 0), 6) as insample, round(max(auc) filter (kind = 1) - max(auc) filter (kind = 0), 6) * -1 + 0.0e0 as optimism from au group by combiner"""))
+ unnest([r, (z0 + z1 + z2 + z3) / 4.0e0, {share_sql("wf", LEGS)}, r, (z0 + z1 + z2 + z3) / 4.0e0, {share_sql("wa", LEGS)}]) as pred from z join wf on z.fold = wf.reader, wa)""" + auc_sql("p", ["combiner", "kind"]) + """
+select combiner, round(max(auc) filter (kind = 1), 6) as sealed, round(max(auc) filter (kind = 0), 6) as insample, round(max(auc) filter (kind = 1) - max(auc) filter (kind = 0), 6) * -1 + 0.0e0 as optimism from au group by combiner""")))
 def _(t):
-    _, table = B.sealed_score(t.scores(), "id", "y", ["m2", "m3"], "fold", 5, ["equal_rank", "mean_logit", "nnls_logit"])
+    _, table = B.sealed_score(t.scores(), "id", "y", MODELS, "fold", 5, ["equal_rank", "mean_logit", "nnls_logit"])
     return rounded(table, [])
 
 
@@ -205,14 +225,18 @@ def _(t):
     return rounded(table.withColumn("mean_bal", F.round("mean_bal", 4)), ["mean_bal"])
 
 
-@case("cell_blend", with_base("""
-, g as (select seg, pri, count(*) as n, sum(y) as sy, sum(m2) as s0, sum(m3) as s1, sum(m2 * y) as b0, sum(m3 * y) as b1, sum(m2 * m2) as g00, sum(m2 * m3) as g01, sum(m3 * m3) as g11 from scores group by all having count(*) > 350),
-c as (select seg, pri, n, sy, s0, s1, g00 - s0 * s0 / n + 1 as a, g01 - s0 * s1 / n as b, g11 - s1 * s1 / n + 1 as d, b0 - s0 * sy / n as u, b1 - s1 * sy / n as v from g),
-w as (select seg, pri, n, sy, s0, s1, (d * u - b * v) / (a * d - b * b) as w0, (a * v - b * u) / (a * d - b * b) as w1 from c)
-select id, round(coalesce(m2 * w0 + m3 * w1 + (sy - s0 * w0 - s1 * w1) / n, (m2 + m3) / 2.0e0), 6) as blend from scores left join w using (seg, pri)"""))
+CELL_SUMS = ", ".join(f"sum({m}) as s{i}" for i, m in enumerate(MODELS))
+CELL_CENTRED = ", ".join(f"h.g{i}{j} - s{i} * s{j} / n{' + 1' if i == j else ''} as g{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@case("cell_blend", recursive(with_base(products_sql("h", "scores", "seg, pri", MODELS) + f"""
+, u as (select seg, pri, count(*) as n, sum(y) as sy, {CELL_SUMS} from scores group by all having count(*) > 350),
+c as (select u.*, {CELL_CENTRED}, {', '.join(f'b{i} - s{i} * sy / n as b{i}' for i in range(4))} from u join h using (seg, pri))""" + descent_sql("w", "c", MODELS, False) + f"""
+select id, round(coalesce({' + '.join(f'{m} * x{i}' for i, m in enumerate(MODELS))} + (sy - {' - '.join(f's{i} * x{i}' for i in range(4))}) / n, ({' + '.join(MODELS)}) / 4.0e0), 6) as blend
+from scores left join w using (seg, pri)""")))
 def _(t):
     df = t.scores().withColumn("cell", F.concat_ws("|", "seg", "pri"))
-    return rounded(B.cell_blend(df, "y", ["m2", "m3"], "cell", 350).select("id", "blend"), [])
+    return rounded(B.cell_blend(df, "y", MODELS, "cell", 350).select("id", "blend"), [])
 
 
 @case("prediction_clipping", """
@@ -250,14 +274,15 @@ def _(t):
 
 
 @case("rank_blend_on_label_scale", with_base("""
-, s as (select id, price as v, m2, m3 from scores where price is not null), n as (select count(*) as n from s),
+, s as (select id, price as v, m0, m1, m2, m3 from scores where price is not null), n as (select count(*) as n from s),
 k as (select i, (select quantile_cont(v, i / 99.0e0) from s) as q from (select unnest(range(100)) as i)),
-r as (select id, ((rank() over (order by m2) + (count(*) over (partition by m2) - 1) / 2.0e0) + (rank() over (order by m3) + (count(*) over (partition by m3) - 1) / 2.0e0)) / 2.0e0 as r from s),
+r as (select id, (RANKS) / 4.0e0 as r from s),
 spot as (select id, (r - 1) / (n - 1) * 99.0e0 as sp from r, n), ix as (select id, sp, least(greatest(floor(sp), 0), 98) as i from spot)
-select id, round(a.q + (b.q - a.q) * (sp - ix.i), 2) as blend from ix join k a on a.i = ix.i join k b on b.i = ix.i + 1""".replace("quantile_cont(v, i / 99.0e0)", "quantile_cont(v, [" + ", ".join(f"{i / 99!r}e0" for i in range(100)) + "])[i + 1]")))
+select id, round(a.q + (b.q - a.q) * (sp - ix.i), 2) as blend from ix join k a on a.i = ix.i join k b on b.i = ix.i + 1""".replace("quantile_cont(v, i / 99.0e0)", "quantile_cont(v, [" + ", ".join(f"{i / 99!r}e0" for i in range(100)) + "])[i + 1]").replace(
+    "RANKS", " + ".join(f"(rank() over (order by {m}) + (count(*) over (partition by {m}) - 1) / 2.0e0)" for m in MODELS))))
 def _(t):
-    df = t.scores().filter("price is not null").select("id", F.col("price").alias("v"), "m2", "m3")
-    return rounded(B.rank_blend_scaled(df, ["m2", "m3"], "v").select("id", "blend"), [], 2)
+    df = t.scores().filter("price is not null").select("id", F.col("price").alias("v"), *MODELS)
+    return rounded(B.rank_blend_scaled(df, MODELS, "v").select("id", "blend"), [], 2)
 
 
 @case("combined_test_prediction", with_base(f"""
