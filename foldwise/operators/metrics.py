@@ -209,12 +209,17 @@ def corr_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> D
             value = lambda a, b: float(grid[at[a], at[b]])
             rows = [(a, b, None if math.isnan(value(a, b)) else value(a, b)) for a, b in pairs]
             return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    parts = []
+    return corr_pairs(work, pairs, names)
+
+
+def corr_pairs(df: DataFrame, pairs: list[tuple[str, str]], names: dict[str, str] | None = None) -> DataFrame:
+    """``(a, b, r)`` of the given pairs, each over the rows where both are set; ``names`` gives the column behind a name."""
+    names, parts = names or {c: c for pair in pairs for c in pair}, []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start : start + PAIRS_PER_PASS]
         exprs = [safe_corr(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(part)]
         entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]
-        parts.append(work.agg(*exprs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.a", "_e.b", "_e.r"))
+        parts.append(df.agg(*exprs).select(F.explode(F.array(*entries)).alias("_e")).select("_e.a", "_e.b", "_e.r"))
     return reduce(lambda x, z: x.unionByName(z), parts)
 
 
