@@ -7,6 +7,7 @@ per-candidate scalars come back to the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 from itertools import count as count_up
 
@@ -221,17 +222,21 @@ def hill_climb_rmse(df: DataFrame, y: str, preds: list[str]) -> tuple[dict[str,
         best, weights = float(errors.min()), trials[errors.argmin()]
 
 
-def solve_nonnegative(g: np.ndarray, b: np.ndarray, sweeps: int = 10_000) -> np.ndarray:
-    """Minimiser of ``x'Gx/2 - b'x`` over ``x >= 0`` by coordinate descent on a small matrix."""
-    x = np.zeros(len(b))
-    for _ in range(sweeps):
+def solve_nonnegative(g: np.ndarray, b: np.ndarray, sweeps: int | None = None) -> np.ndarray:
+    """Minimiser of ``x'Gx/2 - b'x`` over ``x >= 0`` by coordinate descent on a small matrix, until a sweep moves no entry by more
+    than 1e-14 of the largest, or no longer lowers the value. A given limit of ``sweeps`` that ends it early is announced by a warning."""
+    x, value = np.zeros(len(b)), 0.0
+    for n in count_up(1):
         before = x.copy()
         for i in range(len(b)):
             if g[i, i] > 0:
                 x[i] = max(0.0, x[i] + (b[i] - g[i] @ x) / g[i, i])
-        if np.max(np.abs(x - before)) < 1e-14:
-            break
-    return x
+        last, value = value, float(x @ g @ x / 2 - b @ x)
+        if np.max(np.abs(x - before), initial=0.0) <= 1e-14 * np.max(x, initial=1.0) or (n > 1000 and value >= last):
+            return x
+        if n == sweeps:
+            warnings.warn(f"the weights still move by {np.max(np.abs(x - before)):.1e} after {n} sweeps", stacklevel=2)
+            return x
 
 
 def nnls_weights(df: DataFrame, y: str, preds: list[str], logits: bool = False) -> dict[str, float]:

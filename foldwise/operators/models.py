@@ -7,6 +7,7 @@ iterative learners re-read vectors and not the feature plan.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -419,8 +420,11 @@ def forward_select(
     return {"start": start, "batches": screened, "single": single, "selected": chosen[len(base) :], "auc": best, "confirmed": final}
 
 
-def kmeans_features(df: DataFrame, ref: DataFrame, columns: list[str], k: int, y: str, seed: int = 42) -> DataFrame:
-    """Cluster, distance to its centre and label rate of the cluster in ``ref``; columns are standardised on ``ref``."""
+def kmeans_features(df: DataFrame, ref: DataFrame, columns: list[str], k: int, y: str, seed: int = 42, iterations: int = 1000) -> DataFrame:
+    """Cluster, distance to its centre and label rate of the cluster in ``ref``; columns are standardised on ``ref``.
+
+    The fit ends when no centre moves by more than 1e-4; a warning says if ``iterations`` ended it before.
+    """
     stats = ref.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
 
     def scaled(frame: DataFrame, keep: list[str]) -> DataFrame:
@@ -428,7 +432,9 @@ def kmeans_features(df: DataFrame, ref: DataFrame, columns: list[str], k: int, y
         return assemble(attach_row(frame, stats).withColumns(z), list(z), keep)
 
     fit = materialize(scaled(ref, [y]))
-    model = KMeans(featuresCol=X, k=k, seed=seed, maxIter=20).fit(fit)
+    model = KMeans(featuresCol=X, k=k, seed=seed, maxIter=iterations, tol=1e-4).fit(fit)
+    if model.summary.numIter >= iterations:
+        warnings.warn(f"the centres still move after {iterations} iterations", stacklevel=2)
     centres = model.clusterCenters()
     rates = model.transform(fit).groupBy(F.col("prediction").alias("cluster")).agg(F.avg(y).alias("cluster_rate"))
     out = model.transform(scaled(df, df.columns)).withColumnRenamed("prediction", "cluster").withColumn("_a", vector_to_array(X))
